@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical
+from pressmill.llm import canonical, lookalike
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("cand_id", "fld", F.coalesce("canonical", F.lit(canonical.UNMATCHED)).alias("canonical")).distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and page texts that are not in the plain form."""
+    titles = table(spark, sf_dir, "candidates").select(F.lit("candidates").alias("tbl"), F.col("id").alias("rec_id"), F.col("title").alias("text"))
+    pages = table(spark, sf_dir, "ocr_pages").select(F.lit("ocr_pages").alias("tbl"), F.col("id").alias("rec_id"), "text")
+    return lookalike.changed(titles.unionByName(pages), "text").select("tbl", "rec_id").distinct()
+
+
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate title and page text with its plain form."""
+    titles = table(spark, sf_dir, "candidates").select(F.lit("candidates").alias("tbl"), F.col("id").alias("rec_id"), F.col("title").alias("text"))
+    pages = table(spark, sf_dir, "ocr_pages").select(F.lit("ocr_pages").alias("tbl"), F.col("id").alias("rec_id"), "text")
+    return lookalike.plain_column(titles.unionByName(pages), "text", "plain")
+
+
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_forms": p7_forms}
 SQL: dict[str, str] = {}
