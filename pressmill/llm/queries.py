@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical, lookalike
+from pressmill.llm import canonical, lookalike, truncation
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +35,21 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.plain_column(titles.unionByName(pages), "text", "plain")
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_forms": p7_forms}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.judged(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.source_rates(truncation.judged(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_forms": p7_forms,
+    "p10_found": p10_found,
+    "p10_sources": p10_sources,
+}
 SQL: dict[str, str] = {}
