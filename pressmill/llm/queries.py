@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical, lookalike, truncation
+from pressmill.llm import canonical, language, lookalike, truncation
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,47 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(truncation.judged(table(spark, sf_dir, "documents")))
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> language.Model:
+    """Fitted on a bounded sample of the labelled candidates and documents (language.fit_on)."""
+    labelled = table(spark, sf_dir, "candidates").select(F.col("language").alias("label"), F.col("description").alias("text"))
+    return language.fit_on(labelled.unionByName(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text")))
+
+
+def _judged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_id, label, text) of candidates and documents."""
+    candidates = table(spark, sf_dir, "candidates").select(F.lit("candidates").alias("tbl"), F.col("id").alias("rec_id"), F.col("language").alias("label"), F.col("description").alias("text"))
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.col("lang").alias("label"), "text")
+    return candidates.unionByName(documents)
+
+
+def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, seg_no, text) of the page blocks with at least 12 letters."""
+    blocks = table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("rec_id"), F.explode("blocks").alias("b"))
+    return blocks.select("rec_id", F.col("b.id").cast("int").alias("seg_no"), F.col("b.text").alias("text")).where(language.letters(F.col("text")) >= 12)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a missing or wrong language label, and the blocks of pages in more than one language."""
+    model = _language_model(spark, sf_dir)
+    judged = language.classify(arrow_rows(_judged_texts(spark, sf_dir)), model, ["tbl", "rec_id", "label"])
+    wrong = judged.where(F.col("lang").isNotNull() & ~F.col("label").eqNullSafe(F.col("lang"))).select("tbl", "rec_id", F.lit(0).alias("seg_no"), "lang")
+    blocks = language.classify(arrow_rows(_page_blocks(spark, sf_dir)), model, ["rec_id", "seg_no"]).where("dominant is not null").select("rec_id", "seg_no", F.col("dominant").alias("lang"))
+    page = Window.partitionBy("rec_id")
+    several = blocks.withColumn("low", F.min("lang").over(page)).withColumn("high", F.max("lang").over(page)).where("low <> high")
+    return wrong.unionByName(several.select(F.lit("ocr_pages").alias("tbl"), "rec_id", "seg_no", "lang")).distinct()
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and proportions of every candidate, document and page block."""
+    model = _language_model(spark, sf_dir)
+    records = _judged_texts(spark, sf_dir).select("tbl", "rec_id", F.lit(0).alias("seg_no"), "text")
+    blocks = _page_blocks(spark, sf_dir).select(F.lit("ocr_pages").alias("tbl"), "rec_id", "seg_no", "text")
+    return language.classify(arrow_rows(records.unionByName(blocks)), model, ["tbl", "rec_id", "seg_no"])
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_forms": p7_forms,
