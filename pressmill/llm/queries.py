@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical, language, lookalike, truncation
+from pressmill.llm import canonical, language, lookalike, pii, truncation
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,23 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(truncation.judged(table(spark, sf_dir, "documents")))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal detail in a candidate's description and phones, numbered by type."""
+    candidates = table(spark, sf_dir, "candidates")
+    fields = F.array(
+        F.struct(F.lit("description").alias("fld"), F.col("description").alias("text")),
+        F.struct(F.lit("phones").alias("fld"), F.array_join("phones", "\n").alias("text")),
+    )
+    texts = candidates.select(F.col("id").alias("cand_id"), F.inline(fields)).where("text <> ''")
+    return pii.count_mentions(arrow_rows(texts), table(spark, sf_dir, "name_lexicon"), table(spark, sf_dir, "ref_locations")).distinct()
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with typed placeholders and with surrogates in place of personal details."""
+    records = table(spark, sf_dir, "candidates").select(F.col("id").alias("cand_id"), "description", "phones")
+    return pii.redact(arrow_rows(records), table(spark, sf_dir, "name_lexicon"), table(spark, sf_dir, "ref_locations"), key=spark.conf.get("pressmill.pii.key", "demo"))
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> language.Model:
     """Fitted on a bounded sample of the labelled candidates and documents (language.fit_on)."""
     labelled = table(spark, sf_dir, "candidates").select(F.col("language").alias("label"), F.col("description").alias("text"))
@@ -84,6 +101,8 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p5_found": p5_found,

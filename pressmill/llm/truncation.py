@@ -17,26 +17,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pressmill.session import durable
+
 #: Endings that say a text was cut. Dots may also close a complete text, so they are weighed like bare ends.
 CUT_MARK = r"\s*(\[[\p{L} .]{1,14}\]|\([\p{L} .]{1,14}\)|>>+|»|→|-->)$"
 DOTS = r"\s*(\.{2,}|…)$"
 STOP = r"[.!?।]+[\"')\]”’]*$"
 PHONE = r"(?:^|[\s:,])(?:\+?94|0094|\(?0)[\d()./ -]{7,14}\d$"
 
+# The patterns of endings look at the last 96 characters only; the body keeps the whole text.
 ENDS_SQL = r"""
-SELECT doc_id, source, h, body, CASE
-    WHEN cut_mark <> '' AND NOT body RLIKE :stop THEN 'mark'
-    WHEN dots = '' AND body RLIKE :stop THEN 'stop'
+SELECT doc_id, source, h, concat(head, tail) AS body, CASE
+    WHEN cut_mark <> '' AND NOT tail RLIKE :stop THEN 'mark'
+    WHEN dots = '' AND tail RLIKE :stop THEN 'stop'
     WHEN dots <> '' THEN 'dots'
-    WHEN body RLIKE :phone AND length(regexp_replace(regexp_extract(body, :phone, 0), '\\D', '')) BETWEEN 10 AND 13 THEN 'phone'
+    WHEN tail RLIKE :phone AND length(regexp_replace(regexp_extract(tail, :phone, 0), '\\D', '')) BETWEEN 10 AND 13 THEN 'phone'
     ELSE 'bare' END AS ending
 FROM (
-  SELECT doc_id, source, h, cut_mark, regexp_extract(rest, :dots, 0) AS dots, regexp_replace(rest, :dots, '') AS body
+  SELECT doc_id, source, h, head, cut_mark, regexp_extract(rest, :dots, 0) AS dots, regexp_replace(rest, :dots, '') AS tail
   FROM (
-    SELECT doc_id, source, xxhash64(text) AS h, regexp_extract(t, :cut_mark, 0) AS cut_mark, regexp_replace(t, :cut_mark, '') AS rest
-    FROM (SELECT doc_id, source, text, regexp_replace(text, '\\s+$', '') AS t FROM {docs} WHERE text IS NOT NULL)
+    SELECT doc_id, source, h, left(t, greatest(length(t) - 96, 0)) AS head, regexp_extract(right(t, 96), :cut_mark, 0) AS cut_mark, regexp_replace(right(t, 96), :cut_mark, '') AS rest
+    FROM (SELECT doc_id, source, xxhash64(text) AS h, rtrim(' \n\r\t', text) AS t FROM {docs} WHERE text IS NOT NULL)
   )
-) WHERE body <> ''
+) WHERE head <> '' OR tail <> ''
 """
 
 # Sentence ends become two pads, so that no trigram spans two sentences; a paragraph end is one as well.
@@ -105,8 +108,9 @@ def judged(docs: DataFrame, least: int = 3, stops: float = 0.2) -> DataFrame:
     args = {"stop": STOP, "dots": DOTS, "cut_mark": CUT_MARK, "phone": PHONE}
     ends = spark.sql(ENDS_SQL, args=args, docs=docs.select("doc_id", "source", "text"))
     words = spark.sql(WORDS_SQL, ends=ends)
-    trigrams = spark.sql(TRIGRAMS_SQL, words=words)
-    finals = spark.sql(FINALS_SQL, words=words)
+    # Both are read several times below; the tokens they come from are far larger than they are.
+    trigrams = durable(spark.sql(TRIGRAMS_SQL, words=words))
+    finals = durable(spark.sql(FINALS_SQL, words=words))
     cut = spark.sql(JUDGED_SQL, args={"least": least, "stops": stops}, finals=finals, trigrams=trigrams)
     merged = ends.select("doc_id", "source", "ending").join(cut.groupBy("doc_id").agg({"cut": "max"}).withColumnRenamed("max(cut)", "found"), "doc_id", "left")
     known = merged.selectExpr("doc_id", "source", "ending", "CASE WHEN ending IN ('stop', 'phone') THEN false WHEN ending = 'mark' THEN true ELSE coalesce(found, false) END AS cut")
