@@ -49,7 +49,7 @@ EMAIL = re.compile(
     re.IGNORECASE,
 )
 NATIONAL_ID = re.compile(rf"(?<![\w+])(?:{_D}(?:[ -]?{_D}){{8}}\s?[VvXx](?!\w)|(?:19|2[0Oo]){_D}{{2}}[ -]?{_D}{{3}}[ -]?{_D}{{5}}(?!\w))")
-PHONE = re.compile(rf"(?<![A-Za-z0-9])(?<![A-Za-z]/)(?:(?:\+|[0O][0O])\s?94|\(?\+?94(?=[ -]|\d{{9}}(?!\w))|\(?[0Oo](?!94))(?:[ .\-/()]{{0,2}}{_D}){{9}}(?!\w)")
+PHONE = re.compile(rf"(?<![A-Za-z0-9])(?<![A-Za-z]/)(?:(?:\+|[0O][0O])\s?94|\+?94(?=[ -]|\d{{9}}(?!\w))|(?:\((?=[^()\n]{{1,5}}\)))?[0Oo](?!94))(?:[ .\-/()]{{0,2}}{_D}){{9}}(?!\w)")
 SPOKEN_PHONE = re.compile(rf"\b(?:plus\s+)?(?:{_DW}|oh|double|triple)(?:[ ,-]+(?:{_DW}|oh|double|triple)){{6,13}}\b", re.IGNORECASE)
 _HOUSE = r"\d{1,4}(?:\s?[A-Z])?(?:/\d{1,4}[A-Z]?)?"
 ADDRESS = re.compile(

@@ -6,7 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical, language, lookalike, pii, truncation
+from pressmill.llm import canonical, language, lookalike, ocrtext, pii, truncation
+
+
+def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_id, text) of the captured pages and the legacy outputs."""
+    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), F.col("id").alias("rec_id"), "text") for name in ("ocr_pages", "ocr_outputs")]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise of every line of the scanned texts."""
+    texts = _scanned_texts(spark, sf_dir)
+    return ocrtext.line_noise(arrow_rows(texts), ocrtext.learn(texts)).distinct()
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned text repaired into continuous paragraphs."""
+    texts = _scanned_texts(spark, sf_dir)
+    return ocrtext.repaired(arrow_rows(texts), ocrtext.learn(texts))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +123,8 @@ QUERIES = {
     "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
+    "p3_found": p3_found,
+    "p3_texts": p3_texts,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_forms": p7_forms,
