@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical, language, lookalike, ocrtext, pii, truncation
+from pressmill.llm import canonical, language, lookalike, mixing, ocrtext, packing, pii, tokens, truncation
+from pressmill.session import durable
 
 
 def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,48 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.plain_column(titles.unionByName(pages), "text", "plain")
 
 
+def _sized(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
+    """Documents with their size in tokens, as a table of its own: counting tokens is the dear part."""
+    folder = spark.conf.get("pressmill.tokenizers", tokens.TOKENIZERS)
+    docs = table(spark, sf_dir, "documents").select(*keep, "text")
+    return durable(tokens.token_counts(arrow_rows(docs), keep, folder=folder))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of every pack size, with used and unused tokens."""
+    return packing.pack(_sized(spark, sf_dir, ["doc_id"]), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused share of every pack size."""
+    packed = p8_containers(spark, sf_dir).where("container_id is not null")
+    return packed.groupBy("pack_id").agg(
+        F.countDistinct("container_id").alias("n_containers"), F.count(F.lit(1)).alias("n_parts"), F.sum("tokens").alias("tokens"),
+    ).join(table(spark, sf_dir, "pack_sizes"), "pack_id").withColumn("unused_share", 1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, total: str) -> tuple[DataFrame, list]:
+    docs = _sized(spark, sf_dir, ["doc_id", "source", "doc_kind", "lang"])
+    kinds = docs.select("doc_id", "source", F.col("doc_kind").alias("domain"), F.col("lang").alias("language"), "tokens")
+    rows = mixing.budgets(mixing.source_supply(kinds), table(spark, sf_dir, "mix_targets"), total)
+    return mixing.choose(kinds.select("doc_id", "source", "tokens"), rows), rows
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents of every plan with their repeats, at the largest total with exact shares."""
+    return _mixed(spark, sf_dir, "exact")[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of every plan, at the largest total with exact shares."""
+    return mixing.shares(*_mixed(spark, sf_dir, "exact"))
+
+
+def p9_stretched_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares when a plan is as large as its sources together: shortages are redistributed."""
+    return mixing.shares(*_mixed(spark, sf_dir, "available"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut."""
     return truncation.judged(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
@@ -128,6 +171,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_forms": p7_forms,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_documents": p9_documents,
+    "p9_shares": p9_shares,
+    "p9_stretched_shares": p9_stretched_shares,
     "p10_found": p10_found,
     "p10_sources": p10_sources,
 }
