@@ -50,16 +50,18 @@ SELECT doc_id, ending, h, split(concat('^ ^ ', regexp_replace(
 FROM {ends}
 """
 
+# Counted as written first: the patterns then run over distinct trigrams, not over all of them.
 TRIGRAMS_SQL = r"""
-SELECT a, b, regexp_replace(c, '[.!?]+["\')\\]]*$', '') AS c,
-  count_if(NOT stops AND next IS NOT NULL) AS n_on,
-  count_if(stops) AS n_stop
+SELECT a, b, regexp_replace(c, '[.!?]+["\')\\]]*$', '') AS c, sum(if(NOT stops AND NOT last, n, 0)) AS n_on, sum(if(stops, n, 0)) AS n_stop
 FROM (
-  SELECT g.a, g.b, g.c, g.d AS next, g.c RLIKE '[.!?]["\')\\]]*$' OR coalesce(g.d = '\u0001', false) AS stops
+  SELECT a, b, c, last, n, c RLIKE '[.!?]["\')\\]]*$' OR para AS stops
   FROM (
-    SELECT inline(transform(sequence(2, size(w) - 1), i -> struct(w[i - 2] AS a, w[i - 1] AS b, w[i] AS c, try_element_at(w, i + 2) AS d)))
-    FROM {words} WHERE size(w) > 2
-  ) g WHERE g.c <> '^' AND g.c <> '\u0001'
+    SELECT a, b, c, d IS NULL AS last, coalesce(d = '\u0001', false) AS para, count(*) AS n
+    FROM (
+      SELECT inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)))) AS (a, b, c, d)
+      FROM {words} WHERE size(w) > 2
+    ) WHERE c IS NOT NULL AND c <> '^' AND c <> '\u0001' GROUP BY ALL
+  )
 ) GROUP BY ALL
 """
 
