@@ -83,12 +83,12 @@ def category_key(value: Column) -> Column:
 
 
 def safe_filename(name: Column, longest: int = 255) -> Column:
-    """F8: the last path segment without unprintable characters, quotes and leading dots; a reserved stem is prefixed."""
+    """F8: the last path segment without unprintable characters, quotes and leading dots; a reserved stem is prefixed; null stays null."""
     last = F.element_at(F.split(F.replace(composed(name), F.lit("\\"), F.lit("/")), "/"), -1)
     shown = strip(F.regexp_replace(last, r'[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}"]|[\p{Zs}&&[^ ]]', ""))
     bare = F.coalesce(F.nullif(F.regexp_replace(shown, r"^\.+", ""), F.lit("")), F.lit("upload"))
     stem = F.lower(F.regexp_replace(bare, r"\.[^.]*$", ""))
-    return F.substring(F.when(stem.isin(*RESERVED), F.concat(F.lit("file-"), bare)).otherwise(bare), 1, longest)
+    return F.when(name.isNotNull(), F.substring(F.when(stem.isin(*RESERVED), F.concat(F.lit("file-"), bare)).otherwise(bare), 1, longest))
 
 
 def joined_lines(text: Column) -> Column:

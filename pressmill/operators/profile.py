@@ -65,6 +65,7 @@ def compile_state(df: DataFrame, checks: Sequence[Check], partition: str) -> Dat
         c, ok = F.col(k.column), k.valid()
         number = kinds[k.column] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[k.column].startswith("decimal")
         value = F.when(ok, c.cast("double")) if number else F.lit(None).cast("double")
+        # The mark before a hashed value lets the sketch count the empty string, which it would leave out.
         flat = F.to_json(F.struct(c)) if kinds[k.column].startswith(("array", "map", "struct")) else c.cast("string")
         shown = value if number else flat
         out += [
@@ -75,7 +76,7 @@ def compile_state(df: DataFrame, checks: Sequence[Check], partition: str) -> Dat
             F.coalesce(F.sum(value * value), F.lit(0.0)).alias(f"{k.column}__sum2"),
             F.min(shown).alias(f"{k.column}__low"),
             F.max(shown).alias(f"{k.column}__high"),
-            F.hll_sketch_agg(flat).alias(f"{k.column}__hll"),
+            F.hll_sketch_agg(F.concat(F.lit("="), flat)).alias(f"{k.column}__hll"),
         ]
     return df.groupBy(F.col(partition).alias("partition")).agg(*out)
 
@@ -96,7 +97,7 @@ def report(states: DataFrame, checks: Sequence[Check], keep: Sequence[str] = ())
     for k in checks:
         n = k.column
         valid = F.col(f"{n}__valid")
-        mean = F.when(valid > 0, F.col(f"{n}__sum") / valid)
+        mean = F.when(F.lit(k.kind == "range") & (valid > 0), F.col(f"{n}__sum") / valid)
         spread = F.when(valid > 1, F.sqrt(F.greatest((F.col(f"{n}__sum2") - valid * mean * mean) / (valid - 1), F.lit(0.0))))
         rows.append(
             F.struct(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,12 @@ def local_session(app: str = "pressmill", cpus: int | str = "*", memory: str = "
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder all executors can reach: below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pressmill-shared")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint.
 
