@@ -220,7 +220,7 @@ def _match_sharded(values: DataFrame, forms: DataFrame, shards: int, blocks: int
     """
     distinct = values.where("trim(value) <> ''").select("fld", "value").distinct()
     left = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = forms.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = forms.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def look(vals: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         tries = {f: Trie(g[["entry", "form", "context"]].itertuples(index=False)) for f, g in refs.groupby("fld")}

@@ -134,7 +134,7 @@ def latin_word(word: str) -> str:
     ('abc', 'дом')
     """
     foreign = [c for c in word if c.isalpha() and c not in LOOKALIKES and not unicodedata.name(c, "").startswith(("LATIN", "SINHALA", "TAMIL"))]
-    return word if foreign else "".join(LOOKALIKES.get(c, c) for c in word)
+    return word if foreign else unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in word))
 
 
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯ][^\W_]*)*")
@@ -161,7 +161,8 @@ def plain_form(text: str | None) -> str | None:
         done = high
     spliced = "".join(out) + text[done:]
     if any(c in LOOKALIKES for c in spliced):
-        spliced = _WORDS.sub(lambda w: latin_word(w[0]), spliced)
+        latin = _WORDS.sub(lambda w: latin_word(w[0]), spliced)
+        return latin if latin == spliced else plain_form(latin)  # a mark may now compose with its new base
     return spliced
 
 

@@ -293,10 +293,11 @@ def decode(text: str | None, lexicon: Lexicon, heads: dict[str, int], repair: bo
     return Page(sorted(set(noises)), rebuild(content, fixed, joins, blank, lexicon) if repair else [])
 
 
-def viterbi(tokens: list[str], lexicon: Lexicon) -> list[str]:
+def viterbi(tokens: list[str], lexicon: Lexicon, whole: frozenset[str] | set[str] = frozenset()) -> list[str]:
     """The cheapest reading of a token stream that keeps, splits or merges tokens (corrections came before).
 
-    Known tokens stand; only runs around unknown ones are searched. A split or a merge costs two nats.
+    Known tokens and those in ``whole`` (words just joined over a line end) stand; a split or a merge of
+    others costs two nats.
     """
     n = len(tokens)
     if all(_DIGIT.sub("9", t) in lexicon.fine for t in tokens):
@@ -305,7 +306,7 @@ def viterbi(tokens: list[str], lexicon: Lexicon) -> list[str]:
     for j in range(1, n + 1):
         token = tokens[j - 1]
         c = core(token)
-        known = _DIGIT.sub("9", token) in lexicon.fine or bool(lexicon.count(_DIGIT.sub("9", c)))
+        known = token in whole or _DIGIT.sub("9", token) in lexicon.fine or bool(lexicon.count(_DIGIT.sub("9", c)))
         options = [(best[j - 1][0] + (lexicon.cost(c) if c else 0.0), j - 1, [token])]
         if not known and 5 <= len(c) <= 40 and c.isalpha():
             for cut in range(2, len(c) - 1):
@@ -337,6 +338,7 @@ def rebuild(content: list[int], fixed: dict[int, list[str]], joins: set[int], bl
     for i in content:
         rows.append(fixed[i][1:] if first_used else fixed[i])
         first_used = i in joins
+    whole = {fixed[i][-1] for i in joins if fixed[i]}
     widths = [sum(map(len, r)) + len(r) for r in rows]
     usual = sorted(widths)[len(widths) * 3 // 4] if widths else 0
     n = len(rows)
@@ -361,18 +363,21 @@ def rebuild(content: list[int], fixed: dict[int, list[str]], joins: set[int], bl
         ends = bool(rows[k]) and rows[k][-1].endswith(_STOPS)
         return (2.0 if gap else 0.0) + (0.5 if ends and gap else 0.0)
 
+    # The cost of going on is a prefix sum, so the best start of a paragraph that ends at j is the least of
+    # cost[i] - before[i] over all earlier i: one running minimum, linear in the lines.
+    before = [0.0] * (n + 1)
+    for i in range(1, n):
+        before[i] = before[i - 1] + inside(i - 1)
+    least, start = cost[0] - before[0], 0
     for j in range(1, n + 1):
-        run = 0.0
-        for i in range(j - 1, max(-1, j - 400), -1):
-            if i < j - 1:
-                run += inside(i)
-            if cost[i] + run + boundary(j - 1) < cost[j]:
-                cost[j], back[j] = cost[i] + run + boundary(j - 1), i
+        cost[j], back[j] = least + before[j - 1] + boundary(j - 1), start
+        if j < n and cost[j] - before[j] < least:
+            least, start = cost[j] - before[j], j
     out: list[str] = []
     j = n
     while j:
         tokens = [w for r in rows[back[j] : j] for w in r]
-        out.append(" ".join(viterbi(tokens, lexicon)))
+        out.append(" ".join(viterbi(tokens, lexicon, whole)))
         j = back[j]
     return [p for p in reversed(out) if p]
 

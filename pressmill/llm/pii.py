@@ -51,7 +51,7 @@ EMAIL = re.compile(
 NATIONAL_ID = re.compile(rf"(?<![\w+])(?:{_D}(?:[ -]?{_D}){{8}}\s?[VvXx](?!\w)|(?:19|2[0Oo]){_D}{{2}}[ -]?{_D}{{3}}[ -]?{_D}{{5}}(?!\w))")
 PHONE = re.compile(rf"(?<![A-Za-z0-9])(?<![A-Za-z]/)(?:(?:\+|[0O][0O])\s?94|\+?94(?=[ -]|\d{{9}}(?!\w))|(?:\((?=[^()\n]{{1,5}}\)))?[0Oo](?!94))(?:[ .\-/()]{{0,2}}{_D}){{9}}(?!\w)")
 SPOKEN_PHONE = re.compile(rf"\b(?:plus\s+)?(?:{_DW}|oh|double|triple)(?:[ ,-]+(?:{_DW}|oh|double|triple)){{6,13}}\b", re.IGNORECASE)
-_HOUSE = r"\d{1,4}(?:\s?[A-Z])?(?:/\d{1,4}[A-Z]?)?"
+_HOUSE = r"\d{1,4}(?:\s?[A-Z](?![A-Za-z]))?(?:/\d{1,4}[A-Z]?)?"
 ADDRESS = re.compile(
     rf"(?:(?:Flat|Apt\.?|Unit)\s\w+,\s)?(?:\b(?:No|NO|no)\b[.:]?\s?|#\s?)?(?<![\d/\-,.])\b{_HOUSE},?\s(?:[A-Z][\w'.]*\s){{1,3}}(?:{STREETS_EN}|{STREETS_EN.upper()})\b\.?(?:,\s[A-Z][\w-]+)?"
     rf"|(?:(?:අංක|නො)\.?\s?|#\s?|No\.?\s?)?(?<![\d/\-,.])\b{_HOUSE},?\s(?:[඀-෿‍]+\s){{1,3}}(?:{STREETS_SI})(?![඀-෿])(?:,\s[඀-෿‍]+)?"
@@ -291,13 +291,17 @@ class Surrogates:
         return " ".join(self.name(w, again) for w in identity.split(" "))
 
     def name(self, word: str, again: int) -> str:
-        """Another name of the same script and family; an initial gives another initial."""
+        """Another name of the same script and family, else of the same script and kind; an initial gives another initial."""
         seed = _hash(self.key, "name", word, str(again))
         if re.fullmatch(r"(?:[a-z]\.)+", word):
             return re.sub(r"[a-z]", lambda m: "abcdefghijklmnoprstvwy"[seed % 22], word)
-        pool = self.pool.get(self.names.family(word)) or self.by_kind[script(word), self.names.of(word) or "surname"] or [word]
-        pool = [p for p in pool if p.lower() != word and script(p) == script(word)] or pool
-        return pool[seed % len(pool)].lower()
+        family = self.names.family(word)
+        near = self.pool[family] if family else []
+        for pool in (near, self.by_kind[script(word), self.names.of(word) or "surname"]):
+            fit = [p for p in pool if p.lower() != word and script(p) == script(word)]
+            if fit:
+                return fit[seed % len(fit)].lower()
+        return word
 
     def shape(self, kind: str, raw: str, new: str) -> str:
         """The surrogate in the layout and case of the mention."""
