@@ -88,11 +88,17 @@ def _class(escape: str) -> str:
     return "".join((escape % a) + (f"-{escape % b}" if b > a else "") for a, b in unstable_class())
 
 
+#: Characters most texts consist of. Few of them are unstable, and a class of some 200 ranges is tested range by
+#: range, so a look ahead lets these pass the large class.
+COMMON = " -~\u0d80-\u0dff\u0b80-\u0bff"
+
+
 def _pattern(escape: str) -> str:
     """Unstable characters, joiners outside Sinhala clusters, marks that may compose, imitating sequences."""
+    common = [chr(c) for low, high in ((0x0D80, 0x0E00), (0x0B80, 0x0C00)) for c in range(low, high) if unicodedata.category(chr(c)) != "Cn" and single(chr(c)) != chr(c)]
     stray = f"(?<!{VIRAMA}){JOINER}(?!{VIRAMA})|{JOINER}(?![඀-෿])"
-    marks = "[̀-ͯ]|[ෙො][්ාෟ]|[ெே][ாௗ]|ஔ"
-    return f"[{_class(escape)}]|{stray}|{marks}|" + "|".join(SEQUENCES)
+    marks = "[ෙො][්ාෟ]|[ெே][ாௗ]|ஔ"
+    return f"(?![{COMMON}])(?:[{_class(escape)}]|{stray}|[\u0300-\u036f])|" + "|".join([marks, *SEQUENCES, *common])
 
 
 @lru_cache(1)
