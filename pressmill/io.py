@@ -11,15 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(df: DataFrame, cost: Column | None = None) -> DataFrame:
-    """Spread rows over all cores before an Arrow stage when the scan has too few splits for them.
+def arrow_rows(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before a costly row-wise stage when its scan has too few splits for them.
 
-    Python stages run one task a partition, and a Parquet file of a few megabytes is one split whatever
-    its rows cost. The round-robin exchange carries only the columns selected so far.
+    Such a stage runs one task a split, and a Parquet file of a few megabytes is one split whatever its rows
+    cost. A scan with at least a split for every core is left alone: large inputs are never shuffled for this.
     """
-    spark = df.sparkSession
-    want = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(want) if cost is None else df.repartition(want, cost)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def md5_key(*columns: str) -> Column:

@@ -172,18 +172,22 @@ def semantic_candidates(answers: DataFrame, categories: DataFrame, max_candidate
     )
 
 
-def rule_based_answer(page: Column, block_ids: Column) -> Column:
-    """The rule-based reader's answer for a page text, as the JSON an engine would give (null for an empty page)."""
-    lines = tx.joined_lines(page)
-    joined = F.array_join(lines, " ")
-    price = tx.first_price(joined)
+def rule_based_answers(pages: DataFrame) -> DataFrame:
+    """Adds ``answer`` to pages(text, known_ids, ..): what the rule-based reader says, as the JSON an engine would give.
+
+    Null for a page without lines. The lines and the joined text are columns of their own, so that the fields
+    read from them do not compute them again.
+    """
+    lined = pages.withColumn("_lines", tx.joined_lines(F.col("text"))).withColumn("_joined", F.array_join("_lines", " "))
+    read = lined.withColumn("_price", tx.first_price(F.col("_joined"))).withColumn("_category", F.lower(tx.keyword_category(F.col("_joined")))).withColumn("_place", tx.first_location(F.col("_joined")))
     ad = F.struct(
-        block_ids.alias("source_block_ids"), tx.script_language(page).alias("language"), tx.first_title(lines).alias("title"), F.substring(joined, 1, 4000).alias("description"),
-        F.lower(tx.keyword_category(joined)).alias("category"), F.struct(price.alias("raw"), F.expr("CAST(NULL AS BIGINT)").alias("amount"), F.lit("LKR").alias("currency")).alias("price"),
-        tx.first_location(joined).alias("location"), F.struct(tx.scan_phones(joined).alias("phones")).alias("contacts"), F.struct(F.lit(0.5).alias("overall")).alias("confidence"),
+        F.col("known_ids").alias("source_block_ids"), tx.script_language(F.col("text")).alias("language"), tx.first_title(F.col("_lines")).alias("title"), F.substring("_joined", 1, 4000).alias("description"),
+        F.col("_category").alias("category"), F.struct(F.col("_price").alias("raw"), F.lit(None).cast("bigint").alias("amount"), F.lit("LKR").alias("currency")).alias("price"),
+        F.col("_place").alias("location"), F.struct(tx.scan_phones(F.col("_joined")).alias("phones")).alias("contacts"), F.struct(F.lit(0.5).alias("overall")).alias("confidence"),
         F.array(F.struct(F.lit("HEURISTIC_EXTRACTION").alias("code"), F.lit(None).cast("string").alias("field"), F.lit("read by rules").alias("message"))).alias("warnings"),
     )
-    return F.when(F.size(lines) > 0, F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.array(ad).alias("advertisements"))))
+    answer = F.when(F.size("_lines") > 0, F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.array(ad).alias("advertisements"))))
+    return read.withColumn("answer", answer).drop("_lines", "_joined", "_price", "_category", "_place")
 
 
 def retry_outcome(attempts: list[tuple[str, int]], max_attempts: int = 3, max_repairs: int = 1, tokens: int = 4096, cap: int = 32_000) -> tuple[str, int, int]:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import geometry as g
 from pressmill.functions import text as tx
-from pressmill.io import table
+from pressmill.io import arrow_rows, table
 from pressmill.operators import pages, records, validation
 from pressmill.plans.registry import Registry
+from pressmill.session import durable
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -163,7 +164,7 @@ def rendered_ids(spark, sf_dir):
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule-based answer of every page, with the ids that may be cited."""
     p = table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("page_id"), "text", F.transform("blocks", lambda b: b["id"]).alias("known_ids"))
-    return p.select("page_id", "known_ids", validation.rule_based_answer(F.col("text"), F.col("known_ids")).alias("answer"))
+    return validation.rule_based_answers(arrow_rows(p)).select("page_id", "known_ids", "answer")
 
 
 @R.add("x5_structure", "SELECT id AS page_id, 0 AS n_errors FROM ocr_pages WHERE text IS NOT NULL AND trim(text) <> ''")
@@ -175,10 +176,11 @@ def structure(spark, sf_dir):
 
 @R.add("x7_candidates", None)
 def candidates(spark, sf_dir):
-    """Pages to answers to validated candidates."""
+    """Pages to answers to validated candidates. The answers are a recorded stage of their own, as an
+    engine's are; without that cut the optimizer would repeat the reading in every filter derived from them."""
     forms = table(spark, sf_dir, "ref_categories").select("slug", F.explode(F.concat(F.array("slug", "label"), "aliases")).alias("f"))
     book = forms.groupBy(tx.category_key(F.col("f")).alias("key")).agg(F.min("slug").alias("slug"))
-    return validation.semantic_candidates(answers(spark, sf_dir), book)
+    return validation.semantic_candidates(durable(answers(spark, sf_dir)), book)
 
 
 @R.add("j8_evidence", f"WITH {BLOCKS}, k AS (SELECT page_id, list(id ORDER BY id) AS ids FROM b GROUP BY page_id) SELECT page_id, list_filter([1, 3, 99], lambda x: list_contains(ids, x)) AS kept FROM k")
