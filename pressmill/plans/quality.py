@@ -73,7 +73,31 @@ metrics AS (
   UNION ALL SELECT 'candidates', 'confidence_overall', 'mean', load_id, avg(confidence_overall) FILTER (confidence_overall BETWEEN 0 AND 1) FROM candidates GROUP BY load_id),
 usual AS (SELECT tbl, column_name, metric, median(v) AS m FROM metrics WHERE load_id IS NOT NULL GROUP BY ALL)"""
 
+_ZEROS = "lower(raw)"
+for _ in range(9):
+    _ZEROS = f"regexp_replace({_ZEROS}, '([0-9][,.]?)o', '\\1' || '0', 'g')"
+_WORDS = " ".join(f"WHEN '{w}' THEN {n}" for n, w in [*enumerate(units.UNIT_WORDS), *((10 * (i + 2), w) for i, w in enumerate(units.TEN_WORDS))])
+
 SQL = {
+    "p4_found": f"""
+WITH r AS (SELECT DISTINCT price_id, provider, raw, amount, {_ZEROS} AS t FROM extracted_prices),
+n AS (
+  SELECT *, try_cast(replace(nullif(regexp_extract(t, '[0-9][0-9,]*(\\.[0-9]+)?', 0), ''), ',', '') AS decimal(20, 6)) AS digits,
+    list_filter(list_transform(regexp_extract_all(t, '[a-z]+'), lambda w: CASE w {_WORDS} END), lambda x: x IS NOT NULL) AS words FROM r),
+v AS (
+  SELECT *, coalesce(digits, CASE WHEN len(words) > 0 THEN list_sum(words)::decimal(20, 6) END) AS x,
+    CASE WHEN regexp_matches(t, 'crore') THEN 10000000 WHEN regexp_matches(t, 'million|[0-9]\\s*m$|\\bmn|\\bmil\\.|මිලියන|மில்லியன்') THEN 1000000
+     WHEN regexp_matches(t, 'lakh|lks|[0-9]l$|ලක්ෂ|லட்சம்') THEN 100000 WHEN regexp_matches(t, 'thousand|[0-9]k\\b|දහස්|ஆயிரம்') THEN 1000 ELSE 1 END AS scale,
+    CASE WHEN regexp_matches(t, 'usd|us\\$') THEN (SELECT factor FROM unit_rates WHERE unit_code = 'usd') WHEN regexp_matches(t, 'gbp|£') THEN (SELECT factor FROM unit_rates WHERE unit_code = 'gbp') ELSE 1 END AS rate,
+    CASE WHEN regexp_matches(t, 'p\\.a|year') THEN 12 ELSE 1 END AS months,
+    CASE WHEN regexp_matches(t, 'acre') THEN (SELECT factor FROM unit_rates WHERE unit_code = 'acre') WHEN regexp_matches(t, 'rood') THEN (SELECT factor FROM unit_rates WHERE unit_code = 'rood') ELSE 1 END AS perches
+  FROM n),
+w AS (SELECT *, round(x * scale * rate / (months * perches), 0)::bigint AS stated FROM v),
+k AS (SELECT provider, ratio, count(*) AS n FROM (SELECT provider, format('{{:.3e}}', (amount / stated)::double) AS ratio FROM w WHERE stated > 0 AND amount > 0) GROUP BY ALL),
+u AS (SELECT provider, max_by(ratio, n)::double AS ratio FROM k GROUP BY provider HAVING max(n) >= 0.5 * sum(n)),
+d AS (SELECT w.price_id, w.amount, coalesce(w.stated, CASE WHEN coalesce(u.ratio, 1) = 1 THEN w.amount ELSE round(w.amount / u.ratio, 0)::bigint END) AS amount_lkr FROM w LEFT JOIN u USING (provider))
+SELECT DISTINCT price_id, amount_lkr FROM d WHERE amount_lkr IS NOT NULL AND amount IS DISTINCT FROM amount_lkr
+""",
     "p6_found": f"""
 WITH items AS (SELECT *, row_number() OVER () AS rid FROM ingestion_items), {_P6_METRICS}
 SELECT DISTINCT 'ingestion_items' AS tbl, 'error_code' AS column_name, id AS rec_key, 'bad_value' AS issue FROM ingestion_items
