@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.io import arrow_rows, table
-from pressmill.llm import canonical, language, lookalike, mixing, ocrtext, packing, pii, tokens, truncation
+from pressmill.llm import canonical, language, lookalike, mixing, ocrtext, oracle, packing, pii, tokens, truncation
 from pressmill.session import durable
 
 
@@ -148,8 +148,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = language.classify(arrow_rows(_judged_texts(spark, sf_dir)), model, ["tbl", "rec_id", "label"])
     wrong = judged.where(F.col("lang").isNotNull() & ~F.col("label").eqNullSafe(F.col("lang"))).select("tbl", "rec_id", F.lit(0).alias("seg_no"), "lang")
     blocks = language.classify(arrow_rows(_page_blocks(spark, sf_dir)), model, ["rec_id", "seg_no"]).where("dominant is not null").select("rec_id", "seg_no", F.col("dominant").alias("lang"))
-    page = Window.partitionBy("rec_id")
-    several = blocks.withColumn("low", F.min("lang").over(page)).withColumn("high", F.max("lang").over(page)).where("low <> high")
+    # Copies of a page collapse first; the languages of a page are aggregated map-side and joined back, so a page
+    # delivered any number of times is never sorted in one task.
+    judged_blocks = durable(blocks.distinct())
+    pages = judged_blocks.groupBy("rec_id").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).where("low <> high").select("rec_id")
+    several = judged_blocks.join(pages, "rec_id", "left_semi")
     return wrong.unionByName(several.select(F.lit("ocr_pages").alias("tbl"), "rec_id", "seg_no", "lang")).distinct()
 
 
@@ -179,4 +182,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_sources": p10_sources,
 }
-SQL: dict[str, str] = {}
+SQL = oracle.SQL
