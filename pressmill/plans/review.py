@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import geometry
 from pressmill.io import table
-from pressmill.operators import records
+from pressmill.operators import engines, records
 from pressmill.plans.registry import Registry
 
 R = Registry()
@@ -204,3 +204,38 @@ def capped_candidates(spark, sf_dir):
     rows = candidates_now(spark, sf_dir, "item_id", "candidate_index", "title").where("item_id is not null").withColumn("pos", F.row_number().over(w) - 1)
     kept = rows.where("pos < 3").where("title <> ''")
     return kept.select("id", "item_id", (F.row_number().over(Window.partitionBy("item_id").orderBy("pos")) - 1).alias("new_index"))
+
+
+@R.add("w11_public_feed", f"WITH {CANDIDATES} SELECT id, epoch_us(created_at) AS created_us FROM cands WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 50")
+def public_feed(spark, sf_dir):
+    """The newest active advertisements (a feed page)."""
+    rows = candidates_now(spark, sf_dir, "status", "created_at").where("status = 'active'")
+    return rows.orderBy(F.desc("created_at"), "id").limit(50).select("id", F.unix_micros("created_at").alias("created_us"))
+
+
+@R.add("w14_operator_ids", "SELECT created_by AS operator, regexp_full_match(created_by, '[A-Za-z0-9._@+-]{1,64}') AS accepted, count(*) AS n FROM ingestion_batches WHERE created_by IS NOT NULL GROUP BY ALL")
+def operator_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "ingestion_batches").where("created_by is not null")
+    return rows.groupBy(F.col("created_by").alias("operator"), engines.operator_id(F.col("created_by")).alias("accepted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("x17_origins", "SELECT provider, CASE WHEN provider IS NULL THEN 'legacy_import' WHEN contains(provider, 'rule') THEN 'ocr_heuristic' ELSE 'llm_extraction' END AS origin, count(*) AS n FROM extracted_prices GROUP BY ALL")
+def origins(spark, sf_dir):
+    return table(spark, sf_dir, "extracted_prices").groupBy("provider", engines.origin(F.col("provider")).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(
+    "x14_legacy_blocks",
+    """SELECT DISTINCT id, CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END AS n_blocks, CASE lower(confidence) WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.4 ELSE 0.75 END::double AS confidence,
+ len(string_split(text, chr(10)))::int AS n_lines FROM ocr_outputs WHERE trim(text) <> ''""",
+)
+def legacy_blocks(spark, sf_dir):
+    rows = engines.legacy_blocks(table(spark, sf_dir, "ocr_outputs")).where(F.size("blocks") > 0)
+    return rows.select("id", F.size("blocks").alias("n_blocks"), F.get("blocks", F.lit(0))["confidence"].alias("confidence"), F.get("blocks", F.lit(0))["line_count"].alias("n_lines")).distinct()
+
+
+@R.add("view6_assets", "SELECT DISTINCT source_asset_id AS asset_id, count(DISTINCT c.id) AS n_candidates FROM candidates c JOIN media_assets a ON a.id = c.source_asset_id GROUP BY source_asset_id")
+def asset_view(spark, sf_dir):
+    """Assets with the candidates read from them."""
+    counts = table(spark, sf_dir, "candidates").groupBy(F.col("source_asset_id").alias("asset_id")).agg(F.countDistinct("id").alias("n_candidates"))
+    return counts.join(table(spark, sf_dir, "media_assets").select(F.col("id").alias("asset_id")).distinct(), "asset_id", "left_semi")

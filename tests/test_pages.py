@@ -101,3 +101,18 @@ def test_records(spark):
     got = {r.k: (r.state, r.n_events) for r in records.fold_events(events, "k", ["seq"], F.lit(0), lambda s, e: s + e["d"]).collect()}
     assert got == {"i": (3, 2), "j": (1, 1)}
     assert records.latest(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_engine_seam(spark):
+    from pressmill.operators import engines
+
+    def shout(batches):
+        for b in batches:
+            yield b.assign(answer=b["text"].str.upper())[["request_hash", "answer"]]
+
+    requests = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h2", "b")], "request_hash string, text string")
+    recorded = spark.createDataFrame([("h1", "kept")], "request_hash string, answer string")
+    out = engines.run_engine(requests, shout, "request_hash string, answer string", recorded, at_once=1)
+    assert sorted(map(tuple, out.collect())) == [("h1", "kept"), ("h2", "B")]
+    ids = spark.createDataFrame([("op_a",), ("a b",), ("x" * 65,), ("",), (None,)], "v string").select(engines.operator_id(F.col("v"))).collect()
+    assert [r[0] for r in ids] == [True, False, False, False, False]
