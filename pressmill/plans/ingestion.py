@@ -297,10 +297,10 @@ def latest_output(spark, sf_dir):
     return table(spark, sf_dir, "ocr_outputs").groupBy("item_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("output_id"), F.countDistinct("id").alias("n_outputs"))
 
 
-@R.add("u4_missing_languages", "SELECT id, list_filter(string_split(languages, '+'), lambda x: x NOT IN ('sin', 'eng')) AS missing FROM ocr_pages")
+@R.add("u4_missing_languages", "SELECT id, array_to_string(list_filter(string_split(languages, '+'), lambda x: x NOT IN ('sin', 'eng')), '+') AS missing FROM ocr_pages")
 def missing_languages(spark, sf_dir):
     """U4, H1: requested engine languages that an engine with sin and eng lacks."""
-    return table(spark, sf_dir, "ocr_pages").select("id", F.array_except(F.split("languages", r"\+"), F.array(F.lit("sin"), F.lit("eng"))).alias("missing"))
+    return table(spark, sf_dir, "ocr_pages").select("id", F.array_join(F.array_except(F.split("languages", r"\+"), F.array(F.lit("sin"), F.lit("eng"))), "+").alias("missing"))
 
 
 @R.add(

@@ -60,17 +60,17 @@ def next_overlap(spark, sf_dir):
     return rows.select("page_id", "id", g.shared_area(a, c).alias("shared"), F.round(g.iou(a, c), 6).alias("iou"), F.round(g.overlap_ratio(a, c), 6).alias("overlap"), g.side(g.union(a, c), 0).alias("union_left"), g.side(g.union(a, c), 2).alias("union_width"))
 
 
-@R.add("g4_padded", f"WITH {BLOCKS} SELECT page_id, id, [greatest(box[1] - 8, 0), greatest(box[2] - 8, 0), greatest(least(box[1] + box[3] + 8, page_width), greatest(box[1] - 8, 0)) - greatest(box[1] - 8, 0), greatest(least(box[2] + box[4] + 8, page_height), greatest(box[2] - 8, 0)) - greatest(box[2] - 8, 0)] AS box FROM b WHERE box IS NOT NULL")
+@R.add("g4_padded", f"WITH {BLOCKS} SELECT page_id, id, array_to_string([greatest(box[1] - 8, 0), greatest(box[2] - 8, 0), greatest(least(box[1] + box[3] + 8, page_width), greatest(box[1] - 8, 0)) - greatest(box[1] - 8, 0), greatest(least(box[2] + box[4] + 8, page_height), greatest(box[2] - 8, 0)) - greatest(box[2] - 8, 0)], ',') AS box FROM b WHERE box IS NOT NULL")
 def padded(spark, sf_dir):
-    return blocks(spark, sf_dir).where("box is not null").select("page_id", "id", g.padded(F.col("box"), F.col("page_width"), F.col("page_height"), 8).alias("box"))
+    return blocks(spark, sf_dir).where("box is not null").select("page_id", "id", F.array_join(g.padded(F.col("box"), F.col("page_width"), F.col("page_height"), 8).cast("array<string>"), ",").alias("box"))
 
 
-@R.add("g9_polygons", f"WITH {BLOCKS} SELECT page_id, id, box AS box FROM b WHERE box IS NOT NULL")
+@R.add("g9_polygons", f"WITH {BLOCKS} SELECT page_id, id, array_to_string(box, ',') AS box FROM b WHERE box IS NOT NULL")
 def polygons(spark, sf_dir):
     """G-9: boxes written as corner polygons and read back."""
     box = F.col("box")
     corners = F.array(F.array(g.side(box, 0), g.side(box, 1)), F.array(g.right(box), g.side(box, 1)), F.array(g.right(box), g.bottom(box)), F.array(g.side(box, 0), g.bottom(box)))
-    return blocks(spark, sf_dir).where("box is not null").select("page_id", "id", g.polygon_box(corners).alias("box"))
+    return blocks(spark, sf_dir).where("box is not null").select("page_id", "id", F.array_join(g.polygon_box(corners).cast("array<string>"), ",").alias("box"))
 
 
 @R.add("a12_page_extent", f"WITH {BLOCKS} SELECT page_id, min(box[1]) AS left_edge, min(box[2]) AS top_edge, max(box[1] + box[3]) AS right_edge, max(box[2] + box[4]) AS bottom_edge, count(box) AS n_placed FROM b GROUP BY page_id")
@@ -154,11 +154,11 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "f16_rendered_ids",
     f"""WITH {BLOCKS}, l AS (SELECT page_id, id, list_filter(string_split(text, chr(10)), lambda x: regexp_full_match(x, '\\[[0-9]+\\]\\s*')) AS h FROM b)
-SELECT page_id, flatten(list(list_prepend(id, list_transform(h, lambda x: regexp_extract(x, '[0-9]+')::int)) ORDER BY id)) AS ids FROM l GROUP BY page_id""",
+SELECT page_id, array_to_string(flatten(list(list_prepend(id, list_transform(h, lambda x: regexp_extract(x, '[0-9]+')::int)) ORDER BY id)), ',') AS ids FROM l GROUP BY page_id""",
 )
 def rendered_ids(spark, sf_dir):
     """Ids read back from rendered pages; a line of the text that looks like a header reads as one."""
-    return rendered(spark, sf_dir).select("page_id", tx.rendered_block_ids(F.col("page")).alias("ids"))
+    return rendered(spark, sf_dir).select("page_id", F.array_join(tx.rendered_block_ids(F.col("page")).cast("array<string>"), ",").alias("ids"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +183,11 @@ def candidates(spark, sf_dir):
     return validation.semantic_candidates(durable(answers(spark, sf_dir)), book)
 
 
-@R.add("j8_evidence", f"WITH {BLOCKS}, k AS (SELECT page_id, list(id ORDER BY id) AS ids FROM b GROUP BY page_id) SELECT page_id, list_filter([1, 3, 99], lambda x: list_contains(ids, x)) AS kept FROM k")
+@R.add("j8_evidence", f"WITH {BLOCKS}, k AS (SELECT page_id, list(id ORDER BY id) AS ids FROM b GROUP BY page_id) SELECT page_id, array_to_string(list_filter([1, 3, 99], lambda x: list_contains(ids, x)), ',') AS kept FROM k")
 def evidence(spark, sf_dir):
     """Cited blocks that exist, in citation order."""
     cited = F.array(F.lit(1), F.lit(3), F.lit(99), F.lit(3))
-    return table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("page_id"), validation.evidence(cited, F.transform("blocks", lambda b: b["id"])).alias("kept"))
+    return table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("page_id"), F.array_join(validation.evidence(cited, F.transform("blocks", lambda b: b["id"])).cast("array<string>"), ",").alias("kept"))
 
 
 @R.add("r6_block_documents", "SELECT id, len(blocks)::int AS n, list_aggregate(list_transform(blocks, lambda b: length(b.text)), 'sum')::bigint AS n_chars FROM ocr_pages")

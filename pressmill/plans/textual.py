@@ -50,11 +50,11 @@ def phone_lists(spark, sf_dir):
     return candidates_now(spark, sf_dir, "phones").where("phones is not null").select("id", tx.normalize_phones(F.col("phones")).alias("p")).select("id", "p.phones", "p.unparseable")
 
 
-@R.add("f13_phone_scan", r"""SELECT doc_id, regexp_extract_all(text, '((?:\+?94|0)\d{8,9})') AS phones FROM documents WHERE len(list_distinct(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))) = len(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))""")
+@R.add("f13_phone_scan", r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'), ',') AS phones FROM documents WHERE len(list_distinct(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))) = len(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))""")
 def phone_scan(spark, sf_dir):
     """F13 on documents without repeated numbers (the SQL has no ordered distinct)."""
     found = F.regexp_extract_all("text", F.lit(r"((?:\+?94|0)\d{8,9})"), F.lit(1))
-    return table(spark, sf_dir, "documents").where(F.size(found) == F.size(F.array_distinct(found))).select("doc_id", tx.scan_phones(F.col("text")).alias("phones"))
+    return table(spark, sf_dir, "documents").where(F.size(found) == F.size(F.array_distinct(found))).select("doc_id", F.array_join(tx.scan_phones(F.col("text")), ",").alias("phones"))
 
 
 @R.add("f12_keyword_category", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{k}'" for k, w in tx.KEYWORDS.items()) + " ELSE 'Other' END AS category FROM documents")
