@@ -45,7 +45,7 @@ FROM (
 # Sentence ends become two pads, so that no trigram spans two sentences; a paragraph end is one as well.
 WORDS_SQL = r"""
 SELECT doc_id, ending, h, split(concat('^ ^ ', regexp_replace(
-    regexp_replace(regexp_replace(regexp_replace(body, '\\d', '9'), '\\n\\s*\\n', ' \u0001 '), '([.!?]["\')\\]]*)\\s+(?!\u0001)', '$1 ^ ^ '),
+    regexp_replace(regexp_replace(translate(body, '012345678', '999999999'), '\\n\\s*\\n', ' \u0001 '), '([.!?]["\')\\]]*)\\s+(?!\u0001)', '$1 ^ ^ '),
     '\\s*\u0001\\s*', ' \u0001 ^ ^ ')), '[ \\n\\t]+') AS w
 FROM {ends}
 """
