@@ -44,7 +44,7 @@ FROM (
 
 # Sentence ends become two pads, so that no trigram spans two sentences; a paragraph end is one as well.
 WORDS_SQL = r"""
-SELECT doc_id, ending, h, split(concat('^ ^ ', regexp_replace(
+SELECT doc_id, source, ending, h, split(concat('^ ^ ', regexp_replace(
     regexp_replace(regexp_replace(translate(body, '012345678', '999999999'), '\\n\\s*\\n', ' \u0001 '), '([.!?]["\')\\]]*)\\s+(?!\u0001)', '$1 ^ ^ '),
     '\\s*\u0001\\s*', ' \u0001 ^ ^ ')), '[ \\n\\t]+') AS w
 FROM {ends}
@@ -65,14 +65,23 @@ FROM (
 ) GROUP BY ALL
 """
 
+# Six or more words within the last 400 characters hold the final trigram and the sentence end before it, if that
+# is near; else the whole body is split. Only endings that are weighed have a final trigram.
+TAILS_SQL = r"""
+SELECT doc_id, source, ending, h, CASE WHEN ending NOT IN ('bare', 'dots') THEN ''
+  WHEN length(body) > 400 AND size(split(right(body, 400), '\\s+')) > 6 THEN right(body, 400) ELSE body END AS body
+FROM {ends}
+"""
+
 FINALS_SQL = r"""
-SELECT doc_id, ending, h, w[size(w) - 3] AS a, w[size(w) - 2] AS b, regexp_replace(w[size(w) - 1], '[.!?]+["\')\\]]*$', '') AS c
-FROM {words} WHERE ending IN ('bare', 'dots') AND size(w) > 2
+SELECT doc_id, source, ending, h, ending IN ('bare', 'dots') AND size(w) > 2 AS weighed,
+  w[size(w) - 3] AS a, w[size(w) - 2] AS b, regexp_replace(w[size(w) - 1], '[.!?]+["\')\\]]*$', '') AS c
+FROM {words}
 """
 
 # Prefixes of a trigram's last word turn "is longer elsewhere" into an equality: linear in distinct trigrams.
 JUDGED_SQL = r"""
-WITH keys AS (SELECT a, b, c, count(DISTINCT h) AS n_end FROM {finals} GROUP BY a, b, c),
+WITH keys AS (SELECT a, b, c, count(DISTINCT h) AS n_end FROM {finals} WHERE weighed GROUP BY a, b, c),
  near AS (SELECT t.* FROM {trigrams} t LEFT SEMI JOIN keys k ON t.a = k.a AND t.b = k.b),
  tails AS (
   SELECT t.b, t.c, sum(n_on) AS tail_on, sum(n_stop) AS tail_stop
@@ -96,7 +105,7 @@ SELECT f.doc_id, CASE
     WHEN n_on + n_stop + n_longer > 0 THEN n_stop = 0 OR n_stop < :stops * (n_on + n_longer)
     WHEN tail_on + tail_stop > 0 THEN tail_stop = 0 OR tail_stop < :stops * tail_on
     ELSE pair_stop = 0 OR pair_stop < pair_on END AS cut
-FROM {finals} f JOIN known k ON f.a = k.a AND f.b = k.b AND f.c = k.c
+FROM {finals} f JOIN known k ON f.a = k.a AND f.b = k.b AND f.c = k.c WHERE f.weighed
 """
 
 
@@ -112,9 +121,9 @@ def judged(docs: DataFrame, least: int = 3, stops: float = 0.2) -> DataFrame:
     words = spark.sql(WORDS_SQL, ends=ends)
     # Both are read several times below; the tokens they come from are far larger than they are.
     trigrams = durable(spark.sql(TRIGRAMS_SQL, words=words))
-    finals = durable(spark.sql(FINALS_SQL, words=words))
+    finals = durable(spark.sql(FINALS_SQL, words=spark.sql(WORDS_SQL, ends=spark.sql(TAILS_SQL, ends=ends))))
     cut = spark.sql(JUDGED_SQL, args={"least": least, "stops": stops}, finals=finals, trigrams=trigrams)
-    merged = ends.select("doc_id", "source", "ending").join(cut.groupBy("doc_id").agg({"cut": "max"}).withColumnRenamed("max(cut)", "found"), "doc_id", "left")
+    merged = finals.select("doc_id", "source", "ending").join(cut.groupBy("doc_id").agg({"cut": "max"}).withColumnRenamed("max(cut)", "found"), "doc_id", "left")
     known = merged.selectExpr("doc_id", "source", "ending", "CASE WHEN ending IN ('stop', 'phone') THEN false WHEN ending = 'mark' THEN true ELSE coalesce(found, false) END AS cut")
     empty = docs.where("text IS NULL OR text RLIKE '^\\\\s*$'").selectExpr("doc_id", "source", "'empty' AS ending", "false AS cut")
     return known.unionByName(empty)
