@@ -159,9 +159,11 @@ def plain_form(text: str | None) -> str | None:
         low, high = m.span()
         if high <= done:
             continue
-        while low > done and (is_mark(text[low]) or is_mark(text[low - 1]) or is_mark(text[low : low + 1])):
+        # The segment begins at the base before the match and ends after the marks behind it; what vanishes
+        # in between is passed over, as a mark may then meet its base.
+        while low > done and (low == m.start() or is_mark(text[low]) or not single(text[low])):
             low -= 1
-        while high < len(text) and is_mark(text[high]):
+        while high < len(text) and (is_mark(text[high]) or not single(text[high])):
             high += 1
         out += (text[done:low], plain_segment(text[low:high]))
         done = high

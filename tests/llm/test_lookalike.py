@@ -17,7 +17,7 @@ def test_forms():
         assert k.plain_form(raw) == want, (raw, want)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=300, deadline=None, derandomize=True)
 @given(st.text(st.sampled_from("ab é́ාෙදෝ‍ර２ａﬁ​ ​аｏ\n."), max_size=20))
 def test_idempotent_and_local(text):
     once = k.plain_form(text)
@@ -25,7 +25,7 @@ def test_idempotent_and_local(text):
     assert unicodedata.is_normalized("NFC", once)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=200, deadline=None, derandomize=True)
 @given(st.text(st.characters(max_codepoint=0x2FF, exclude_categories=("Cc", "Cs")), max_size=30))
 def test_splice_equals_whole(text):
     """Splicing segments gives what normalising the whole text at once gives."""
