@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressmill.session import durable
+
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last state of every key: rows delivered again collapse to the one with the greatest ``order``.
@@ -81,3 +85,50 @@ def dangling(child: DataFrame, foreign: str, parent: DataFrame, primary: str, ed
 def violations(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     """Keys that are not unique; keys with a null part are exempt, as in a unique index."""
     return rows.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(name).alias("constraint_name"), F.concat_ws("|", *key).alias("key"), "n")
+
+
+def ordered_digests(rows: DataFrame, key: str, order: Sequence[Column], part: Column, separator: str, head: Column | None = None) -> DataFrame:
+    """(key, n_rows, digest): SHA-256 over the ordered parts of every key, joined by ``separator`` after ``head``.
+
+    Rows are sorted outside memory (Spark spills) and hashed as they pass, so a key of any size is digested whole and
+    no list of it ever exists; SHA-256 is sequential, so one key's bytes pass through one task. Null parts are counted
+    and left out. A key with several heads has a digest for each.
+    """
+    names = [f"o{i}" for i in range(len(order))]
+    flat = rows.select(F.col(key).alias("k"), (F.lit(None).cast("string") if head is None else head).alias("h"), part.alias("p"), *[c.alias(n) for c, n in zip(order, names)])
+    met = flat.repartition("k").sortWithinPartitions("k", "h", *[F.asc_nulls_last(n) for n in names]).select("k", "h", "p")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, digest, begun = None, 0, hashlib.sha256(), False
+        for batch in batches:
+            out = []
+            for k, h, p in zip(batch["k"], batch["h"], batch["p"]):
+                h = h if isinstance(h, str) else None
+                if at != (k, h):
+                    if at:
+                        out.append((at[0], n, digest.hexdigest()))
+                    at, n, digest, begun = (k, h), 0, hashlib.sha256((h or "").encode()), h is not None
+                n += 1
+                if isinstance(p, str):
+                    digest.update(((separator if begun else "") + p).encode())
+                    begun = True
+            yield pd.DataFrame(out, columns=["k", "n", "d"])
+        if at:
+            yield pd.DataFrame([(at[0], n, digest.hexdigest())], columns=["k", "n", "d"])
+
+    return met.mapInPandas(run, "k string, n bigint, d string").select(F.col("k").alias(key), F.col("n").alias("n_rows"), F.col("d").alias("digest"))
+
+
+def numbered(rows: DataFrame, key: str, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Adds the place (from 1) of every row of its key, nulls last; a hot key is numbered in range pieces.
+
+    Rows are range-partitioned by key and order; a row's place is the number of its key's rows in earlier pieces plus
+    its place in its own, so no task holds more than a piece.
+    """
+    by = [F.asc_nulls_last(c) for c in order]
+    pieces = durable(rows.repartitionByRange(F.col(key), *by).withColumn("_piece", F.spark_partition_id()))
+    sizes = pieces.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(key, "_piece").orderBy(*by))
+    return pieces.withColumn("_within", within).join(starts, [key, "_piece"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_piece", "_start", "_within")

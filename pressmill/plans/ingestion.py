@@ -103,12 +103,10 @@ def wire_counts(spark, sf_dir):
 FROM items WHERE batch_id IS NOT NULL GROUP BY batch_id HAVING count(*) <= 1000""",
 )
 def batch_snapshot(spark, sf_dir):
-    """The ordered content of a batch as one digest; batches are capped uploads, longer (import) ones have no snapshot."""
+    """The ordered content of every batch as one digest, however long the batch (the SQL stops at 1,000 items)."""
     rows = items_now(spark, sf_dir, "batch_id", "item_index", "status").where("batch_id is not null")
-    sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_items")).where("n_items <= 1000")
-    line = F.concat(F.col("item_index").cast("string"), F.lit(":"), "id", F.lit(":"), F.coalesce("status", F.lit("")))
-    packed = rows.join(sizes, "batch_id").groupBy("batch_id", "n_items").agg(F.array_sort(F.collect_list(F.struct("item_index", "id", line.alias("line")))).alias("l"))
-    return packed.select("batch_id", "n_items", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), ","), 256).alias("digest"))
+    line = F.concat(F.coalesce(F.col("item_index").cast("string"), F.lit("")), F.lit(":"), "id", F.lit(":"), F.coalesce("status", F.lit("")))
+    return records.ordered_digests(rows, "batch_id", [F.col("item_index"), F.col("id")], line, ",").withColumnRenamed("n_rows", "n_items")
 
 
 @R.add("a6_asset_dedupe", "SELECT checksum_sha256 AS checksum, min_by(id, (created_at, id)) AS winner, count(*) AS n_rows, count(*) > 1 AS reused FROM media_assets GROUP BY checksum_sha256")
@@ -183,6 +181,13 @@ def items_in_order(spark, sf_dir):
     return rows.select("batch_id", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.asc_nulls_last("item_index"), "id")).cast("bigint").alias("place"), "id")
 
 
+@R.add("l3_all_items_in_order", None)
+def all_items_in_order(spark, sf_dir):
+    """L3 over every batch, import batches included (l3_items_in_order keeps to the uploads of its SQL)."""
+    rows = items_now(spark, sf_dir, "batch_id", "item_index").where("batch_id is not null").select("batch_id", "item_index", "id")
+    return records.numbered(rows, "batch_id", ["item_index", "id"]).select("batch_id", "place", "id")
+
+
 @R.add(
     "a15_fingerprints",
     f"""WITH {ITEMS}, k AS (SELECT i.batch_id, a.checksum_sha256 AS c FROM items i JOIN media_assets a ON a.id = i.source_asset_id),
@@ -191,13 +196,13 @@ SELECT b.id AS batch_id, sha256(concat_ws('|', b.created_by, count(*)::varchar,
 FROM (SELECT DISTINCT id, created_by FROM ingestion_batches) b JOIN k ON k.batch_id = b.id JOIN small s ON s.batch_id = b.id GROUP BY b.id, b.created_by""",
 )
 def fingerprints(spark, sf_dir):
-    """The request fingerprint of every upload; uploads are capped, longer (import) batches have none."""
+    """The request fingerprint of every batch, however long (the SQL stops at 1,000 items)."""
     assets = table(spark, sf_dir, "media_assets").select(F.col("id").alias("source_asset_id"), F.col("checksum_sha256").alias("c"))
     sums = items_now(spark, sf_dir, "batch_id", "source_asset_id").join(assets, "source_asset_id").select("batch_id", "c")
-    small = sums.groupBy("batch_id").count().where("count <= 1000").select("batch_id")
-    lists = sums.join(small, "batch_id", "left_semi").groupBy("batch_id").agg(F.collect_list("c").alias("c"))
     owners = table(spark, sf_dir, "ingestion_batches").select(F.col("id").alias("batch_id"), "created_by").distinct()
-    return owners.join(lists, "batch_id").select("batch_id", keys.fingerprint(F.col("created_by"), F.col("c")).alias("fingerprint"))
+    heads = owners.join(sums.groupBy("batch_id").count(), "batch_id").select("batch_id", F.concat_ws("|", "created_by", F.col("count").cast("string")).alias("head"))
+    rows = sums.join(heads, "batch_id")
+    return records.ordered_digests(rows, "batch_id", [F.col("c")], F.col("c"), "|", F.col("head")).select("batch_id", F.col("digest").alias("fingerprint"))
 
 
 @R.add("a19_batch_bytes", f"WITH {ITEMS} SELECT i.batch_id, count(*) AS n_files, sum(a.byte_size)::bigint AS total_bytes, sum(a.byte_size) > 104857600 AS too_large, bool_or(a.byte_size > 10485760) AS has_large FROM items i JOIN media_assets a ON a.id = i.source_asset_id GROUP BY i.batch_id")
