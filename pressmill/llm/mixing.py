@@ -119,12 +119,6 @@ def choose(sized: DataFrame, budget_rows: list[tuple[int, str, float, float, int
     plan = spark.createDataFrame([(p, s, float(b // t) if t else 0.0, float(b % t) if t else 0.0) for p, s, _, b, t in budget_rows], "plan_id int, source string, epochs double, rest double")
     order = F.xxhash64("doc_id", F.lit(seed), F.col("epochs").cast("long"))
     each = sized.where("tokens > 0").join(F.broadcast(plan), "source").withColumn("at", order).withColumn("bucket", F.floor((F.shiftrightunsigned(F.col("at"), 11) / F.lit(float(1 << 53))) * buckets).cast("int"))
-    # A document larger than an eighth of the rest would miss the budget by much: the last epoch passes it over
-    # where the smaller ones are enough.
-    small = F.col("tokens") <= F.col("rest") / 8
-    enough = each.groupBy("plan_id", "source").agg(F.sum(F.when(small, F.col("tokens")).otherwise(0)).alias("n_small"))
-    each = each.join(F.broadcast(enough), ["plan_id", "source"]).withColumn("in_turn", small | (F.col("n_small") < F.col("rest")))
-    passed, each = each.where("NOT in_turn AND epochs >= 1").withColumn("extra", F.lit(0)), each.where("in_turn")
     sums = each.groupBy("plan_id", "source", "bucket").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("plan_id", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("plan_id", "source", "bucket", "n", "start")
@@ -134,7 +128,7 @@ def choose(sized: DataFrame, budget_rows: list[tuple[int, str, float, float, int
     within = Window.partitionBy("plan_id", "source", "bucket").orderBy(F.shiftrightunsigned(F.col("at"), 11), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where((F.col("start") + F.col("n") > F.col("rest")) & (F.col("start") <= F.col("rest")))
     edge = edge.withColumn("cum", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).withColumn("extra", (F.col("cum") + F.col("tokens") / 2 <= F.col("rest")).cast("int")).drop("cum")
-    chosen = inside.unionByName(outside).unionByName(edge).unionByName(passed, allowMissingColumns=True).withColumn("repeats", (F.col("epochs") + F.col("extra")).cast("int"))
+    chosen = inside.unionByName(outside).unionByName(edge).withColumn("repeats", (F.col("epochs") + F.col("extra")).cast("int"))
     return chosen.where("repeats > 0").select("plan_id", "source", "doc_id", "tokens", "repeats")
 
 
