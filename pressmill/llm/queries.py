@@ -74,26 +74,23 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(table(spark, sf_dir, "pack_sizes"), "pack_id").withColumn("unused_share", 1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, total: str) -> tuple[DataFrame, list]:
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """A plan is as large as one epoch of its sources together, whatever its scarcest source can carry: what a source
+    cannot supply of its share, its siblings take over."""
     docs = _sized(spark, sf_dir, ["doc_id", "source", "doc_kind", "lang"])
     kinds = docs.select("doc_id", "source", F.col("doc_kind").alias("domain"), F.col("lang").alias("language"), "tokens")
-    rows = mixing.budgets(mixing.source_supply(kinds), table(spark, sf_dir, "mix_targets"), total)
+    rows = mixing.budgets(mixing.source_supply(kinds), table(spark, sf_dir, "mix_targets"), "available")
     return mixing.choose(kinds.select("doc_id", "source", "tokens"), rows), rows
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen documents of every plan with their repeats, at the largest total with exact shares."""
-    return _mixed(spark, sf_dir, "exact")[0]
+    """The chosen documents of every plan with their repeats; shortages are redistributed."""
+    return _mixed(spark, sf_dir)[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual shares of every plan, at the largest total with exact shares."""
-    return mixing.shares(*_mixed(spark, sf_dir, "exact"))
-
-
-def p9_stretched_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual shares when a plan is as large as its sources together: shortages are redistributed."""
-    return mixing.shares(*_mixed(spark, sf_dir, "available"))
+    """Target and actual shares of the mix of p9_documents."""
+    return mixing.shares(*_mixed(spark, sf_dir))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +175,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_documents": p9_documents,
     "p9_shares": p9_shares,
-    "p9_stretched_shares": p9_stretched_shares,
+    "p9_stretched_shares": p9_shares,  # the name it had while p9_shares kept to exact shares
     "p10_found": p10_found,
     "p10_sources": p10_sources,
 }
