@@ -68,8 +68,8 @@ def polygon_box(points: Column) -> Column:
 
 
 def confidence_label(value: Column) -> Column:
-    """G-5: high from 0.85, medium from 0.60, else or unknown low."""
-    return F.when(value >= 0.85, "high").when(value >= 0.60, "medium").otherwise("low")
+    """G-5: high from 0.85, medium from 0.60, else or unknown low; NaN, which Spark orders above all numbers, is unknown."""
+    return F.when(F.isnan(value), "low").when(value >= 0.85, "high").when(value >= 0.60, "medium").otherwise("low")
 
 
 def label_confidence(label: Column) -> Column:

@@ -192,6 +192,13 @@ def confidence_labels(spark, sf_dir):
     return rows.select("id", geometry.confidence_label(F.col("confidence_overall")).alias("label"), geometry.label_confidence(F.col("confidence_label")).alias("stated"))
 
 
+@R.add("g5_all_confidence_labels", None)
+def all_confidence_labels(spark, sf_dir):
+    """G-5 over every candidate: NaN is low (g5_confidence_labels leaves NaN out, as its SQL does)."""
+    rows = candidates_now(spark, sf_dir, "confidence_overall", "confidence_label")
+    return rows.select("id", geometry.confidence_label(F.col("confidence_overall")).alias("label"), geometry.label_confidence(F.col("confidence_label")).alias("stated"))
+
+
 @R.add(
     "n8_capped_candidates",
     f"""WITH {CANDIDATES}, p AS (SELECT id, item_id, title, row_number() OVER (PARTITION BY item_id ORDER BY candidate_index ASC NULLS LAST, id) - 1 AS pos FROM cands WHERE item_id IS NOT NULL),

@@ -52,9 +52,9 @@ def phone_lists(spark, sf_dir):
 
 @R.add("f13_phone_scan", r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'), ',') AS phones FROM documents WHERE len(list_distinct(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))) = len(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))""")
 def phone_scan(spark, sf_dir):
-    """F13 on documents without repeated numbers (the SQL has no ordered distinct)."""
-    found = F.regexp_extract_all("text", F.lit(r"((?:\+?94|0)\d{8,9})"), F.lit(1))
-    return table(spark, sf_dir, "documents").where(F.size(found) == F.size(F.array_distinct(found))).select("doc_id", F.array_join(tx.scan_phones(F.col("text")), ",").alias("phones"))
+    """the distinct numbers of every document in the order of their first mention (the SQL, which has no ordered
+    distinct, leaves out documents that repeat a number and null texts; the latter give null)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.scan_phones(F.col("text")), ",").alias("phones"))
 
 
 @R.add("f12_keyword_category", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{k}'" for k, w in tx.KEYWORDS.items()) + " ELSE 'Other' END AS category FROM documents")
@@ -120,6 +120,13 @@ def distinct_phones(spark, sf_dir):
     return rows.select("id", F.size(F.array_distinct("phones")).alias("n_distinct"), F.size("phones").alias("n"))
 
 
+@R.add("r1_all_distinct_phones", None)
+def all_distinct_phones(spark, sf_dir):
+    """R1 over every list: null entries are one value (r1_distinct_phones leaves such lists out, as its SQL does)."""
+    rows = candidates_now(spark, sf_dir, "phones").where("phones is not null")
+    return rows.select("id", F.size(F.array_distinct("phones")).alias("n_distinct"), F.size("phones").alias("n"))
+
+
 @R.add(
     "r3_changed_fields",
     """WITH v AS (SELECT id, version, status, category, location, lag(id) OVER w AS before_id, lag(status) OVER w AS s0, lag(category) OVER w AS c0, lag(location) OVER w AS l0
