@@ -47,6 +47,13 @@ class Check:
             return c.isNotNull()
         raise ValueError(f"unknown kind of check: {self.kind}")
 
+    def carried(self) -> list[Column]:
+        """For each allowed code of a code column: true where the row carries it, once however often it repeats it."""
+        if self.kind not in ("code", "codes"):
+            return []
+        c = F.col(self.column)
+        return [F.array_contains(c, a) if self.kind == "codes" else c == a for a in self.allowed]
+
     def bad(self) -> Column:
         """True where the constraint is broken."""
         return F.col(self.column).isNull() if self.kind == "not_null" else F.col(self.column).isNotNull() & ~self.valid()
@@ -56,7 +63,8 @@ def compile_state(df: DataFrame, checks: Sequence[Check], partition: str) -> Dat
     """One row per partition value with the mergeable state of every checked column, from one scan.
 
     Columns: ``partition``, ``rows`` and for each column c: c__nulls, c__bad, c__valid, c__sum, c__sum2 (sums of
-    valid numbers, zero for other kinds), c__low, c__high (as strings for text, doubles for numbers), c__hll.
+    valid numbers, zero for other kinds), c__low, c__high (as strings for text, doubles for numbers), c__hll, and for
+    code columns c__code0, c__code1, ..: the rows that carry each allowed code.
     Rows with a null partition form a partition of their own. An empty table has no state rows.
     """
     kinds = dict(df.dtypes)
@@ -78,6 +86,7 @@ def compile_state(df: DataFrame, checks: Sequence[Check], partition: str) -> Dat
             F.max(shown).alias(f"{k.column}__high"),
             F.hll_sketch_agg(F.concat(F.lit("="), flat)).alias(f"{k.column}__hll"),
         ]
+        out += [F.count_if(x).alias(f"{k.column}__code{i}") for i, x in enumerate(k.carried())]
     return df.groupBy(F.col(partition).alias("partition")).agg(*out)
 
 
@@ -86,7 +95,7 @@ def merge_states(states: DataFrame, checks: Sequence[Check], by: Sequence[str] =
     out = [F.sum("rows").alias("rows")]
     for k in checks:
         n = k.column
-        out += [F.sum(f"{n}__{x}").alias(f"{n}__{x}") for x in ("nulls", "bad", "valid", "sum", "sum2")]
+        out += [F.sum(f"{n}__{x}").alias(f"{n}__{x}") for x in ("nulls", "bad", "valid", "sum", "sum2", *(f"code{i}" for i in range(len(k.carried()))))]
         out += [F.min(f"{n}__low").alias(f"{n}__low"), F.max(f"{n}__high").alias(f"{n}__high"), F.hll_union_agg(f"{n}__hll").alias(f"{n}__hll")]
     return states.groupBy(*by).agg(*out)
 
@@ -173,6 +182,31 @@ def control_limits(history: DataFrame, value: str, by: Sequence[str], order: str
     return rows.withColumn("out_of_control", F.coalesce(test, F.lit(False)))
 
 
+def load_metrics(states: DataFrame, checks: Sequence[Check], keep: Sequence[str] = ("partition",)) -> DataFrame:
+    """(keep.., column_name, metric, value): null rate, bad rate, mean of valid numbers and the share of every allowed code, from states alone."""
+    rows = []
+    for k in checks:
+        n = k.column
+        values = {"null_rate": F.col(f"{n}__nulls") / F.col("rows"), "bad_rate": F.col(f"{n}__bad") / F.col("rows")}
+        if k.kind == "range":
+            values["mean"] = F.when(F.col(f"{n}__valid") > 0, F.col(f"{n}__sum") / F.col(f"{n}__valid"))
+        if k.kind in ("code", "codes"):
+            values |= {f"share {a}": F.col(f"{n}__code{i}") / F.col("rows") for i, a in enumerate(k.allowed)}
+        rows += [F.struct(F.lit(n).alias("column_name"), F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values.items()]
+    return states.select(*keep, F.inline(F.array(*rows)))
+
+
+def anomalies(states: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """(column_name, metric, partition, value, center, spread): loads outside the control limits of the loads before them.
+
+    ``states`` may hold several states of a load (of files, or an old profile and new rows); they are merged first.
+    Rows with a null partition are no load.
+    """
+    loads = merge_states(states.where("partition is not null"), checks, ["partition"])
+    tested = control_limits(load_metrics(loads, checks), "value", ["column_name", "metric"], "partition")
+    return tested.where("out_of_control").select("column_name", "metric", "partition", "value", "center", "spread")
+
+
 def bad_values(df: DataFrame, checks: Sequence[Check], table: str, key: str) -> DataFrame:
     """(tbl, column_name, rec_key, issue='bad_value'), one row per record and broken column."""
     flags = F.array_compact(F.array(*[F.when(k.bad(), F.lit(k.column)) for k in checks]))

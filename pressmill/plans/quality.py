@@ -51,7 +51,17 @@ def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p4_found": p4_found, "p4_amounts": p4_amounts, "p6_found": p6_found, "p6_profile": p6_profile}
+def p6_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of loads outside the control limits of the loads before them, one scan a table."""
+    parts = []
+    for name, checks in (("ingestion_items", item_checks(spark, sf_dir)), ("candidates", CANDIDATE_CHECKS)):
+        states = profile.compile_state(table(spark, sf_dir, name), checks, "load_id")
+        found = profile.anomalies(states, checks).withColumn("tbl", F.lit(name)).withColumn("load_id", F.col("partition").cast("string"))
+        parts.append(found.select("tbl", "column_name", "load_id", "metric", "value", "center", "spread"))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {"p4_found": p4_found, "p4_amounts": p4_amounts, "p6_found": p6_found, "p6_profile": p6_profile, "p6_anomalies": p6_anomalies}
 
 _P6_METRICS = """
 loads AS (SELECT load_id, count(*) AS n FROM ingestion_items WHERE load_id IS NOT NULL GROUP BY load_id),
