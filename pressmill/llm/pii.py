@@ -7,8 +7,8 @@ streets and firms are not names.
 
 Surrogates keep type, script, letter case, layout and name family (an ending class, which carries the gender).
 Telephone and identity numbers go through a keyed permutation of their digits, so different numbers never meet
-in one surrogate; names and addresses draw from a keyed hash with a collision check within the record. Equal
-details of one key get equal surrogates everywhere, whatever their layout, so coreference survives.
+in one surrogate; names, addresses and mail addresses go through keyed one-to-one maps of their words. Equal details
+of one key get equal surrogates everywhere, whatever their layout or record, so coreference survives.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -216,6 +217,48 @@ def permute_digits(digits: str, key: bytes, what: str) -> str:
     return a + b
 
 
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+_INDIC = tuple("".join(chr(c) for c in range(a, b + 1) if unicodedata.category(chr(c)) in kinds) for a, b, kinds in (
+    (0x0D85, 0x0D96, ("Lo",)), (0x0D9A, 0x0DC6, ("Lo",)), (0x0DCF, 0x0DDF, ("Mc", "Mn")), (0x0B85, 0x0B94, ("Lo",)), (0x0B95, 0x0BB9, ("Lo",)), (0x0BBE, 0x0BCC, ("Mc", "Mn"))))
+
+
+@lru_cache(8)
+def _moves(letters: frozenset[str] | None) -> dict[str, tuple[str, int]]:
+    """The class of every character that can move, and its place there."""
+    groups = ["".join(c for c in g if letters is None or c in letters) for g in (_VOWELS, _CONSONANTS, *_INDIC, "0123456789")]
+    return {c: (g, i) for g in groups if len(g) > 1 for i, c in enumerate(g)}
+
+
+@lru_cache(100_000)
+def permute_letters(word: str, key: bytes, what: str, letters: frozenset[str] | None = None) -> str:
+    """A keyed bijection of words of one pattern (vowels, consonants, signs and digits keep their places).
+
+    Every character moves within its class by a keyed step that depends on the characters before it, so the word can
+    be read back from left to right; the first one that can move always does, so no word stays. Only ``letters`` move;
+    a leading zero stays and no other digit becomes one.
+    """
+    out, moved, moves = [], False, _moves(letters)
+    seen = hashlib.blake2b(f"{what}\x1f".encode(), digest_size=8, key=hashlib.sha256(key).digest())
+    for i, c in enumerate(word):
+        new = c
+        if c in moves:
+            group, at = moves[c]
+            if not i and c.isdigit():
+                group, at = ("123456789", int(c) - 1) if "1" in group and c != "0" else (c, 0)
+            if len(group) > 1:
+                step = int.from_bytes(seen.digest(), "big")
+                new = group[(at + (step % len(group) if moved else 1 + step % (len(group) - 1))) % len(group)]
+                moved = True
+        out.append(new)
+        seen.update(c.encode())
+    return "".join(out)
+
+
+#: The words of an address and what stands between them; words of address forms are kept.
+_WORDS = re.compile(r"([\w\u0d80-\u0dff\u0b80-\u0bff\u200c\u200d]+)|[^\w\u0d80-\u0dff\u0b80-\u0bff\u200c\u200d]+")
+KEPT = frozenset(f"{STREETS_EN}|{STREETS_SI}|{STREETS_TA}|No|Flat|Apt|Unit|අංක|නො|இல|எண்".lower().split("|"))
+
+
 def _into(layout: str, digits: str) -> str:
     """Digits put into the places of another number: separators and full-width forms stay, a misread O becomes a digit."""
     it = iter(digits)
@@ -223,41 +266,42 @@ def _into(layout: str, digits: str) -> str:
 
 
 class Surrogates:
-    """Keyed replacements for the details of a record, consistent for one key over all records."""
+    """Keyed replacements for details: one to one for one key over all records, whatever else a record holds."""
 
     def __init__(self, key: bytes, lexicon: Iterable[tuple[str, str]], places: Iterable[str], names: Names):
         self.key, self.names = key, names
-        self.pool: dict[str, list[str]] = defaultdict(list)
-        self.by_kind: dict[tuple[str, str], list[str]] = defaultdict(list)
-        for form, kind in sorted(set(lexicon)):
-            if form:
-                self.pool[names.family(form)].append(form)
-                self.by_kind[script(form), kind].append(form)
-        self.towns: dict[str, list[str]] = defaultdict(list)
-        for p in sorted(set(places)):
-            if p:
-                self.towns[script(p)].append(p)
+        self.letters = frozenset(names.letters)
+        listed: dict[tuple[str, ...], set[str]] = defaultdict(set)
+        for form, kind in names.kind.items():
+            if not self._stem(form):
+                listed["name", script(form), kind].add(form)
+        for p in names.places:
+            if re.fullmatch(r"[\w\u0d80-\u0dff\u0b80-\u0bff\u200d]+", p) and p not in KEPT:
+                listed["town", script(p)].add(p)
+        # A keyed cycle through each list: another entry for every entry, and no two get the same.
+        self.next: dict[str, dict[str, str]] = {"name": {}, "town": {}}
+        for (what, *_), forms in listed.items():
+            ring = sorted(forms, key=lambda f: (_hash(key, what, f), f))
+            if len(ring) > 1:
+                self.next[what].update(zip(ring, ring[1:] + ring[:1]))
 
     def replace(self, text: str, spans: list[tuple[int, int, str]], given: dict[tuple[str, str], str]) -> str:
-        """The text with surrogates. ``given`` holds the record's (type, detail) to surrogate and is extended.
-
-        A surrogate already standing for another detail of the record, or equal to its own original, is drawn
-        again; numbers cannot collide.
-        """
+        """The text with surrogates. ``given`` holds (type, detail) to surrogate, to draw each once, and is extended."""
         out, done = [], 0
         for a, b, kind in spans:
             raw = text[a:b]
             identity = self.identity(kind, raw)
             if (kind, identity) not in given:
-                for again in range(64):
-                    new = self.draw(kind, raw, identity, again)
-                    if new != identity and not any(k[0] == kind and v == new for k, v in given.items()):
-                        break
-                given[kind, identity] = new
+                given[kind, identity] = self.draw(kind, identity)
             out += (text[done:a], self.shape(kind, raw, given[kind, identity]))
             done = b
         return "".join(out) + text[done:]
 
+    def _stem(self, word: str) -> str:
+        """What stands before the family ending of a name, if it is long enough to be changed and still be a name."""
+        stem = word[: len(word) - len(self.names.family(word))]
+        return stem if len(stem) >= 2 and len(stem) < len(word) and len(word) > 4 and permute_letters(stem, self.key, "name", self.letters) != stem else ""
+
     def identity(self, kind: str, raw: str) -> str:
         """What makes two mentions the same detail, whatever their layout or case."""
         flat = fold(raw)
@@ -271,37 +315,54 @@ class Surrogates:
             return mail
         return re.sub(r"\s+", " ", flat).strip().lower()
 
-    def draw(self, kind: str, raw: str, identity: str, again: int) -> str:
+    def draw(self, kind: str, identity: str) -> str:
         if kind == "phone":
             return identity[:3] + permute_digits(identity[3:], self.key, "phone")
         if kind == "national_id":
             body, letter = (identity[:-1], identity[-1]) if identity[-1] in "VX" else (identity, "")
             head = 2 if letter else 4
             return body[:head] + permute_digits(body[head:], self.key, "id") + letter
-        seed = _hash(self.key, kind, identity, str(again))
         if kind == "email":
-            local = "".join("bcdfghjklmnprstv"[(seed >> (8 * i)) % 16] + "aeiou"[(seed >> (8 * i + 4)) % 5] for i in range(7))
-            return f"{local}@{('mail', 'post', 'inbox')[seed % 3]}.invalid"
+            return permute_letters(identity, self.key, "email") + ".invalid"
         if kind == "street_address":
-            towns = self.towns[script(raw)] or [""]
-            number = 1 + seed % 398
-            flat = re.sub(_HOUSE, str(number), fold(raw), count=1) if not re.match(r"(?:Flat|Apt|Unit)", raw) else re.sub(rf",\s{_HOUSE}", f", {number}", fold(raw), count=1)
-            head, comma, tail = flat.rpartition(", ")
-            return f"{head}, {towns[seed % len(towns)]}" if comma and not re.search(r"\d", tail) and not re.search(f"(?:{STREETS_EN}|{STREETS_SI}|{STREETS_TA})$", tail, re.I) else flat
-        return " ".join(self.name(w, again) for w in identity.split(" "))
-
-    def name(self, word: str, again: int) -> str:
-        """Another name of the same script and family, else of the same script and kind; an initial gives another initial."""
-        seed = _hash(self.key, "name", word, str(again))
+            return self.address(identity)
+        return " ".join(self.name(w) for w in identity.split(" "))
+
+    def address(self, identity: str) -> str:
+        """House, street and town replaced word by word; words of address forms stay. The step of a word depends on the
+        words before it, so the address can be read back from left to right: no two addresses meet."""
+        out, towns = "", self.next["town"]
+        for m in _WORDS.finditer(identity):
+            word, what = m[0], "address" + identity[: m.start()]
+            if word in towns:
+                word = towns[word]
+            elif m[1] and word not in KEPT:
+                word = permute_letters(word, self.key, what)
+                while word in KEPT or word in towns:
+                    word = permute_letters(word, self.key, what)
+            out += word
+        return out
+
+    def name(self, word: str) -> str:
+        """Another name of the same script and family, else of the same script and kind; an initial gives another initial.
+
+        Names with a family change before its ending, listed names without one go round their list, all others change
+        everywhere; each of the three is mapped one to one onto itself.
+        """
         if re.fullmatch(r"(?:[a-z]\.)+", word):
-            return re.sub(r"[a-z]", lambda m: "abcdefghijklmnoprstvwy"[seed % 22], word)
-        family = self.names.family(word)
-        near = self.pool[family] if family else []
-        for pool in (near, self.by_kind[script(word), self.names.of(word) or "surname"]):
-            fit = [p for p in pool if p.lower() != word and script(p) == script(word)]
-            if fit:
-                return fit[seed % len(fit)].lower()
-        return word
+            return "".join(chr(97 + (ord(c) - 97 + 1 + _hash(self.key, "initial", str(i)) % 25) % 26) if c != "." else c for i, c in enumerate(word))
+        if stem := self._stem(word):
+            end = word[len(stem) :]
+            new = permute_letters(stem, self.key, "name" + end, self.letters)
+            while new != stem and new + end in self.names.places:
+                new = permute_letters(new, self.key, "name" + end, self.letters)
+            return new + end
+        if word in self.next["name"]:
+            return self.next["name"][word]
+        new = permute_letters(word, self.key, "other")
+        while new != word and (new in self.names.places or new in self.next["name"] or self._stem(new) or re.fullmatch(r"(?:[a-z]\.)+", new)):
+            new = permute_letters(new, self.key, "other")
+        return new
 
     def shape(self, kind: str, raw: str, new: str) -> str:
         """The surrogate in the layout and case of the mention."""
@@ -317,6 +378,9 @@ class Surrogates:
             return shaped
         if kind == "person_name":
             return " ".join(w.upper() if o.isupper() and len(o) > 2 else w if o.islower() else w.title() if script(w) == "latin" else w for w, o in zip(new.split(" "), re.sub(r"\s+", " ", raw).split(" ")))
+        if kind == "street_address":
+            pairs = zip((m[0] for m in _WORDS.finditer(new)), (m[0] for m in _WORDS.finditer(re.sub(r"\s+", " ", fold(raw)).strip())))
+            return "".join(n.upper() if o.isupper() else n[:1].upper() + n[1:] if o[:1].isupper() else n for n, o in pairs)
         return new.upper() if raw.isupper() else new
 
 
