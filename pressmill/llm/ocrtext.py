@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -74,6 +75,7 @@ class Lexicon:
         self.by_read: dict[str, list[tuple[str, str]]] = {}
         for read, printed in CONFUSIONS:
             self.by_read.setdefault(read[0], []).append((read, printed))
+        self.longest = max(map(len, self.cores), default=0)
         self.memo: dict[str, tuple[str, list[int]] | None] = {}
         # A misreading of a very frequent word may itself be frequent: it is told by its ratio to the word.
         for c in list(self.cores):
@@ -293,6 +295,24 @@ def decode(text: str | None, lexicon: Lexicon, heads: dict[str, int], repair: bo
     return Page(sorted(set(noises)), rebuild(content, fixed, joins, blank, lexicon) if repair else [])
 
 
+def segments(c: str, lexicon: Lexicon) -> tuple[float, list[str]] | None:
+    """The cheapest reading of a run of letters as two or more known words, two nats a cut, or None; words of any
+    script (vowel signs and virama are marks, not letters) and runs of any length."""
+    n = len(c)
+    best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+    for j in range(2, n + 1):
+        for i in range(max(0, j - lexicon.longest), j - 1):
+            if best[i][0] < math.inf and (i or j < n) and lexicon.count(w := c[i:j]):
+                best[j] = min(best[j], (best[i][0] + lexicon.cost(w) + (2.0 if i else 0.0), i))
+    if best[n][0] == math.inf:
+        return None
+    words, j = [], n
+    while j:
+        words.append(c[best[j][1] : j])
+        j = best[j][1]
+    return best[n][0], words[::-1]
+
+
 def viterbi(tokens: list[str], lexicon: Lexicon, whole: frozenset[str] | set[str] = frozenset()) -> list[str]:
     """The cheapest reading of a token stream that keeps, splits or merges tokens (corrections came before).
 
@@ -308,11 +328,8 @@ def viterbi(tokens: list[str], lexicon: Lexicon, whole: frozenset[str] | set[str
         c = core(token)
         known = token in whole or _DIGIT.sub("9", token) in lexicon.fine or bool(lexicon.count(_DIGIT.sub("9", c)))
         options = [(best[j - 1][0] + (lexicon.cost(c) if c else 0.0), j - 1, [token])]
-        if not known and 5 <= len(c) <= 40 and c.isalpha():
-            for cut in range(2, len(c) - 1):
-                a, b = c[:cut], c[cut:]
-                if lexicon.count(a) and lexicon.count(b) and min(len(a), len(b)) >= 2:
-                    options.append((best[j - 1][0] + lexicon.cost(a) + lexicon.cost(b) + 2.0, j - 1, token.replace(c, f"{a} {b}", 1).split(" ", 1)))
+        if not known and len(c) >= 5 and all(unicodedata.category(x)[0] in "LM" or x == "\u200d" for x in c) and (parts := segments(c, lexicon)):
+            options.append((best[j - 1][0] + parts[0], j - 1, token.replace(c, " ".join(parts[1]), 1).split(" ")))
         if j > 1 and not known:
             joined = tokens[j - 2] + token
             if lexicon.count(_DIGIT.sub("9", core(joined))):
