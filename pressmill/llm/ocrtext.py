@@ -1,16 +1,16 @@
 """Text of scanned pages repaired into continuous paragraphs, with the noise of every line named.
 
-Two things are learned from all texts first: a lexicon (tokens with a relative frequency of at least ``share``,
-hence at most 1/``share`` of them, a proven bound for the broadcast) and the papers' running heads (single
-lines that occur with page numbers or dates beside them). Each text is then decoded on its own:
+Learned from all texts first: how often every word occurs, how often each character confusion happens, and the
+papers' running heads (single lines with page numbers or dates beside them). Each text is then decoded on its own:
 
 * furniture (running heads, page numbers) is taken out of the stream of lines,
-* the remaining lines form one stream of tokens; words broken by a hyphen are joined, unknown tokens are
-  decoded by a Viterbi search that may keep, correct (character confusions, stray marks), split or merge them
-  at the cost of unigram and channel probabilities,
+* the remaining lines form one stream. One Viterbi search over it joins words broken at line ends, undoes confusions
+  and stray marks, and splits and merges words, all in one lattice at the cost of word and channel probabilities;
+  the noise of a line is what the best path did there,
 * paragraph boundaries are chosen by dynamic programming over line ends.
 
-Digits are written as 9 in the lexicon, so all numbers of one shape are one token.
+Frequent words and heads are shipped to the workers (bounded by their relative frequency). A text asks for the
+others it needs, which come from the whole tables by equality joins, so no word is too rare to be known.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill.llm.lookalike import plain_form, quick_check
+from pressmill.session import durable
 
 NOISES = ("hyphen_break", "misread", "running_header", "page_number")
 
@@ -44,6 +46,7 @@ BREAK = re.compile(r"(?:(?<=[^\W\d_])|(?<=[ං-෿஀-௿‍]))(?:-|¬|=|­|‐)
 GARBLED = re.compile(r"(?<![\w-])(?!(?:[ie][A-Z][a-z]+)\b)(?:[a-z]+[A-Z]+[a-z]\w*|[a-z]+[A-Z]\w*\d\w*|\d+[a-z]+[A-Z]\w*)")
 DATE = r"\d{1,2}(?:st|nd|rd|th)?\s+[A-Z][a-z]+\s+\d{4}"
 PAGE_NUMBER = re.compile(r"[\[({|\-–—~.\s]*(?:(?:Page|PAGE|page|Pg|P|p|පිටුව|පිටු|பக்கம்|பக்)\.?\s*(?:No\.?\s*)?)?[\dOIl|]{0,3}\d[\dOIl]{0,3}[\])}|\-–—~.\sJ^¦_'`]*")
+_NATIVE = re.compile(r"[\u0b80-\u0dff]")
 _EDGES = re.compile(r"^[^\w඀-෿஀-௿]+|[^\w඀-෿஀-௿‍]+$")
 _DIGIT = re.compile(r"\d")
 _STOPS = (".", "!", "?", ".\"", ".'", ":")
@@ -54,89 +57,172 @@ def core(token: str) -> str:
     return _EDGES.sub("", token)
 
 
-@dataclass
+#: A misread form must stay below this many times what the learned rate of its confusion lets expect.
+SLACK = 12.0
+#: Shapes of numbers stand for many numbers each, so a letter in one (model 200S) is told from a misread digit by this ratio.
+NUMBER_RATIO = 200
+#: Costs in nats beside the words' own: a break at a line end, a lost or an added space, a stray mark, a compound never seen unbroken.
+BREAK_COST, SPACE_COST, STRAY_COST, COMPOUND_COST = 1.0, 4.0, 6.0, 10.0
+#: Rate of a confusion the texts say nothing about.
+DEFAULT_RATE, LEAST_RATE = 4e-3, 2e-4
+_RUN = re.compile(r"(?<=\d)\d|\d(?=\d)")
+_SMALL = re.compile(r"[a-z\u0b80-\u0dff]")
+#: Latin words as print writes them; codes hold digits and are no words.
+_ORDINARY = re.compile(r"(?:[a-z]+|[A-Z][a-z]*|[A-Z]{1,3}s?)(?:['’][A-Za-z]+)?")
+_LATIN_ONLY = re.compile(r"[A-Za-z]+")
+
+
+def shape(c: str) -> str:
+    """A word as it is counted: digits as 9, except a single digit among small letters, which may be a misread letter."""
+    return _RUN.sub("9", c) if _SMALL.search(c) else _DIGIT.sub("9", c)
+
+
 class Lexicon:
-    """Frequent tokens as they are written and by their core, with counts; digits as 9."""
+    """Counts of words (cores of tokens, in ``shape``) and what they say about misreadings.
 
-    raw: dict[str, int]
-    ratio: float = 12.0
-    cores: dict[str, int] = field(default_factory=dict)
-    noisy: dict[str, str] = field(default_factory=dict)
-    total: int = 0
+    ``raw`` holds the frequent tokens or words; ``local`` the counts of rarer ones that answer what the text at hand
+    asked for (``told``). What the lexicon is asked for and does not hold is noted in ``asks``.
+    """
 
-    def __post_init__(self) -> None:
-        for token, n in self.raw.items():
-            c = core(token)
+    def __init__(self, raw: dict[str, int], rates: dict[tuple[str, str], float] | None = None, total: int = 0, longest: int = 0):
+        self.cores: dict[str, int] = {}
+        for token, n in raw.items():
+            c = shape(core(token))
             self.cores[c] = self.cores.get(c, 0) + n
-            if c and c[0].isupper():
-                small = c[0].lower() + c[1:]
-                self.cores.setdefault(small, 0)
-        self.total = max(sum(self.raw.values()), 1)
+        self.total = max(total, sum(raw.values()), 1)
         self.by_read: dict[str, list[tuple[str, str]]] = {}
         for read, printed in CONFUSIONS:
             self.by_read.setdefault(read[0], []).append((read, printed))
-        self.longest = max(map(len, self.cores), default=0)
-        self.memo: dict[str, tuple[str, list[int]] | None] = {}
-        # A misreading of a very frequent word may itself be frequent: it is told by its ratio to the word.
-        for c in list(self.cores):
-            if n := self.count(c):
-                fixed = self.correct(c, n)
-                if fixed:
-                    self.noisy[c] = fixed[0]
-        self.fine = {t for t in self.raw if core(t) not in self.noisy and not STRAY.search(t) and not GARBLED.match(t)}
+        self.longest = longest or max(map(len, self.cores), default=0)
+        self.local: dict[str, int] = {}
+        self.told: set[str] = set()
+        self.asks: set[str] = set()
+        self.memo: dict[str, tuple[tuple[float, str, tuple[int, ...]], frozenset[str]]] = {}
+        self.clear: set[str] = set()
+        self.rates = learn_rates(misreadings(self.cores), self.cores) if rates is None else rates
 
     def count(self, c: str) -> int:
-        n = self.cores.get(c, 0)
-        return n or (self.cores.get(c[0].lower() + c[1:], 0) if c else 0)
-
-    def variants(self, c: str) -> Iterator[tuple[str, int]]:
-        """(printed form, position of the change) for one confusion undone at one place."""
+        """How often a word occurs, as written or, if never, with a small first letter."""
+        n = self.cores.get(c) or self.local.get(c, 0)
+        if n or not c:
+            return n
+        small = c[0].lower() + c[1:]
+        return self.cores.get(small) or self.local.get(small, 0)
+
+    def wanted(self, c: str) -> None:
+        """Notes a word whose count and neighbours the frequent words do not give."""
+        if len(c) > 1 and shape(c) not in self.cores:
+            self.asks.add(c)
+
+    def variants(self, c: str) -> Iterator[tuple[str, int, float]]:
+        """(printed form, position, rate) for one confusion undone at one place."""
         for i, ch in enumerate(c):
             for read, printed in self.by_read.get(ch, ()):
                 if c.startswith(read, i):
                     if ch.isdigit() and not (c[i - 1 : i].isalpha() or c[i + 1 : i + 2].isalpha()):
                         continue
-                    yield c[:i] + printed + c[i + len(read) :], i
+                    yield c[:i] + printed + c[i + len(read) :], i, self.rates.get((read, printed), DEFAULT_RATE)
             if ch in IN_NUMBERS and (c[i - 1 : i].isdigit() or c[i + 1 : i + 2].isdigit() or (i and c[i - 1] in IN_NUMBERS)):
-                yield c[:i] + "9" + c[i + 1 :], i
+                yield c[:i] + "9" + c[i + 1 :], i, self.rates.get((ch, "9"), DEFAULT_RATE)
+
+    def forms(self, c: str) -> Iterator[tuple[str, tuple[int, ...], float]]:
+        """Printed forms of a word with one confusion undone, or two in a longer one that never occurs itself."""
+        first = list(self.variants(c))
+        yield from ((form, (at,), rate) for form, at, rate in first)
+        if len(c) >= 4 and self.count(shape(c)) <= 2:
+            for form, at, rate in first:
+                yield from ((again, (at, other), rate * more) for again, other, more in self.variants(form) if again != c)
 
-    def correct(self, c: str, n: int = 0) -> tuple[str, list[int]] | None:
-        """The printed form of a token core and where it was misread, or None if it may well be right.
+    def readings(self, c: str) -> list[tuple[float, str, tuple[int, ...]]]:
+        """[(cost, printed form, misread positions)] of a word; the word itself comes with no positions.
 
-        The form must be ``ratio`` times as frequent as a known token (200 times if both hold digits), unless
-        the read character cannot stand there at all. Two misreadings are undone for an unknown token only.
+        A form explains as many occurrences as its own number times the rate of the confusion. What of a word's
+        occurrences its forms do not explain, with slack, speaks for the word itself; a character that no print has
+        at its place leaves nothing.
         """
-        if len(c) < 2:
-            return None
-        if not n and c in self.memo:
-            return self.memo[c]
-        need = self.ratio * n * (20 if len(c) < 4 else 1) if n else 1
-        best: tuple[int, str, list[int]] | None = None
-        first = list(self.variants(c))
-        for form, at in first:
-            k = self.count(_DIGIT.sub("9", form))
-            least = 1 if impossible(c, at) else need
-            if n and _DIGIT.search(c) and _DIGIT.search(form):
-                least = 200 * n
-            if k >= max(least, 1) and (best is None or k > best[0]):
-                best = (k, form, [at])
-        if best is None and not n and len(c) >= 4:
-            for form, at in first:
-                for again, other in self.variants(form):
-                    k = self.count(_DIGIT.sub("9", again))
-                    if k and (best is None or k > best[0]):
-                        best = (k, again, [at, other])
-        found = best and (best[1], best[2])
-        if not n:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[c] = found
-        return found
+        n = self.count(shape(c))
+        self.wanted(c)
+        out, own = [], float(n)
+        if len(c) > 1:
+            for form, at, rate in self.forms(c):
+                k = self.count(shape(form))
+                if not k:
+                    continue
+                odd = len(at) == 1 and impossible(c, at[0])
+                expected = k * max(rate, LEAST_RATE ** len(at))
+                out.append((math.log(self.total / expected), form, at))
+                number = len(at) == 1 and c[at[0]] in IN_NUMBERS and "9" in shape(c) and _DIGIT.search(form)
+                if odd or (n <= 2 and k >= 3) or (k >= NUMBER_RATIO * n if number else n <= SLACK * expected and k >= 10 * n):
+                    own = 0.0
+        keep = self.cost(c) if own or not out else 60.0
+        return [(keep, c, ()), *out]
+
+    def known(self, c: str) -> bool:
+        """Whether a word occurs oftener than by the token at hand and one copy of it."""
+        return self.count(shape(c)) > 2
 
     def cost(self, c: str) -> float:
-        """Negative log probability of a token core; an unknown one pays by its length."""
-        n = self.count(_DIGIT.sub("9", c))
-        return math.log(self.total / n) if n else 12.0 + 1.5 * len(c)
+        """Negative log probability of a word; one that is not known pays by its length."""
+        n = self.count(shape(c))
+        return math.log(self.total / n) if n > 2 else max(math.log(self.total / n) if n else 0.0, 12.0 + 1.5 * len(c))
+
+    def judged(self, token: str) -> tuple[float, str, tuple[int, ...]]:
+        """(cost, printed form, misread positions) of one whole token by itself; remembered unless the answers of
+        this text bear on it."""
+        found = self.memo.get(token)
+        if found is None or not self.told.isdisjoint(found[1]):
+            before, self.asks = self.asks, set()
+            best = judge(self, token)
+            found, self.asks = (best, frozenset(self.asks)), before
+            if self.told.isdisjoint(found[1]):
+                if len(self.memo) > 200_000:
+                    self.memo.clear()
+                self.memo[token] = found
+        self.asks |= found[1]
+        return found[0]
+
+    def doubtful(self, token: str) -> bool:
+        """Whether a token may be anything but a known word as it stands. Tokens that no text can make doubtful are
+        remembered in ``clear``."""
+        _, _, at = self.judged(token)
+        c = core(token)
+        sure = not at and (not c or self.known(c)) and not odd_word(self, token)
+        if sure and not self.memo.get(token, ((), True))[1]:
+            if len(self.clear) > 200_000:
+                self.clear.clear()
+            self.clear.add(token)
+        return not sure
+
+
+def misreadings(words: dict[str, int], most: int = 2_000, least: int = 50) -> list[tuple[tuple[str, str], int, str]]:
+    """[((read, printed), n, misread form)] of the ``most`` most frequent words, of those seen ``least`` times."""
+    out = []
+    for word, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:most]:
+        for read, printed in [*CONFUSIONS, *((ch, "9") for ch in sorted(IN_NUMBERS))] if n >= least else ():
+            at = word.find(printed)
+            while at >= 0:
+                out.append(((read, printed), n, word[:at] + read + word[at + len(printed) :]))
+                at = word.find(printed, at + 1)
+    return out
+
+
+def learn_rates(forms: list[tuple[tuple[str, str], int, str]], counts: dict[str, int]) -> dict[tuple[str, str], float]:
+    """How often each printed form is misread as each read form, over ``misreadings`` with the ``counts`` of the forms.
+
+    Words of their own that merely look like a misreading (``clay`` and ``day``) stand out from the rate of the others
+    and are left out of it, in a few rounds.
+    """
+    seen: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for pair, n, form in forms:
+        seen.setdefault(pair, []).append((counts.get(form, 0), n))
+    rates = {}
+    for pair, each in seen.items():
+        rate = 0.02
+        for _ in range(4):
+            kept = [(k, n) for k, n in each if k <= 8.0 * rate * n + 8.0]
+            rate = sum(k for k, _ in kept) / max(sum(n for _, n in kept), 1)
+        rates[pair] = max(rate, LEAST_RATE)
+    return rates
 
 
 def impossible(c: str, at: int) -> bool:
@@ -153,48 +239,45 @@ def lookalike_free(token: str) -> str:
     return plain_form(token) if quick_check().search(token) else token
 
 
-def judge(lexicon: Lexicon, token: str) -> tuple[str, list[int]] | None:
-    """(printed form, misread positions) of one whole token, or None if nothing in it is misread."""
-    shape = _DIGIT.sub("9", token)
-    if shape in lexicon.fine:
-        return None
+def judge(lexicon: Lexicon, token: str) -> tuple[float, str, tuple[int, ...]]:
+    """(cost, printed form, misread positions) of one token: the cheapest reading of its core, its marks kept."""
     plain = lookalike_free(token)
     if m := STRAY.search(plain):
-        return STRAY.sub("", plain), [m.start()]
-    if m := GARBLED.match(plain):
-        return plain, [m.start()]
+        bare = STRAY.sub("", plain)
+        return (STRAY_COST + (lexicon.cost(core(bare)) if bare else 0.0), bare, (m.start(),))
     c = core(plain)
+    if GARBLED.match(plain) and lexicon.count(shape(c)) <= SLACK * lexicon.total * 1e-4:
+        return (STRAY_COST + lexicon.cost(c), plain, (0,))
     if plain.endswith("!") and not plain.startswith(c + "!"):
         c = c or plain
-    shape = _DIGIT.sub("9", c)
     if not c:
-        return None
-    if shape in lexicon.noisy:
-        fixed = lexicon.correct(c) or (lexicon.noisy[shape], [0])
-        return plain.replace(c, fixed[0], 1), fixed[1]
-    if n := lexicon.count(shape):
-        fixed = lexicon.correct(c, n) if shape != c and len(c) >= 4 else None
-        return fixed and (plain.replace(c, fixed[0], 1), fixed[1])
-    fixed = lexicon.correct(c)
-    if fixed is None and "!" in plain[:-1]:
-        inner = plain.strip(".,;:()\"'")
-        fixed = lexicon.correct(inner) if inner != c else None
-        c = inner
-    return fixed and (plain.replace(c, fixed[0], 1), fixed[1])
-
-
-def near_head(lexicon_heads: dict[str, int], text: str) -> bool:
-    """A line that is a paper's head, up to a few misread characters."""
-    key = head_key(text)
-    if not key:
+        return (0.0, token, ())
+    options = [(cost, form, at, c) for cost, form, at in lexicon.readings(c)]
+    if "!" in plain[:-1] and (inner := plain.strip(".,;:()\"'")) != c and not any(o[2] for o in options):
+        options = [(cost, form, at, inner) for cost, form, at in lexicon.readings(inner) if at] or options
+    cost, form, at, part = min(options, key=lambda o: (o[0], o[1]))
+    if not at:
+        return (cost, token, ())
+    offset = plain.index(part)
+    return (cost, plain[:offset] + form + plain[offset + len(part) :], tuple(p + offset for p in at))
+
+
+def odd_word(lexicon: Lexicon, token: str) -> bool:
+    """Letters no Latin word has together: capitals before small ones, or a longer word in capitals that is never
+    written small. Beside words of another script these are what the scanner made of one of those."""
+    c = core(token)
+    if not _LATIN_ONLY.fullmatch(c) or _ORDINARY.fullmatch(c):
         return False
-    if key in lexicon_heads:
-        return True
-    for h in lexicon_heads:
-        most = max(1, len(h) // 7)
-        if abs(len(h) - len(key)) <= most + 2 and bounded_distance(h, key, most) <= most:
-            return True
-    return False
+    return not (c.isupper() and (lexicon.count(c.lower()) or lexicon.count(c.title())))
+
+
+_NUMBER_BEFORE, _AFTER = re.compile(r"^\S{1,4}\s{2,}(?=\D)"), re.compile(rf"\s{{2,}}(?:{DATE}|\S{{1,4}}|.{{6,20}}\d{{4}})$")
+
+
+def head_key(line: str) -> str:
+    """A head line without page number, date, case and punctuation."""
+    bare = _AFTER.sub("", _NUMBER_BEFORE.sub("", line.strip()))
+    return re.sub(r"[^\w඀-෿஀-௿ ]+|_", "", bare).casefold().strip()
 
 
 def bounded_distance(a: str, b: str, most: int) -> int:
@@ -210,13 +293,48 @@ def bounded_distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-_NUMBER_BEFORE, _AFTER = re.compile(r"^\S{1,4}\s{2,}(?=\D)"), re.compile(rf"\s{{2,}}(?:{DATE}|\S{{1,4}}|.{{6,20}}\d{{4}})$")
-
-
-def head_key(line: str) -> str:
-    """A head line without page number, date, case and punctuation."""
-    bare = _AFTER.sub("", _NUMBER_BEFORE.sub("", line.strip()))
-    return re.sub(r"[^\w඀-෿஀-௿ ]+|_", "", bare).casefold().strip()
+def masks(key: str) -> Iterator[str]:
+    """A head key and its forms with one word left out, or two of four and more: one of them survives damage there."""
+    words = key.split()
+    n = len(words)
+    yield " ".join(words)
+    if n > 1:
+        for i in range(n):
+            yield " ".join([*words[:i], "*", *words[i + 1 :]])
+    if n > 3:
+        for i in range(n):
+            for j in range(i + 1, n):
+                if 2 * (len(words[i]) + len(words[j])) <= sum(map(len, words)):
+                    yield " ".join("*" if k in (i, j) else w for k, w in enumerate(words))
+
+
+class Heads:
+    """Running heads by their masks; ``local`` holds rarer ones the text at hand asks for."""
+
+    def __init__(self, keys: Iterable[str], rest: int = 0):
+        self.masks: dict[str, str] = {}
+        for key in keys:
+            for m in masks(key):
+                self.masks.setdefault(m, " ".join(key.split()))
+        self.lengths = {len(m.split()) for m in self.masks}
+        self.rest = rest  # most words of a head that is not among ``keys``
+        self.local: dict[str, str] = {}
+
+    def near(self, line: str, asks: set[str] | None = None) -> bool:
+        """A line that is a paper's head, up to damage within a word or two."""
+        key = head_key(line)
+        if not key:
+            return False
+        words = key.split()
+        if len(words) > self.rest and len(words) not in self.lengths:
+            return False
+        for m in masks(key):
+            head = self.masks.get(m) or self.local.get(m)
+            if head and (len(words) > 2 or all(bounded_distance(x, y, max(1, len(y) // 3)) <= max(1, len(y) // 3) for x, y in zip(words, head.split()))):
+                return True
+        if asks is not None and len(words) <= self.rest:
+            asks.update("\x01" + m for m in masks(key))
+        return False
 
 
 @dataclass
@@ -227,8 +345,139 @@ class Page:
     paragraphs: list[str]
 
 
-def decode(text: str | None, lexicon: Lexicon, heads: dict[str, int], repair: bool = False) -> Page:
-    """Names the noise of every line of a text and, if asked, repairs it. Null and empty texts have neither."""
+@dataclass
+class Step:
+    """One edge of the best path: tokens [start, stop) are read as ``words``; ``misread`` are tokens with damage."""
+
+    cost: float
+    start: int
+    stop: int
+    words: list[str]
+    misread: tuple[int, ...] = ()
+
+
+def segments(c: str, lexicon: Lexicon) -> tuple[float, list[str]] | None:
+    """The cheapest reading of a run of letters as two or more known words, or None; a word may be
+    misread itself. Words of any script (vowel signs and virama are marks, not letters), runs of any length; no piece
+    is longer than the longest known word."""
+    n, asks = len(c), set(lexicon.asks)  # the ask of the whole run covers its pieces
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+    for j in range(2, n + 1):
+        for i in range(max(0, j - lexicon.longest - 2), j - 1):
+            if best[i][0] == math.inf or (not i and j == n):
+                continue
+            w = c[i:j]
+            if lexicon.known(w):
+                cost, form = lexicon.cost(w), w
+            elif len(w) >= 4 and (fixed := min(((x, f) for x, f, at in lexicon.readings(w) if at), default=None)):
+                cost, form = fixed
+            else:
+                continue
+            best[j] = min(best[j], (best[i][0] + cost + (SPACE_COST if i else 0.0), i, form))
+    lexicon.asks = asks
+    if best[n][0] == math.inf:
+        return None
+    words, j = [], n
+    while j:
+        words.append(best[j][2])
+        j = best[j][1]
+    return best[n][0], words[::-1]
+
+
+def edges(lexicon: Lexicon, tokens: list[str], broken: set[int], j: int) -> Iterator[Step]:
+    """All readings of the stream that end after token ``j``: kept or corrected, split, merged with the token before,
+    or joined over one or two line breaks; joined and merged words may be misread as well."""
+    token = tokens[j]
+    cost, form, at = lexicon.judged(token)
+    yield Step(cost, j, j + 1, [form] if form else [], (j,) if at else ())
+    c = core(token)
+    unknown = not at and c and not lexicon.known(c)
+    if unknown and len(c) >= 5 and j not in broken and all(unicodedata.category(x)[0] in "LM" or x == "\u200d" for x in c) and (parts := segments(c, lexicon)):
+        yield Step(parts[0], j, j + 1, token.replace(c, " ".join(parts[1]), 1).split(" "))
+    if j and j - 1 not in broken and j not in broken and (unknown or not lexicon.known(core(tokens[j - 1]))):
+        joined = tokens[j - 1] + token
+        lexicon.wanted(core(joined))
+        if lexicon.known(core(joined)):
+            yield Step(lexicon.cost(core(joined)) + SPACE_COST, j - 1, j + 1, [joined])
+    start = j
+    while start and start - 1 in broken:
+        start -= 1
+    if start < j:
+        yield from joints(lexicon, tokens, start, j)
+
+
+def joints(lexicon: Lexicon, tokens: list[str], start: int, j: int) -> Iterator[Step]:
+    """A word broken over line ends put together: without its break marks, or with one that is its own hyphen."""
+    parts, marks = [], []
+    for k in range(start, j + 1):
+        end = BREAK.search(tokens[k]) if k < j else None
+        parts.append(tokens[k][: end.start()] if end else tokens[k])
+        marks.append(end[0] if end else "")
+    bare = [STRAY.sub("", lookalike_free(p)) for p in parts]
+    stray = tuple(start + k for k, p in enumerate(parts) if STRAY.search(lookalike_free(p)))
+    for own in (False, True):
+        if own and "-" not in marks:
+            continue
+        whole, owners = "", []
+        for k, p in enumerate(bare):
+            piece = p + ("-" if own and marks[k] == "-" else "")
+            whole += piece
+            owners += [start + k] * len(piece)
+        cost, form, at = lexicon.judged(whole)
+        if own and not lexicon.count(shape(core(whole))) and not at:
+            cost = sum(lexicon.cost(core(p)) for p in bare) + COMPOUND_COST
+        hit = {owners[min(p, len(owners) - 1)] for p in at} | set(stray)
+        yield Step(cost + BREAK_COST * (j - start) + STRAY_COST * len(stray), start, j + 1, [form], tuple(sorted(hit)))
+
+
+def best_path(tokens: list[str], broken: set[int], lexicon: Lexicon) -> list[Step]:
+    """The steps of the cheapest reading of a de-lined stream; tokens without a step stand as they are.
+
+    Known tokens without a doubtful neighbour are their own reading in every path, so the search runs over the
+    stretches between them. A token in ``broken`` ends its line inside a word and is joined to the next, unless both
+    ends are cheaper as words apart.
+    """
+    n, clear = len(tokens), lexicon.clear
+    doubt = {k for k, t in enumerate(tokens) if t not in clear and k not in broken and k - 1 not in broken and lexicon.doubtful(t)}
+    doubt |= broken | {k + 1 for k in broken if k + 1 < n}
+    out: list[Step] = []
+    done = 0
+    for first in sorted(doubt):
+        if first < done:
+            continue
+        k, end = max(first - 1, done), first + 1
+        while end < n and (end in doubt or end - 1 in doubt):
+            end += 1
+        best: list[tuple[float, Step | None]] = [(0.0, None)] + [(math.inf, None)] * (end - k)
+        for j in range(k, end):
+            for e in edges(lexicon, tokens, broken, j):
+                if e.start >= k and (cost := best[e.start - k][0] + e.cost + (8.0 if e.stop - 1 in broken else 0.0)) < best[j + 1 - k][0]:
+                    best[j + 1 - k] = (cost, e)
+        at, steps = end, []
+        while at > k:
+            step = best[at - k][1]
+            steps.append(step)
+            at = step.start
+        out += reversed(steps)
+        done = end
+    return out
+
+
+def viterbi(tokens: list[str], lexicon: Lexicon) -> list[str]:
+    """The words of the best reading of a stream without line breaks."""
+    out, done = [], 0
+    for step in best_path(tokens, set(), lexicon):
+        out += tokens[done : step.start] + step.words
+        done = step.stop
+    return out + tokens[done:]
+
+
+def decode(text: str | None, lexicon: Lexicon, heads: Heads, repair: bool = False) -> Page:
+    """Names the noise of every line of a text and, if asked, repairs it. Null and empty texts have neither.
+
+    Furniture is taken out first; the content lines then form one stream of tokens, and the noise of their lines is
+    read off the best path through it.
+    """
     if not text:
         return Page([], [])
     lines = text.split("\n")
@@ -239,123 +488,52 @@ def decode(text: str | None, lexicon: Lexicon, heads: dict[str, int], repair: bo
         if blank[i]:
             continue
         alone = (i == 0 or blank[i - 1]) and (i + 1 == len(lines) or blank[i + 1])
-        if alone and len(line) <= 24 and PAGE_NUMBER.fullmatch(lookalike_free(line)):
+        if alone and PAGE_NUMBER.fullmatch(line if line.isascii() else lookalike_free(line)):
             noises.append((i + 1, "page_number"))
-        elif alone and heads and near_head(heads, lookalike_free(line)):
+        elif alone and heads.near(lookalike_free(line), lexicon.asks):
             noises.append((i + 1, "running_header"))
         else:
             content.append(i)
-    words: dict[int, list[str]] = {i: lines[i].split() for i in content}
-    fixed: dict[int, list[str]] = {}
-    misread: set[int] = set()
-    joins: set[int] = set()
-    fine = lexicon.fine
-    skip_first = False
+    tokens: list[str] = []
+    home: list[int] = []
+    broken: set[int] = set()
     for at, i in enumerate(content):
-        tokens = words[i]
-        after = content[at + 1] if at + 1 < len(content) else None
-        broken = after is not None and bool(tokens) and BREAK.search(tokens[-1]) and bool(words[after])
-        out = list(tokens)
-        for k, token in enumerate(tokens):
-            if (skip_first and k == 0 and not (broken and len(tokens) == 1)) or (broken and k == len(tokens) - 1):
-                continue
-            if _DIGIT.sub("9", token) in fine:
-                continue
-            if verdict := judge(lexicon, token):
-                misread.add(i)
-                out[k] = verdict[0]
-        if broken:
-            noises.append((i + 1, "hyphen_break"))
-            left, right = tokens[-1], words[after][0]
-            end = BREAK.search(left)
-            head, own = left[: end.start()], end[0]
-            compound, word = f"{head}-{right}", head + right
-            if skip_first and len(tokens) == 1:
-                out[-1] = left
-            keep = own == "-" and lexicon.count(_DIGIT.sub("9", core(lookalike_free(compound)))) > lexicon.count(_DIGIT.sub("9", core(lookalike_free(word))))
-            whole = compound if keep else word
-            if STRAY.search(lookalike_free(head)):
-                misread.add(i)
-            rest = BREAK.sub("", right) if BREAK.search(right) and len(words[after]) == 1 else right
-            if STRAY.search(lookalike_free(rest)):
-                misread.add(after)
-            clean = STRAY.sub("", lookalike_free(whole))
-            if _DIGIT.sub("9", clean) not in fine and (verdict := judge(lexicon, clean)):
-                offset = len(clean) - len(clean.lstrip("('\""))
-                for p in verdict[1]:
-                    misread.add(i if p + offset < len(STRAY.sub("", lookalike_free(head))) else after)
-                whole = verdict[0]
-            else:
-                whole = clean
-            joins.add(i)
-            out[-1] = whole
-        fixed[i] = out
-        skip_first = bool(broken)
-    noises += [(i + 1, "misread") for i in misread]
-    return Page(sorted(set(noises)), rebuild(content, fixed, joins, blank, lexicon) if repair else [])
-
-
-def segments(c: str, lexicon: Lexicon) -> tuple[float, list[str]] | None:
-    """The cheapest reading of a run of letters as two or more known words, two nats a cut, or None; words of any
-    script (vowel signs and virama are marks, not letters) and runs of any length."""
-    n = len(c)
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
-    for j in range(2, n + 1):
-        for i in range(max(0, j - lexicon.longest), j - 1):
-            if best[i][0] < math.inf and (i or j < n) and lexicon.count(w := c[i:j]):
-                best[j] = min(best[j], (best[i][0] + lexicon.cost(w) + (2.0 if i else 0.0), i))
-    if best[n][0] == math.inf:
-        return None
-    words, j = [], n
-    while j:
-        words.append(c[best[j][1] : j])
-        j = best[j][1]
-    return best[n][0], words[::-1]
-
-
-def viterbi(tokens: list[str], lexicon: Lexicon, whole: frozenset[str] | set[str] = frozenset()) -> list[str]:
-    """The cheapest reading of a token stream that keeps, splits or merges tokens (corrections came before).
-
-    Known tokens and those in ``whole`` (words just joined over a line end) stand; a split or a merge of
-    others costs two nats.
-    """
-    n = len(tokens)
-    if all(_DIGIT.sub("9", t) in lexicon.fine for t in tokens):
-        return tokens
-    best: list[tuple[float, int, list[str]]] = [(0.0, 0, [])] + [(math.inf, 0, [])] * n
-    for j in range(1, n + 1):
-        token = tokens[j - 1]
-        c = core(token)
-        known = token in whole or _DIGIT.sub("9", token) in lexicon.fine or bool(lexicon.count(_DIGIT.sub("9", c)))
-        options = [(best[j - 1][0] + (lexicon.cost(c) if c else 0.0), j - 1, [token])]
-        if not known and len(c) >= 5 and all(unicodedata.category(x)[0] in "LM" or x == "\u200d" for x in c) and (parts := segments(c, lexicon)):
-            options.append((best[j - 1][0] + parts[0], j - 1, token.replace(c, " ".join(parts[1]), 1).split(" ")))
-        if j > 1 and not known:
-            joined = tokens[j - 2] + token
-            if lexicon.count(_DIGIT.sub("9", core(joined))):
-                options.append((best[j - 2][0] + lexicon.cost(core(joined)) + 2.0, j - 2, [joined]))
-        cost, back, words = min(options, key=lambda o: o[0])
-        best[j] = (cost, back, words)
-    out: list[list[str]] = []
-    j = n
-    while j:
-        out.append(best[j][2])
-        j = best[j][1]
-    return [w for words in reversed(out) for w in words]
-
-
-def rebuild(content: list[int], fixed: dict[int, list[str]], joins: set[int], blank: list[bool], lexicon: Lexicon) -> list[str]:
+        words = lines[i].split()
+        tokens += words
+        home += [i] * len(words)
+        if at + 1 < len(content) and BREAK.search(words[-1]):
+            broken.add(len(tokens) - 1)
+    steps = best_path(tokens, broken, lexicon)
+    for step in steps:
+        noises += [(home[k] + 1, "misread") for k in step.misread]
+        noises += [(home[k] + 1, "hyphen_break") for k in range(step.start, step.stop - 1) if k in broken]
+        for k in range(step.start, step.stop):
+            t = tokens[k]
+            if t.isascii() and (k and _NATIVE.search(tokens[k - 1]) or k + 1 < len(tokens) and _NATIVE.search(tokens[k + 1])) and odd_word(lexicon, t):
+                noises.append((home[k] + 1, "misread"))
+    noises = sorted(set(noises))
+    if not repair:
+        return Page(noises, [])
+    rows: dict[int, list[str]] = {i: [] for i in content}
+    joins: set[int] = set()
+    done = 0
+    for step in [*steps, Step(0.0, len(tokens), len(tokens), [])]:
+        for k in range(done, step.start):
+            rows[home[k]].append(tokens[k])
+        if step.words:
+            rows[home[step.start]] += step.words
+        joins |= {home[k] for k in range(step.start, step.stop - 1) if home[k] != home[k + 1]}
+        done = step.stop
+    return Page(noises, rebuild(content, rows, joins, blank))
+
+
+def rebuild(content: list[int], fixed: dict[int, list[str]], joins: set[int], blank: list[bool]) -> list[str]:
     """Continuous paragraphs: boundaries by dynamic programming over the ends of content lines.
 
     A boundary is cheap after a short line that ends a sentence and before a blank line, dear inside a broken
     word, before a small letter or after a line without a stop; every paragraph costs a little.
     """
-    rows: list[list[str]] = []
-    first_used = False
-    for i in content:
-        rows.append(fixed[i][1:] if first_used else fixed[i])
-        first_used = i in joins
-    whole = {fixed[i][-1] for i in joins if fixed[i]}
+    rows = [fixed[i] for i in content]
     widths = [sum(map(len, r)) + len(r) for r in rows]
     usual = sorted(widths)[len(widths) * 3 // 4] if widths else 0
     n = len(rows)
@@ -393,54 +571,137 @@ def rebuild(content: list[int], fixed: dict[int, list[str]], joins: set[int], bl
     out: list[str] = []
     j = n
     while j:
-        tokens = [w for r in rows[back[j] : j] for w in r]
-        out.append(" ".join(viterbi(tokens, lexicon, whole)))
+        out.append(" ".join(w for r in rows[back[j] : j] for w in r))
         j = back[j]
     return [p for p in reversed(out) if p]
 
 
 # ---- on frames --------------------------------------------------------------------------------------------
 
+_EDGES_SQL = r"^[^\p{L}\p{N}_஀-෿]+|[^\p{L}\p{N}_஀-෿‍]+$"
 
-def learn(texts: DataFrame, share: float = 2e-6, least: int = 3, head_share: float = 1e-3) -> tuple[dict[str, int], dict[str, int]]:
-    """(tokens with counts, heads with counts) of all texts; at most 1/share tokens and 1/head_share heads.
 
-    Token counts combine map-side before the shuffle; the threshold is a scalar subquery over the same counts.
+@dataclass
+class Learned:
+    """What all texts say: the frequent words and heads for every worker, the whole tables for what is rarer."""
+
+    words: dict[str, int]
+    total: int
+    rates: dict[tuple[str, str], float]
+    longest: int
+    heads: list[str]
+    rest: int
+    all_words: DataFrame
+    rare_heads: DataFrame
+
+
+def learn(texts: DataFrame, share: float = 2e-6, least: int = 3, head_share: float = 1e-3) -> Learned:
+    """Words with their counts and running heads of all texts.
+
+    Words of a relative frequency of ``share`` and heads of ``head_share`` go to every worker, so at most 1/share
+    words and 1/head_share heads do; all others stay in tables and are joined to the texts that ask for them. A head
+    is a line by itself seen at least ``least`` times with a number or a date beside it. Counts combine map-side. The
+    rates of confusions are fitted on the 2,000 most frequent words (``misreadings``).
     """
     spark = texts.sparkSession
-    tokens = texts.select(F.explode(F.split(F.regexp_replace("text", "[0-9]", "9"), r"\s+")).alias("token")).where("token <> ''").groupBy("token").count()
-    rows = spark.sql("SELECT token, count AS n FROM {t} WHERE count >= (SELECT greatest(:least, :share * sum(count)) FROM {t})", args={"least": least, "share": share}, t=tokens).collect()
-    lone = texts.select(F.explode(F.split("text", r"\n[ \t]*\n")).alias("line")).where("length(line) <= 120 AND NOT contains(line, '\n')")
+    tokens = texts.select(F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''").groupBy("token").count()
+    bare = F.regexp_replace("token", _EDGES_SQL, "")
+    folded = F.when(bare.rlike("[a-z\u0b80-\u0dff]"), F.regexp_replace(bare, r"(?<=\d)\d|\d(?=\d)", "9")).otherwise(F.regexp_replace(bare, r"\d", "9"))
+    words = durable(tokens.select(folded.alias("word"), "count").groupBy("word").agg(F.sum("count").alias("n")))
+    total, longest = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.when(F.col("n") > 2, F.length("word"))), F.lit(1))).first()
+    frequent = {r.word: r.n for r in words.where(F.col("n") >= max(1.0, share * total)).collect()}
+    lone = texts.select(F.explode(F.split("text", r"\n[ \t]*\n")).alias("line")).where("NOT contains(line, '\n')")
     beside = rf"^\d{{1,3}}\s{{2,}}(\D+)$|^(\D+?)\s{{2,}}\d{{1,3}}$|^(\D+?)\s{{2,}}{DATE}$"
     found = lone.where(F.col("line").rlike(beside)).select(F.concat(*[F.coalesce(F.regexp_extract("line", beside, k), F.lit("")) for k in (1, 2, 3)]).alias("head")).groupBy("head").count()
-    heads = spark.sql("SELECT head, count AS n FROM {h} WHERE count >= (SELECT greatest(:least, :share * sum(count)) FROM {h})", args={"least": least, "share": head_share}, h=found).collect()
-    keys: dict[str, int] = {}
-    for r in heads:
-        if key := head_key(r.head):
-            keys[key] = keys.get(key, 0) + r.n
-    return {r.token: r.n for r in rows}, keys
+    seen = durable(found.select(_keys("head").alias("key"), "count").where("key <> ''").groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") >= least))
+    floor = head_share * (seen.agg(F.sum("n")).first()[0] or 0)
+    rare = seen.where(F.col("n") < floor).select("key")
+    rest = rare.agg(F.max(F.size(F.split("key", r"\s+")))).first()[0] or 0
+    forms = misreadings(frequent)
+    wanted = spark.createDataFrame([(f,) for f in sorted({f for _, _, f in forms})], "word string")
+    counts = {r.word: r.n for r in words.join(wanted, "word").collect()}
+    return Learned(frequent, total, learn_rates(forms, counts), longest, sorted(r.key for r in seen.where(F.col("n") >= floor).collect()), rest, words, rare)
+
 
+@F.pandas_udf(T.StringType())
+def _keys(lines: pd.Series) -> pd.Series:
+    return lines.map(head_key)
 
-def _stage(texts: DataFrame, learned: tuple[dict[str, int], dict[str, int]], columns: str, emit) -> DataFrame:
-    shipped = texts.sparkSession.sparkContext.broadcast(learned)
+
+def answers(asks: DataFrame, learned: Learned) -> DataFrame:
+    """(ask, found, n) for every distinct ``ask``: rarer words that it is or may be a misreading or a run of, and rarer
+    heads. Candidates are generated per distinct ask and meet the whole tables in equality joins."""
+    lexicon = Lexicon({}, learned.rates, learned.total, learned.longest)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(a, f) for a in batch["ask"] for f in candidates(a, lexicon)]
+            yield pd.DataFrame(rows, columns=["ask", "found"])
+
+    distinct = asks.distinct()
+    words = distinct.where("ask NOT LIKE '\x01%'").mapInPandas(run, "ask string, found string").join(learned.all_words.withColumnRenamed("word", "found"), "found").select("ask", "found", "n")
+    heads = learned.rare_heads.mapInPandas(_masked, "ask string, found string").join(distinct, "ask").select("ask", "found", F.lit(0).cast("long").alias("n"))
+    return words.unionByName(heads)
+
+
+def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([("\x01" + m, " ".join(k.split())) for k in batch["key"] for m in masks(k)], columns=["ask", "found"])
+
+
+def candidates(word: str, lexicon: Lexicon) -> set[str]:
+    """Everything a lexicon may be asked for while it reads ``word``: itself, its forms, and the pieces of a run."""
+    out = {word, *(form for form, _, _ in lexicon.forms(word))}
+    if len(word) >= 5 and all(unicodedata.category(x)[0] in "LM" or x == "\u200d" for x in word):
+        pieces = {word[i:j] for i in range(len(word)) for j in range(i + 2, min(len(word), i + lexicon.longest + 2) + 1) if j - i < len(word)}
+        out |= pieces | {form for p in pieces if len(p) >= 4 for form, _, _ in lexicon.forms(p)}
+    return {shape(w) for w in out} | {shape(w[0].lower() + w[1:]) for w in out if w}
+
+
+def _stage(texts: DataFrame, learned: Learned, columns: str, emit) -> DataFrame:
+    """Two passes: the first notes what each text asks of the rarer words and heads, the second decodes with the answers."""
+    shipped = texts.sparkSession.sparkContext.broadcast((learned.words, learned.rates, learned.total, learned.longest, learned.heads, learned.rest))
+
+    def tools() -> tuple[Lexicon, Heads]:
+        words, rates, total, longest, heads, rest = shipped.value
+        return Lexicon(words, rates, total, longest), Heads(heads, rest)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, heads = tools()
+        for batch in batches:
+            rows = []
+            for tbl, rec, text in zip(batch["tbl"], batch["rec_id"], batch["text"]):
+                lexicon.asks = set()
+                decode(text if isinstance(text, str) else None, lexicon, heads)
+                rows += [(tbl, rec, a) for a in lexicon.asks]
+            yield pd.DataFrame(rows, columns=["tbl", "rec_id", "ask"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, heads = shipped.value
-        lexicon = Lexicon(raw)
+        lexicon, heads = tools()
         names = [c.split(" ")[0] for c in columns.split(", ")]
         for batch in batches:
-            rows = [row for tbl, rec, text in zip(batch["tbl"], batch["rec_id"], batch["text"]) for row in emit(tbl, rec, text if isinstance(text, str) else None, lexicon, heads)]
+            rows = []
+            for tbl, rec, text, told in zip(batch["tbl"], batch["rec_id"], batch["text"], batch["told"]):
+                told = [] if told is None else told
+                lexicon.local = {t["found"]: t["n"] for t in told if t["ask"][0] != "\x01"}
+                lexicon.told, lexicon.asks = {t["ask"] for t in told}, set()
+                heads.local = {t["ask"][1:]: t["found"] for t in told if t["ask"][0] == "\x01"}
+                rows += emit(tbl, rec, text if isinstance(text, str) else None, lexicon, heads)
             yield pd.DataFrame(rows, columns=names)
 
-    return texts.select("tbl", "rec_id", "text").mapInPandas(run, columns)
+    rows = texts.select("tbl", "rec_id", "text")
+    asked = durable(rows.where("text <> ''").mapInPandas(ask, "tbl string, rec_id string, ask string").distinct())
+    told = answers(asked.select("ask"), learned)
+    local = asked.join(told, "ask").groupBy("tbl", "rec_id").agg(F.collect_list(F.struct("ask", "found", "n")).alias("told"))
+    return rows.join(local, ["tbl", "rec_id"], "left").mapInPandas(run, columns)
 
 
-def line_noise(texts: DataFrame, learned: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
+def line_noise(texts: DataFrame, learned: Learned) -> DataFrame:
     """(tbl, rec_id, line_no, noise) of ``texts(tbl, rec_id, text)``; clean lines give no row."""
     return _stage(texts, learned, "tbl string, rec_id string, line_no int, noise string", lambda tbl, rec, text, lexicon, heads: [(tbl, rec, n, noise) for n, noise in decode(text, lexicon, heads).noises])
 
 
-def repaired(texts: DataFrame, learned: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
+def repaired(texts: DataFrame, learned: Learned) -> DataFrame:
     """(tbl, rec_id, paragraphs, repaired) of every text; null texts have no paragraphs and stay null."""
 
     def emit(tbl, rec, text, lexicon, heads):

@@ -2,7 +2,7 @@ from pressmill.llm import ocrtext as o
 
 WORDS = "the council has promised a written reply about signatures were handed in at road said new bus timetable matters more than harvest loan scheme bring your own transport price can be discussed from monday brand-new printer".split()
 LEX = o.Lexicon({**{w: 500 for w in WORDS}, "reply.": 100, "scheme.": 100, "transport.": 80, "99": 50, "AD/9999/99": 60, "T9": 40, "999S": 45, "9999": 900, "Bring": 60, "About": 60, "හැකිය.": 400, "වාහනය": 300})
-HEADS = {o.head_key("HARBOUR WEEKLY | MARKET PAGES"): 9}
+HEADS = o.Heads([o.head_key("HARBOUR WEEKLY | MARKET PAGES")])
 
 
 def noises(text):
