@@ -217,7 +217,7 @@ def learn_rates(forms: list[tuple[tuple[str, str], int, str]], counts: dict[str,
         seen.setdefault(pair, []).append((counts.get(form, 0), n))
     rates = {}
     for pair, each in seen.items():
-        rate = 0.02
+        rate = max(sorted(k / n for k, n in each)[len(each) // 2], 0.001)
         for _ in range(4):
             kept = [(k, n) for k, n in each if k <= 8.0 * rate * n + 8.0]
             rate = sum(k for k, _ in kept) / max(sum(n for _, n in kept), 1)
