@@ -46,6 +46,8 @@ BREAK = re.compile(r"(?:(?<=[^\W\d_])|(?<=[ං-෿஀-௿‍]))(?:-|¬|=|­|‐)
 GARBLED = re.compile(r"(?<![\w-])(?!(?:[ie][A-Z][a-z]+)\b)(?:[a-z]+[A-Z]+[a-z]\w*|[a-z]+[A-Z]\w*\d\w*|\d+[a-z]+[A-Z]\w*)")
 DATE = r"\d{1,2}(?:st|nd|rd|th)?\s+[A-Z][a-z]+\s+\d{4}"
 PAGE_NUMBER = re.compile(r"[\[({|\-–—~.\s]*(?:(?:Page|PAGE|page|Pg|P|p|පිටුව|පිටු|பக்கம்|பக்)\.?\s*(?:No\.?\s*)?)?[\dOIl|]{0,3}\d[\dOIl]{0,3}[\])}|\-–—~.\sJ^¦_'`]*")
+#: What an ask begins with if it is for the pieces of a run, or for heads.
+RUN, HEAD = "\x02", "\x01"
 _NATIVE = re.compile(r"[\u0b80-\u0dff]")
 _EDGES = re.compile(r"^[^\w඀-෿஀-௿]+|[^\w඀-෿஀-௿‍]+$")
 _DIGIT = re.compile(r"\d")
@@ -333,7 +335,7 @@ class Heads:
             if head and (len(words) > 2 or all(bounded_distance(x, y, max(1, len(y) // 3)) <= max(1, len(y) // 3) for x, y in zip(words, head.split()))):
                 return True
         if asks is not None and len(words) <= self.rest:
-            asks.update("\x01" + m for m in masks(key))
+            asks.update(HEAD + m for m in masks(key))
         return False
 
 
@@ -360,7 +362,7 @@ def segments(c: str, lexicon: Lexicon) -> tuple[float, list[str]] | None:
     """The cheapest reading of a run of letters as two or more known words, or None; a word may be
     misread itself. Words of any script (vowel signs and virama are marks, not letters), runs of any length; no piece
     is longer than the longest known word."""
-    n, asks = len(c), set(lexicon.asks)  # the ask of the whole run covers its pieces
+    n, asks = len(c), {*lexicon.asks, RUN + c}  # the ask of the whole run covers its pieces
     best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
     for j in range(2, n + 1):
         for i in range(max(0, j - lexicon.longest - 2), j - 1):
@@ -369,7 +371,7 @@ def segments(c: str, lexicon: Lexicon) -> tuple[float, list[str]] | None:
             w = c[i:j]
             if lexicon.known(w):
                 cost, form = lexicon.cost(w), w
-            elif len(w) >= 4 and (fixed := min(((x, f) for x, f, at in lexicon.readings(w) if at), default=None)):
+            elif len(w) >= 4 and (fixed := min(((x, f) for x, f, at in lexicon.readings(w) if len(at) == 1), default=None)):
                 cost, form = fixed
             else:
                 continue
@@ -416,7 +418,8 @@ def joints(lexicon: Lexicon, tokens: list[str], start: int, j: int) -> Iterator[
     bare = [STRAY.sub("", lookalike_free(p)) for p in parts]
     stray = tuple(start + k for k, p in enumerate(parts) if STRAY.search(lookalike_free(p)))
     for own in (False, True):
-        if own and "-" not in marks:
+        # A compound oftener printed than a frequent word is frequent itself.
+        if own and ("-" not in marks or shape(core("".join(bare))) in lexicon.cores and shape(core("-".join(bare))) not in lexicon.cores):
             continue
         whole, owners = "", []
         for k, p in enumerate(bare):
@@ -638,24 +641,27 @@ def answers(asks: DataFrame, learned: Learned) -> DataFrame:
             rows = [(a, f) for a in batch["ask"] for f in candidates(a, lexicon)]
             yield pd.DataFrame(rows, columns=["ask", "found"])
 
-    distinct = asks.distinct()
-    words = distinct.where("ask NOT LIKE '\x01%'").mapInPandas(run, "ask string, found string").join(learned.all_words.withColumnRenamed("word", "found"), "found").select("ask", "found", "n")
+    # Distinct within an explicit number of parts, since the candidates are made by a row-wise stage.
+    distinct = asks.repartition(2 * asks.sparkSession.sparkContext.defaultParallelism, "ask").distinct()
+    words = distinct.where(~F.col("ask").startswith(HEAD)).mapInPandas(run, "ask string, found string").join(learned.all_words.withColumnRenamed("word", "found"), "found").select("ask", "found", "n")
     heads = learned.rare_heads.mapInPandas(_masked, "ask string, found string").join(distinct, "ask").select("ask", "found", F.lit(0).cast("long").alias("n"))
     return words.unionByName(heads)
 
 
 def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([("\x01" + m, " ".join(k.split())) for k in batch["key"] for m in masks(k)], columns=["ask", "found"])
+        yield pd.DataFrame([(HEAD + m, " ".join(k.split())) for k in batch["key"] for m in masks(k)], columns=["ask", "found"])
 
 
-def candidates(word: str, lexicon: Lexicon) -> set[str]:
-    """Everything a lexicon may be asked for while it reads ``word``: itself, its forms, and the pieces of a run."""
-    out = {word, *(form for form, _, _ in lexicon.forms(word))}
-    if len(word) >= 5 and all(unicodedata.category(x)[0] in "LM" or x == "\u200d" for x in word):
-        pieces = {word[i:j] for i in range(len(word)) for j in range(i + 2, min(len(word), i + lexicon.longest + 2) + 1) if j - i < len(word)}
-        out |= pieces | {form for p in pieces if len(p) >= 4 for form, _, _ in lexicon.forms(p)}
-    return {shape(w) for w in out} | {shape(w[0].lower() + w[1:]) for w in out if w}
+def candidates(ask: str, lexicon: Lexicon) -> set[str]:
+    """Everything a lexicon may be asked for while it reads a word: itself and its forms, or the pieces of a run."""
+    if ask[0] == RUN:
+        run = ask[1:]
+        out = {run[i:j] for i in range(len(run)) for j in range(i + 2, min(len(run), i + lexicon.longest + 2) + 1) if j - i < len(run)}
+        out |= {form for p in out if len(p) >= 4 for form, _, _ in lexicon.variants(p)}
+    else:
+        out = {ask, *(form for form, _, _ in lexicon.forms(ask))}
+    return {shape(w) for w in out if w} | {shape(w[0].lower() + w[1:]) for w in out if w}
 
 
 def _stage(texts: DataFrame, learned: Learned, columns: str, emit) -> DataFrame:
@@ -683,9 +689,9 @@ def _stage(texts: DataFrame, learned: Learned, columns: str, emit) -> DataFrame:
             rows = []
             for tbl, rec, text, told in zip(batch["tbl"], batch["rec_id"], batch["text"], batch["told"]):
                 told = [] if told is None else told
-                lexicon.local = {t["found"]: t["n"] for t in told if t["ask"][0] != "\x01"}
+                lexicon.local = {t["found"]: t["n"] for t in told if t["ask"][0] != HEAD}
                 lexicon.told, lexicon.asks = {t["ask"] for t in told}, set()
-                heads.local = {t["ask"][1:]: t["found"] for t in told if t["ask"][0] == "\x01"}
+                heads.local = {t["ask"][1:]: t["found"] for t in told if t["ask"][0] == HEAD}
                 rows += emit(tbl, rec, text if isinstance(text, str) else None, lexicon, heads)
             yield pd.DataFrame(rows, columns=names)
 
