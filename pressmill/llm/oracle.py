@@ -18,38 +18,61 @@ SELECT DISTINCT 'candidates' AS tbl, id AS rec_id FROM candidates WHERE {_unplai
 UNION SELECT DISTINCT 'ocr_pages', id FROM ocr_pages WHERE {_unplain('text')}
 """
 
+# Word by word with window functions, prefixes by comparison: another road to the same shares than the operator's.
 P10 = r"""
-WITH t AS (SELECT doc_id, text AS h, rtrim(text, ' ' || chr(10) || chr(13) || chr(9)) AS t FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, h, t, regexp_extract(t, '\s*(\[[\p{L} .]{1,14}\]|\([\p{L} .]{1,14}\)|>>+|»|→|-->)$') AS mark FROM t),
-s AS (SELECT doc_id, h, mark, left(t, length(t) - length(mark)) AS r FROM m),
-d AS (SELECT doc_id, h, mark, r, regexp_extract(r, '\s*(\.{2,}|…)$') AS dots FROM s),
-e AS (SELECT doc_id, h, mark, dots, left(r, length(r) - length(dots)) AS body FROM d),
-k AS (SELECT *, regexp_extract(body, '(?:^|[\s:,])(?:\+?94|0094|\(?0)[0-9()./ -]{7,14}[0-9]$') AS ph FROM e WHERE body <> ''),
-b AS (
-  SELECT doc_id, h, body, CASE WHEN mark <> '' AND NOT regexp_matches(body, '[.!?।]+["'')\]”’]*$') THEN 'mark' WHEN dots = '' AND regexp_matches(body, '[.!?।]+["'')\]”’]*$') THEN 'stop'
-   WHEN dots <> '' THEN 'dots' WHEN ph <> '' AND length(regexp_replace(ph, '[^0-9]', '', 'g')) BETWEEN 10 AND 13 THEN 'phone' ELSE 'bare' END AS ending FROM k),
-x AS (
-  SELECT doc_id, ending, h, list_filter(string_split_regex(concat('^ ^ ', regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '[0-9]', '9', 'g'), '\n\s*\n', ' ' || chr(1) || ' ', 'g'),
-    '([.!?]["'')\]]*)\s+([^\s\x01])', '\1 ^ ^ \2', 'g'), '\s*\x01\s*', ' ' || chr(1) || ' ^ ^ ', 'g')), '[ \n\t]+'), lambda v: true) AS w FROM b),
-g AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, w[i + 3] AS d FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM x WHERE len(w) > 2)),
-tri AS (
-  SELECT a, b, regexp_replace(c, '[.!?]+["'')\]]*$', '') AS c, count(*) FILTER (NOT stops AND d IS NOT NULL) AS n_on, count(*) FILTER (stops) AS n_stop
-  FROM (SELECT *, regexp_matches(c, '[.!?]["'')\]]*$') OR coalesce(d = chr(1), false) AS stops FROM g WHERE c <> '^' AND c <> chr(1)) GROUP BY 1, 2, 3),
-fin AS (SELECT doc_id, ending, h, w[len(w) - 2] AS a, w[len(w) - 1] AS b, regexp_replace(w[len(w)], '[.!?]+["'')\]]*$', '') AS c FROM x WHERE ending IN ('bare', 'dots') AND len(w) > 2),
-keys AS (SELECT a, b, c, count(DISTINCT h) AS n_end FROM fin GROUP BY ALL),
-near AS (SELECT t.* FROM tri t WHERE EXISTS (SELECT 1 FROM keys k WHERE k.a = t.a AND k.b = t.b)),
-pairs AS (SELECT a, b, sum(n_on) AS pair_on, sum(n_stop) AS pair_stop FROM near GROUP BY ALL),
-tails AS (SELECT b, c, sum(n_on) AS tail_on, sum(n_stop) AS tail_stop FROM tri GROUP BY ALL),
-pre AS (SELECT k.a, k.b, k.c, coalesce(sum(n_on) FILTER (t.c = k.c), 0) AS n_on, coalesce(sum(n_stop) FILTER (t.c = k.c), 0) AS n_stop, coalesce(sum(n_on + n_stop) FILTER (t.c <> k.c), 0) AS n_longer
-  FROM keys k LEFT JOIN near t ON t.a = k.a AND t.b = k.b AND starts_with(t.c, k.c) GROUP BY ALL),
-known AS (SELECT k.*, n_on, n_stop, n_longer, coalesce(pair_on, 0) AS pair_on, coalesce(pair_stop, 0) AS pair_stop, coalesce(tail_on, 0) AS tail_on, coalesce(tail_stop, 0) AS tail_stop
-  FROM keys k JOIN pre USING (a, b, c) LEFT JOIN pairs USING (a, b) LEFT JOIN tails e ON e.b = k.b AND e.c = k.c)
-SELECT doc_id FROM b WHERE ending = 'mark'
-UNION
-SELECT f.doc_id FROM fin f JOIN known k ON f.a = k.a AND f.b = k.b AND f.c = k.c
-WHERE CASE WHEN n_end >= 3 AND n_end > n_on + n_longer THEN false WHEN f.ending = 'bare' THEN true
- WHEN n_on + n_stop + n_longer > 0 THEN n_stop = 0 OR n_stop < 0.2 * (n_on + n_longer) WHEN tail_on + tail_stop > 0 THEN tail_stop = 0 OR tail_stop < 0.2 * tail_on
- ELSE pair_stop = 0 OR pair_stop < pair_on END
+WITH norm AS (
+  SELECT doc_id, text, regexp_extract_all(regexp_replace(regexp_replace(text, '[0-9]', '9', 'g'), '\n\s*\n', ' ' || chr(1) || ' ', 'g'), '[^ \n\r\t]+') AS ws
+  FROM documents WHERE text IS NOT NULL AND NOT regexp_full_match(text, '\s*')),
+trimmed AS (SELECT doc_id, text, list_filter(ws, lambda w, i: NOT (w = chr(1) AND (i = 1 OR i = len(ws)))) AS ws FROM norm),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM trimmed),
+seen AS (
+  SELECT w, lead(w) OVER p AS nx, CASE WHEN lag(w) OVER p = chr(1) OR regexp_matches(lag(w) OVER p, '[.!?।]+["'')\]”’]*$') THEN NULL ELSE lag(w) OVER p END AS b,
+    CASE WHEN lag(w, 2) OVER p = chr(1) OR regexp_matches(lag(w, 2) OVER p, '[.!?।]+["'')\]”’]*$') THEN NULL ELSE lag(w, 2) OVER p END AS a,
+    regexp_matches(w, '[.!?।]+["'')\]”’]*$') AS stops
+  FROM word WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+use AS (
+  SELECT CASE WHEN b IS NULL THEN '^' ELSE coalesce(a, '^') END AS a, coalesce(b, '^') AS b, regexp_replace(w, '[.!?।]+["'')\]”’]*$', '') AS c,
+    CASE WHEN nx = chr(1) OR stops AND (nx IS NULL OR NOT regexp_matches(nx, '^[a-z9]')) THEN 'stop' WHEN stops THEN 'inner' WHEN nx IS NOT NULL THEN 'on' END AS kind
+  FROM seen WHERE w <> chr(1)),
+tally AS (SELECT a, b, c, count(*) FILTER (kind = 'on') AS o, count(*) FILTER (kind = 'inner') AS i, count(*) FILTER (kind = 'stop') AS s FROM use GROUP BY ALL),
+whole AS (SELECT doc_id, text, array_to_string(ws, ' ') AS t FROM trimmed),
+cutoff AS (SELECT *, regexp_replace(t, '\s*(\[[\p{L} .]{1,14}\]|\([\p{L} .]{1,14}\)|>>+|»|→|-->)$', '') AS r FROM whole),
+plain AS (SELECT doc_id, text, r <> t AS marked, r, regexp_replace(r, '\s*(\.{2,}|…)$', '') AS body FROM cutoff),
+three AS (
+  SELECT doc_id, text, CASE WHEN marked THEN 'mark' WHEN body <> r THEN 'dots' ELSE 'other' END AS ending, body = r AND regexp_matches(body, '[.!?।]+["'')\]”’]*$') AS stopped,
+    string_split(body, ' ') AS ws FROM plain WHERE body <> ''),
+fin AS (
+  SELECT doc_id, text, ending, stopped, CASE WHEN q IS NULL OR q = chr(1) OR regexp_matches(q, '[.!?।]+["'')\]”’]*$') THEN '^' ELSE q END AS b,
+    CASE WHEN q IS NULL OR q = chr(1) OR regexp_matches(q, '[.!?।]+["'')\]”’]*$') OR p IS NULL OR p = chr(1) OR regexp_matches(p, '[.!?।]+["'')\]”’]*$') THEN '^' ELSE p END AS a,
+    regexp_replace(ws[-1], '[.!?।]+["'')\]”’]*$', '') AS c
+  FROM (SELECT *, ws[-2] AS q, ws[-3] AS p FROM three)),
+bare AS (SELECT DISTINCT text, a, b, c FROM fin WHERE NOT stopped),
+key3 AS (SELECT DISTINCT a, b, c FROM fin),
+level AS (
+  SELECT k.a, k.b, k.c, 3 AS n, coalesce(sum(o) FILTER (t.c = k.c), 0) AS o, coalesce(sum(i) FILTER (t.c = k.c), 0) AS i, coalesce(sum(s) FILTER (t.c = k.c), 0) AS s,
+    coalesce(sum(o + i + s) FILTER (t.c <> k.c), 0) AS l, (SELECT count(*) FROM bare x WHERE x.a = k.a AND x.b = k.b AND x.c = k.c) AS e
+  FROM key3 k LEFT JOIN tally t ON t.a = k.a AND t.b = k.b AND starts_with(t.c, k.c) AND k.c <> '' GROUP BY ALL
+  UNION ALL
+  SELECT NULL, k.b, k.c, 2, coalesce(sum(o) FILTER (t.c = k.c), 0), coalesce(sum(i) FILTER (t.c = k.c), 0), coalesce(sum(s) FILTER (t.c = k.c), 0),
+    coalesce(sum(o + i + s) FILTER (t.c <> k.c), 0), (SELECT count(*) FROM bare x WHERE x.b = k.b AND x.c = k.c)
+  FROM (SELECT DISTINCT b, c FROM key3) k LEFT JOIN tally t ON t.b = k.b AND starts_with(t.c, k.c) AND k.c <> '' GROUP BY ALL
+  UNION ALL
+  SELECT NULL, NULL, k.c, 1, coalesce(sum(o) FILTER (t.c = k.c), 0), coalesce(sum(i) FILTER (t.c = k.c), 0), coalesce(sum(s) FILTER (t.c = k.c), 0),
+    coalesce(sum(o + i + s) FILTER (t.c <> k.c), 0), (SELECT count(*) FROM bare x WHERE x.c = k.c)
+  FROM (SELECT DISTINCT c FROM key3) k LEFT JOIN (SELECT c, sum(o) AS o, sum(i) AS i, sum(s) AS s FROM tally GROUP BY c) t ON starts_with(t.c, k.c) AND k.c <> '' GROUP BY ALL
+  UNION ALL
+  SELECT NULL, NULL, NULL, 0, (SELECT sum(o) FROM tally), (SELECT sum(i) FROM tally), (SELECT sum(s) FROM tally), 0, (SELECT count(*) FROM bare)),
+told AS (
+  SELECT f.doc_id, f.ending, f.stopped, v.n, CASE WHEN stopped THEN s WHEN ending = 'dots' THEN s + e - 1 ELSE e - 1 END AS yes,
+    CASE WHEN stopped THEN i WHEN ending = 'dots' THEN o + i + l ELSE o + i + s + l END AS no
+  FROM fin f JOIN level v ON v.a IS NOT DISTINCT FROM CASE WHEN v.n = 3 THEN f.a END AND v.b IS NOT DISTINCT FROM CASE WHEN v.n >= 2 THEN f.b END AND v.c IS NOT DISTINCT FROM CASE WHEN v.n >= 1 THEN f.c END),
+wide AS (
+  SELECT doc_id, any_value(ending) AS ending, bool_or(stopped) AS stopped, max(yes) FILTER (n = 3) AS y3, max(no) FILTER (n = 3) AS n3, max(yes) FILTER (n = 2) AS y2, max(no) FILTER (n = 2) AS n2,
+    max(yes) FILTER (n = 1) AS y1, max(no) FILTER (n = 1) AS n1, max(yes) FILTER (n = 0) AS y0, max(no) FILTER (n = 0) AS n0
+  FROM told GROUP BY doc_id),
+rated AS (
+  SELECT doc_id, ending, stopped, (y3 + 0.5 * (y2 + 0.5 * (y1 + 0.5 * CASE WHEN y0 + n0 <> 0 THEN y0::DOUBLE / (y0 + n0) WHEN stopped THEN 1 ELSE 0 END) / (y1 + n1 + 0.5)) / (y2 + n2 + 0.5)) / (y3 + n3 + 0.5) AS terminal FROM wide)
+SELECT doc_id FROM rated WHERE terminal < CASE WHEN stopped THEN 0.15 WHEN ending = 'dots' THEN 0.27 ELSE 0.5 END
 """
 
 P10_SOURCES = f"""
