@@ -57,28 +57,22 @@ FROM (
 ) GROUP BY ALL
 """
 
-# The last 20 words hold every ending pattern (19 characters at most, so no more words) and the final trigram.
+# The last 20 words hold every ending pattern (19 characters at most, so no more words) and the final trigram. Each step is
+# generated, not projected: projections are merged, and an expression used twice would be evaluated twice.
 FINALS_SQL = r"""
-WITH t AS (
-  SELECT doc_id, source, xxhash64(text) AS h, CASE
-    WHEN size(split(substring_index(text, ' ', -64), '\\s+')) > 24 THEN substring_index(text, ' ', -64) ELSE text END AS t
-  FROM {docs} WHERE text IS NOT NULL
-),
- u AS (
-  SELECT doc_id, source, h, array_join(slice(w, greatest(size(w) - 21, 1), 22), ' ') AS t
-  FROM (SELECT *, split(trim(BOTH ' \n\r\t' FROM regexp_replace(translate(t, '012345678', '999999999'), '\\n\\s*\\n', ' \u0001 ')), '[ \n\r\t]+') AS w FROM t)
- ),
- m AS (SELECT *, regexp_replace(t, :cut_mark, '') AS r, regexp_extract(t, :cut_mark, 0) <> '' AS marked FROM u),
- d AS (SELECT *, regexp_extract(r, :dots, 0) <> '' AS dotted, regexp_replace(r, :dots, '') AS body FROM m),
- f AS (
-  SELECT doc_id, source, h, CASE WHEN marked THEN 'mark' WHEN dotted THEN 'dots' WHEN body RLIKE :stop THEN 'stop' ELSE 'bare' END AS ending,
-    NOT dotted AND body RLIKE :stop AS stopped, concat(array('^', '^'), split(body, ' ')) AS w
-  FROM d WHERE body <> ''
- )
-SELECT doc_id, source, h, ending, stopped,
-  if(b = '\u0001' OR b RLIKE :stop, '^', b) AS b, if(b = '^' OR b = '\u0001' OR b RLIKE :stop OR a = '\u0001' OR a RLIKE :stop, '^', a) AS a,
-  regexp_replace(c, :stop, '') AS c
-FROM (SELECT *, w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c FROM f)
+SELECT doc_id, source, h, ending, stopped, b, if(b = '^' OR a = '\u0001' OR a RLIKE :stop, '^', a) AS a, c
+FROM {docs}
+  LATERAL VIEW inline(array(struct(xxhash64(text), substring_index(text, ' ', -64)))) AS h, near
+  LATERAL VIEW inline(array(struct(split(trim(BOTH ' \n\r\t' FROM regexp_replace(translate(
+    if(regexp_count(near, '\\S+') > 24, near, text), '012345678', '999999999'), '\\n\\s*\\n', ' \u0001 ')), '[ \n\r\t]+')))) AS words
+  LATERAL VIEW inline(array(struct(array_join(slice(words, greatest(size(words) - 21, 1), 22), ' ')))) AS tail
+  LATERAL VIEW inline(array(struct(regexp_replace(tail, :cut_mark, '')))) AS rest
+  LATERAL VIEW inline(array(struct(regexp_replace(rest, :dots, '')))) AS body
+  LATERAL VIEW inline(array(struct(
+    CASE WHEN tail <> rest THEN 'mark' WHEN rest <> body THEN 'dots' WHEN body RLIKE :stop THEN 'stop' ELSE 'bare' END, rest = body AND body RLIKE :stop,
+    concat(array('^', '^'), split(body, ' '))))) AS ending, stopped, w
+  LATERAL VIEW inline(array(struct(w[size(w) - 3], if(w[size(w) - 2] = '\u0001' OR w[size(w) - 2] RLIKE :stop, '^', w[size(w) - 2]), regexp_replace(w[size(w) - 1], :stop, '')))) AS a, b, c
+WHERE body <> ''
 """
 
 # Prefixes of a last word turn "is longer elsewhere" into an equality, linear in distinct trigrams. The pair of
