@@ -14,11 +14,13 @@ of one key get equal surrogates everywhere, whatever their layout or record, so
 from __future__ import annotations
 
 import hashlib
-import hmac
+import math
 import re
+import secrets
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "national_id", "street_address", "person_name")
 
+_WIDE = re.compile("[\uff01-\uff5e\u3000\xa0]")
 _FOLD = {code: code - 0xFEE0 for code in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0: 0x20}
 
 # Words of addresses, titles and firms in the three languages.
@@ -43,28 +46,34 @@ CUES = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Rev)\.?\s+((?:[A-Z][\w']+\s?){1,2})|\
 
 _D = "[0-9Oo]"
 _DW = "|".join(DIGIT_WORDS)
+# A mail address begins where its run of characters begins, so each run is tried once.
+_RUN = r"(?<![\w.+%-])[\w.+%-]+"
 EMAIL = re.compile(
-    r"[\w.+%-]+\s?@\s?[\w-]+(?:\.[\w-]+)+"
-    r"|[\w.+%-]+\s?[(\[{<]\s?at\s?[)\]}>]\s?[\w-]+(?:(?:\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\.)[\w-]+)+"
-    r"|[\w.+%-]+\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+",
+    rf"{_RUN}\s?@\s?[\w-]+(?:\.[\w-]+)+"
+    rf"|{_RUN}\s?[(\[{{<]\s?at\s?[)\]}}>]\s?[\w-]+(?:(?:\s?[(\[{{<]\s?dot\s?[)\]}}>]\s?|\.)[\w-]+)+"
+    rf"|{_RUN}\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+",
     re.IGNORECASE,
 )
+_MAIL_SIGN = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\sat\s+[\w-]+\s+dot\s", re.IGNORECASE)
 NATIONAL_ID = re.compile(rf"(?<![\w+])(?:{_D}(?:[ -]?{_D}){{8}}\s?[VvXx](?!\w)|(?:19|2[0Oo]){_D}{{2}}[ -]?{_D}{{3}}[ -]?{_D}{{5}}(?!\w))")
 PHONE = re.compile(rf"(?<![A-Za-z0-9])(?<![A-Za-z]/)(?:(?:\+|[0O][0O])\s?94|\+?94(?=[ -]|\d{{9}}(?!\w))|(?:\((?=[^()\n]{{1,5}}\)))?[0Oo](?!94))(?:[ .\-/()]{{0,2}}{_D}){{9}}(?!\w)")
 SPOKEN_PHONE = re.compile(rf"\b(?:plus\s+)?(?:{_DW}|oh|double|triple)(?:[ ,-]+(?:{_DW}|oh|double|triple)){{6,13}}\b", re.IGNORECASE)
 _HOUSE = r"\d{1,4}(?:\s?[A-Z](?![A-Za-z]))?(?:/\d{1,4}[A-Z]?)?"
+# The number comes first, since few places of a text begin with one; what may stand before it is looked for from there.
 ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Unit)\s\w+,\s)?(?:\b(?:No|NO|no)\b[.:]?\s?|#\s?)?(?<![\d/\-,.])\b{_HOUSE},?\s(?:[A-Z][\w'.]*\s){{1,3}}(?:{STREETS_EN}|{STREETS_EN.upper()})\b\.?(?:,\s[A-Z][\w-]+)?"
-    rf"|(?:(?:අංක|නො)\.?\s?|#\s?|No\.?\s?)?(?<![\d/\-,.])\b{_HOUSE},?\s(?:[඀-෿‍]+\s){{1,3}}(?:{STREETS_SI})(?![඀-෿])(?:,\s[඀-෿‍]+)?"
-    rf"|(?:(?:இல|எண்)\.?\s?|#\s?|No\.?\s?)?(?<![\d/\-,.])\b{_HOUSE},?\s(?:[஀-௿‌]+\s){{1,3}}(?:{STREETS_TA})(?![஀-௿])(?:,\s[஀-௿]+)?"
+    rf"(?<![\d/\-,.])\b{_HOUSE},?\s(?:(?:[A-Z][\w'.]*\s){{1,3}}(?:{STREETS_EN}|{STREETS_EN.upper()})\b\.?(?:,\s[A-Z][\w-]+)?"
+    rf"|(?:[඀-෿‍]+\s){{1,3}}(?:{STREETS_SI})(?![඀-෿])(?:,\s[඀-෿‍]+)?"
+    rf"|(?:[஀-௿‌]+\s){{1,3}}(?:{STREETS_TA})(?![஀-௿])(?:,\s[஀-௿]+)?)"
 )
+ADDRESS_HEAD = re.compile(r"(?:(?:Flat|Apt\.?|Unit)\s\w+,\s)?(?:\b(?:No|NO|no)\b[.:]?\s?|#\s?|(?:අංක|නො|இல|எண்)\.?\s?)?$")
 _TOKEN = re.compile(r"[A-Za-z][A-Za-z']+|[඀-෿][඀-෿‍]+|[஀-௿]{2,}")
 _INITIALS = re.compile(r"(?:\b[A-Z]\.\s?){1,4}$")
+_DIGIT, _DIGITS3, _SPOKEN = re.compile(r"\d"), re.compile(r"\d{3}"), re.compile("zero|plus", re.IGNORECASE)
 
 
 def fold(text: str) -> str:
     """Full-width characters as ASCII; the length stays."""
-    return text.translate(_FOLD)
+    return text.translate(_FOLD) if _WIDE.search(text) else text
 
 
 def shortest(word: str) -> int:
@@ -141,48 +150,60 @@ def mentions(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     free = flat
 
-    def take(spans: Iterable[tuple[int, int]], kind: str) -> None:
+    def take(spans: list[tuple[int, int]], kind: str) -> None:
+        """Notes the spans and hides them from the searches that follow."""
         nonlocal free
-        for a, b in spans:
-            found.append((a, b, kind))
-            free = free[:a] + "\x00" * (b - a) + free[b:]
-
-    if "@" in flat or "at" in flat.lower():
+        if spans:
+            found.extend((a, b, kind) for a, b in spans)
+            parts, done = [], 0
+            for a, b in spans:
+                parts += (free[done:a], "\x00" * (b - a))
+                done = b
+            free = "".join(parts) + free[done:]
+
+    if _MAIL_SIGN.search(flat):
         take([m.span() for m in EMAIL.finditer(free)], "email")
-    if re.search(r"\d", flat):
-        take([m.span() for m in NATIONAL_ID.finditer(free) if re.search(r"\d{3}", m[0]) and len(_digits(m[0])) in (9, 12)], "national_id")
+    if _DIGIT.search(flat):
+        take([m.span() for m in NATIONAL_ID.finditer(free) if _DIGITS3.search(m[0]) and len(_digits(m[0])) in (9, 12)], "national_id")
         take([m.span() for m in PHONE.finditer(free) if sum(c.isdigit() for c in m[0]) >= 5], "phone")
-        take([m.span() for m in ADDRESS.finditer(free)], "street_address")
-    if "zero" in flat.lower() or "plus" in flat.lower():
+        streets, done = [], 0
+        for m in ADDRESS.finditer(free):
+            near = max(done, m.start() - 64)
+            done = m.end()
+            streets.append((near + ADDRESS_HEAD.search(free[near : m.start()]).start(), done))
+        take(streets, "street_address")
+    if _SPOKEN.search(flat):
         take([m.span() for m in SPOKEN_PHONE.finditer(free) if 10 <= len(_spoken_digits(m[0])) <= 13], "phone")
 
     run: list[re.Match] = []
     people: list[tuple[int, int]] = []
 
     def close() -> None:
-        if run:
-            a, b = run[0].start(), run[-1].end()
-            if not FIRM_AFTER.match(free, b):
-                if m := _INITIALS.search(free[max(0, a - 16) : a]):
-                    a = max(0, a - 16) + m.start()
-                people.append((a, b))
-            run.clear()
-
+        a, b = run[0].start(), run[-1].end()
+        if not FIRM_AFTER.match(free, b):
+            if m := _INITIALS.search(free[max(0, a - 16) : a]):
+                a = max(0, a - 16) + m.start()
+            people.append((a, b))
+        run.clear()
+
+    memo = names.memo
     for m in _TOKEN.finditer(free):
-        kind = names.of(m[0])
+        token = m[0]
+        kind = memo[token] if token in memo else names.of(token)
+        if kind is None and not run:
+            continue
         if run and (kind is None or free[run[-1].end() : m.start()] != " " or len(run) > 1 or not (names.of(run[-1][0]) == "given" and kind == "surname")):
             close()
         if kind is not None:
             run.append(m)
-    close()
-    taken = [False] * (len(text) + 1)
-    for a, b in people:
-        taken[a:b] = [True] * (b - a)
+    if run:
+        close()
+    known = list(people)
     for m in CUES.finditer(free):
         g = 1 if m[1] else 2
         a, b = m.span(g)
         words = m[g].split()
-        if not any(taken[a:b]) and "\x00" not in m[g] and not FIRM_AFTER.match(free, b) and not any(w.lower() in names.places or w in NOT_NAMES for w in words):
+        if not any(x < b and a < y for x, y in known) and "\x00" not in m[g] and not FIRM_AFTER.match(free, b) and not any(w.lower() in names.places or w in NOT_NAMES for w in words):
             people.append((a, a + len(m[g].rstrip())))
     found += [(a, b, "person_name") for a, b in people]
     return sorted(found)
@@ -196,25 +217,74 @@ NOT_NAMES = frozenset("The Any After Before During This From Monday Tuesday Wedn
 
 
 def _hash(key: bytes, *parts: str) -> int:
-    return int.from_bytes(hmac.new(key, "\x1f".join(parts).encode(), hashlib.sha256).digest()[:8], "big")
+    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode(), digest_size=8, key=hashlib.sha256(key).digest()).digest(), "big")
+
+
+def _scramble(x: int, size: int, key: bytes, what: str, back: bool = False) -> int:
+    """A keyed permutation of 0..size-1 and, with ``back``, its inverse: a Feistel network over a slightly larger rectangle,
+    repeated until the value is inside (cycle walking)."""
+    left = math.isqrt(size - 1) + 1
+    right = -(-size // left)
+    while True:
+        a, b = divmod(x, right)
+        for turn in range(5, -1, -1) if back else range(6):
+            if turn % 2:
+                step = _hash(key, what, str(turn), str(b)) % left
+                a = (a - step if back else a + step) % left
+            else:
+                step = _hash(key, what, str(turn), str(a)) % right
+                b = (b - step if back else b + step) % right
+        x = a * right + b
+        if x < size:
+            return x
+
+
+@lru_cache(100_000)
+def another(x: int, size: int, key: bytes, what: str) -> int:
+    """A keyed one-to-one map of 0..size-1 that moves every value: one cycle through all of them.
+
+    >>> moved = [another(i, 1000, b"k", "t") for i in range(1000)]
+    >>> len(set(moved)), any(i == x for i, x in enumerate(moved))
+    (1000, False)
+    """
+    return _scramble((_scramble(x, size, key, what) + 1) % size, size, key, what, back=True) if size > 1 else x
 
 
 def permute_digits(digits: str, key: bytes, what: str) -> str:
-    """A keyed bijection of digit strings of one length (a Feistel network over the two halves, modulo 10^n).
+    """A keyed bijection of digit strings of one length, without fixed points.
 
     >>> len({permute_digits(f"{i:04d}", b"k", "t") for i in range(10000)})
     10000
     """
-    n = len(digits) // 2
-    if not n:
-        return digits if not digits else str((int(digits) + _hash(key, what, "one")) % 10)
-    a, b = digits[:n], digits[n:]
-    for turn in range(6):
-        if turn % 2:
-            a = str((int(a) + _hash(key, what, str(turn), b)) % 10 ** len(a)).zfill(len(a))
-        else:
-            b = str((int(b) + _hash(key, what, str(turn), a)) % 10 ** len(b)).zfill(len(b))
-    return a + b
+    return str(another(int(digits), 10 ** len(digits), key, what)).zfill(len(digits)) if digits else digits
+
+
+#: Days of birth in identity numbers: a day of the year, or that and 500 for women.
+DAYS, WOMEN = 366, 500
+
+
+def permute_identity(digits: str, head: int, key: bytes) -> str:
+    """Another identity number of the same length and gender: the year of birth within its century (of 2000 to 2029 within
+    these), the day within the year and the serial number move together, one to one. Numbers without a valid day move among
+    such numbers.
+
+    >>> permute_identity("855612345", 2, b"k")[2] in "5678" and permute_identity("850012345", 2, b"k")[2:5] not in "001"
+    True
+    """
+    year, day, serial = digits[:head], int(digits[head : head + 3]), digits[head + 3 :]
+    women = day > WOMEN
+    if not 1 <= day - WOMEN * women <= DAYS:
+        new = digits
+        while True:
+            new = permute_digits(new, key, "odd id")
+            if not 1 <= int(new[head : head + 3]) % WOMEN <= DAYS:
+                return new
+    first, years = (0, 100) if head == 2 else (2000, 30) if 2000 <= int(year) < 2030 else (int(year) // 100 * 100, 100) if not year.startswith("20") else (2030, 70)
+    serials = 10 ** len(serial)
+    at = ((int(year) - first) * DAYS + day - WOMEN * women - 1) * serials + int(serial)
+    rest, number = divmod(another(at, years * DAYS * serials, key, f"id {women} {first}"), serials)
+    back, day = divmod(rest, DAYS)
+    return f"{first + back:0{head}d}{day + 1 + WOMEN * women:03d}{number:0{len(serial)}d}"
 
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
@@ -274,7 +344,7 @@ class Surrogates:
         listed: dict[tuple[str, ...], set[str]] = defaultdict(set)
         for form, kind in names.kind.items():
             if not self._stem(form):
-                listed["name", script(form), kind].add(form)
+                listed["name", script(form), kind, form[-1]].add(form)
         for p in names.places:
             if re.fullmatch(r"[\w\u0d80-\u0dff\u0b80-\u0bff\u200d]+", p) and p not in KEPT:
                 listed["town", script(p)].add(p)
@@ -285,18 +355,6 @@ class Surrogates:
             if len(ring) > 1:
                 self.next[what].update(zip(ring, ring[1:] + ring[:1]))
 
-    def replace(self, text: str, spans: list[tuple[int, int, str]], given: dict[tuple[str, str], str]) -> str:
-        """The text with surrogates. ``given`` holds (type, detail) to surrogate, to draw each once, and is extended."""
-        out, done = [], 0
-        for a, b, kind in spans:
-            raw = text[a:b]
-            identity = self.identity(kind, raw)
-            if (kind, identity) not in given:
-                given[kind, identity] = self.draw(kind, identity)
-            out += (text[done:a], self.shape(kind, raw, given[kind, identity]))
-            done = b
-        return "".join(out) + text[done:]
-
     def _stem(self, word: str) -> str:
         """What stands before the family ending of a name, if it is long enough to be changed and still be a name."""
         stem = word[: len(word) - len(self.names.family(word))]
@@ -320,8 +378,7 @@ class Surrogates:
             return identity[:3] + permute_digits(identity[3:], self.key, "phone")
         if kind == "national_id":
             body, letter = (identity[:-1], identity[-1]) if identity[-1] in "VX" else (identity, "")
-            head = 2 if letter else 4
-            return body[:head] + permute_digits(body[head:], self.key, "id") + letter
+            return permute_identity(body, 2 if len(body) == 9 else 4, self.key) + letter
         if kind == "email":
             return permute_letters(identity, self.key, "email") + ".invalid"
         if kind == "street_address":
@@ -389,46 +446,94 @@ def script(text: str) -> str:
     return "sinhala" if re.search("[඀-෿]", text) else "tamil" if re.search("[஀-௿]", text) else "latin"
 
 
-def placeholders(text: str, spans: list[tuple[int, int, str]], count: Counter | None = None) -> str:
-    """The text with typed, numbered placeholders such as ``[PHONE_1]``."""
-    count = Counter() if count is None else count
+@dataclass
+class Replacement:
+    """One mention with what stands for it; mentions of one detail share ``entity_no``, the placeholder and the surrogate."""
+
+    start: int
+    end: int
+    pii_type: str
+    entity_no: int
+    surrogate: str
+
+    @property
+    def placeholder(self) -> str:
+        return f"[{self.pii_type.upper()}_{self.entity_no}]"
+
+
+def spliced(text: str, found: list[Replacement], surrogates: bool) -> str:
+    """The text with the surrogates or the placeholders of its mentions, built in one pass."""
     out, done = [], 0
-    for a, b, kind in spans:
-        count[kind] += 1
-        out += (text[done:a], f"[{kind.upper()}_{count[kind]}]")
-        done = b
+    for r in found:
+        out += (text[done : r.start], r.surrogate if surrogates else r.placeholder)
+        done = r.end
     return "".join(out) + text[done:]
 
 
+def replacements(text: str | None, names: Names, make: Surrogates, entities: dict[tuple[str, str], tuple[int, str]]) -> list[Replacement]:
+    """Every mention of a text with its surrogate. ``entities`` holds (type, detail) to (number, surrogate) of the record
+    and is extended, so a detail is one entity in all texts of its record; by the key its surrogate is the same everywhere."""
+    out = []
+    for a, b, kind in mentions(text, names):
+        what = kind, make.identity(kind, text[a:b])
+        if what not in entities:
+            entities[what] = (1 + sum(k == kind for k, _ in entities), make.draw(*what))
+        number, drawn = entities[what]
+        out.append(Replacement(a, b, kind, number, make.shape(kind, text[a:b], drawn)))
+    return out
+
+
 # ---- on frames --------------------------------------------------------------------------------------------
 
 
+#: Most rows of the lexicon or the gazetteer a worker is sent; both are fixed tables of a few hundred.
+MOST_ENTRIES = 200_000
+
+
 def knowledge(lexicon: DataFrame, locations: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
-    """(name forms with their kind, place names) of the fixed tables, for the workers; both have a few hundred rows."""
-    forms = lexicon.select("name_en", "name_si", "name_ta", "name_type").distinct().collect()
-    places = locations.select("name_en", "name_si", "name_ta", "district").distinct().collect()
+    """(name forms with their kind, place names) of the fixed tables, for the workers, once their size is checked."""
+    forms = lexicon.select("name_en", "name_si", "name_ta", "name_type").distinct().limit(MOST_ENTRIES + 1).collect()
+    places = locations.select("name_en", "name_si", "name_ta", "district").distinct().limit(MOST_ENTRIES + 1).collect()
+    if max(len(forms), len(places)) > MOST_ENTRIES:
+        raise ValueError(f"a lexicon or gazetteer of more than {MOST_ENTRIES} entries is no fixed table")
     return sorted({(f, r.name_type) for r in forms for f in r[:3] if f}), sorted({p for r in places for p in r if p})
 
 
-def count_mentions(texts: DataFrame, lexicon: DataFrame, locations: DataFrame) -> DataFrame:
-    """(keep.., pii_type, mention_no) for every mention in ``texts(cand_id, fld, text)``, numbered per type.
+def fresh_key() -> str:
+    """A key for runs that are given none: surrogates then agree within the run and cannot be reversed by anyone."""
+    return secrets.token_hex(32)
+
+
+def _tools(shipped) -> tuple[Names, Surrogates]:
+    forms, places, secret = shipped.value
+    names = Names(forms, places)
+    return names, Surrogates(secret, forms, places, names)
 
-    A text that holds no detail gives no row; null and empty texts give none; repeated rows are counted again.
+
+def mention_records(records: DataFrame, lexicon: DataFrame, locations: DataFrame, key: str) -> DataFrame:
+    """(cand_id, fld, pii_type, mention_no, entity_no, placeholder, surrogate) for every replaced mention of
+    ``records(cand_id, description, phones)``; mentions are numbered per type and field, over the whole list of phones.
+
+    Records without details give no row; null and empty texts, lists and entries have none; repeated rows repeat theirs.
     """
-    shipped = texts.sparkSession.sparkContext.broadcast(knowledge(lexicon, locations))
+    forms, places = knowledge(lexicon, locations)
+    shipped = records.sparkSession.sparkContext.broadcast((forms, places, key.encode()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms, places = shipped.value
-        names = Names(forms, places)
+        names, make = _tools(shipped)
         for batch in batches:
             rows = []
-            for cand, fld, text in zip(batch["cand_id"], batch["fld"], batch["text"]):
-                if isinstance(text, str) and text:
-                    rows += [(cand, fld, kind, n) for kind, n in Counter(k for _, _, k in mentions(text, names)).items()]
-            yield pd.DataFrame(rows, columns=["cand_id", "fld", "pii_type", "n"])
+            for cand, text, phones in zip(batch["cand_id"], batch["description"], batch["phones"]):
+                entities: dict = {}
+                for fld, texts in (("description", [text]), ("phones", [] if phones is None else phones)):
+                    count: Counter = Counter()
+                    for t in texts:
+                        for r in replacements(t, names, make, entities) if isinstance(t, str) else ():
+                            count[r.pii_type] += 1
+                            rows.append((cand, fld, r.pii_type, count[r.pii_type], r.entity_no, r.placeholder, r.surrogate))
+            yield pd.DataFrame(rows, columns=["cand_id", "fld", "pii_type", "mention_no", "entity_no", "placeholder", "surrogate"])
 
-    counted = texts.select("cand_id", "fld", "text").mapInPandas(run, "cand_id string, fld string, pii_type string, n int")
-    return counted.select("cand_id", "fld", "pii_type", F.explode(F.sequence(F.lit(1), "n")).alias("mention_no"))
+    return records.select("cand_id", "description", "phones").mapInPandas(run, "cand_id string, fld string, pii_type string, mention_no int, entity_no int, placeholder string, surrogate string")
 
 
 def redact(records: DataFrame, lexicon: DataFrame, locations: DataFrame, key: str) -> DataFrame:
@@ -437,26 +542,22 @@ def redact(records: DataFrame, lexicon: DataFrame, locations: DataFrame, key: st
     Details are consistent between the text and the phones of a record and, by the key, over all records.
     Null texts and lists stay null, null entries stay null.
     """
-    shipped = records.sparkSession.sparkContext.broadcast(knowledge(lexicon, locations))
-    secret = key.encode()
+    forms, places = knowledge(lexicon, locations)
+    shipped = records.sparkSession.sparkContext.broadcast((forms, places, key.encode()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms, places = shipped.value
-        names = Names(forms, places)
-        make = Surrogates(secret, forms, places, names)
+        names, make = _tools(shipped)
         for batch in batches:
             rows = []
             for cand, text, phones in zip(batch["cand_id"], batch["description"], batch["phones"]):
-                given: dict = {}
-                spans = mentions(text, names) if isinstance(text, str) else []
-                held = placeholders(text, spans) if isinstance(text, str) else None
-                faked = make.replace(text, spans, given) if isinstance(text, str) else None
-                listed = None if phones is None else [(p, mentions(p, names)) for p in phones]
-                count: Counter = Counter()
+                entities: dict = {}
+                text = text if isinstance(text, str) else None
+                here = replacements(text, names, make, entities)
+                listed = None if phones is None else [(p, replacements(p, names, make, entities)) for p in phones]
                 rows.append((
-                    cand, held, faked,
-                    None if listed is None else [p and placeholders(p, s, count) for p, s in listed],
-                    None if listed is None else [p and make.replace(p, s, given) for p, s in listed],
+                    cand, text and spliced(text, here, False), text and spliced(text, here, True),
+                    None if listed is None else [p and spliced(p, found, False) for p, found in listed],
+                    None if listed is None else [p and spliced(p, found, True) for p, found in listed],
                 ))
             yield pd.DataFrame(rows, columns=["cand_id", "placeholder_text", "surrogate_text", "placeholder_phones", "surrogate_phones"])
 

@@ -103,21 +103,20 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(truncation.judged(table(spark, sf_dir, "documents")))
 
 
+def _candidate_details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """The records, the lexicon, the gazetteer and the key of surrogates; without ``pressmill.pii.key`` each run draws its own."""
+    records = table(spark, sf_dir, "candidates").select(F.col("id").alias("cand_id"), "description", "phones")
+    return arrow_rows(records), table(spark, sf_dir, "name_lexicon"), table(spark, sf_dir, "ref_locations"), spark.conf.get("pressmill.pii.key", None) or pii.fresh_key()
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every personal detail in a candidate's description and phones, numbered by type."""
-    candidates = table(spark, sf_dir, "candidates")
-    fields = F.array(
-        F.struct(F.lit("description").alias("fld"), F.col("description").alias("text")),
-        F.struct(F.lit("phones").alias("fld"), F.array_join("phones", "\n").alias("text")),
-    )
-    texts = candidates.select(F.col("id").alias("cand_id"), F.inline(fields)).where("text <> ''")
-    return pii.count_mentions(arrow_rows(texts), table(spark, sf_dir, "name_lexicon"), table(spark, sf_dir, "ref_locations")).distinct()
+    """Every replaced personal detail in a candidate's description and phones, numbered by type."""
+    return pii.mention_records(*_candidate_details(spark, sf_dir)).select("cand_id", "fld", "pii_type", "mention_no").distinct()
 
 
 def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with typed placeholders and with surrogates in place of personal details."""
-    records = table(spark, sf_dir, "candidates").select(F.col("id").alias("cand_id"), "description", "phones")
-    return pii.redact(arrow_rows(records), table(spark, sf_dir, "name_lexicon"), table(spark, sf_dir, "ref_locations"), key=spark.conf.get("pressmill.pii.key", "demo"))
+    return pii.redact(*_candidate_details(spark, sf_dir))
 
 
 def _language_model(spark: SparkSession, sf_dir: str) -> language.Model:

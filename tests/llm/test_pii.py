@@ -12,6 +12,10 @@ def found(text):
     return [(k, text[a:b]) for a, b, k in pii.mentions(text, NAMES)]
 
 
+def swapped(make, text):
+    return pii.spliced(text, pii.replacements(text, NAMES, make, {}), True)
+
+
 def kinds(text):
     return [k for k, _ in found(text)]
 
@@ -49,8 +53,7 @@ def test_surrogates():
     s = pii.Surrogates(b"key", FORMS, PLACES, NAMES)
     text = "Relani Lumupala 0731234567, +94 73 123 4567 and RELANI LUMUPALA, 202227377654, No 5 Mill Road, Miluela, a@b.test"
     spans = pii.mentions(text, NAMES)
-    given = {}
-    out = s.replace(text, spans, given)
+    out = swapped(s, text)
     again = pii.mentions(out, NAMES)
     assert [k for *_, k in again] == [k for *_, k in spans]
     assert not any(text[a:b] in out for a, b, _ in spans)
@@ -58,8 +61,31 @@ def test_surrogates():
     assert numbers[0][1:] == numbers[1][2:] and numbers[0][:3] == "073"
     people = [out[a:b] for a, b, k in again if k == "person_name"]
     assert people[0].upper() == people[1] and people[0].split()[0].endswith("lani")
-    assert s.replace(text, spans, {}) == out != pii.Surrogates(b"other", FORMS, PLACES, NAMES).replace(text, spans, {})
-    assert pii.placeholders("x 0731234567 y", pii.mentions("x 0731234567 y", NAMES)) == "x [PHONE_1] y"
+    assert swapped(s, text) == out != swapped(pii.Surrogates(b"other", FORMS, PLACES, NAMES), text)
+    said = "x 0731234567, 0737654321 y +94 73 123 4567"
+    assert pii.spliced(said, pii.replacements(said, NAMES, s, {}), False) == "x [PHONE_1], [PHONE_2] y [PHONE_1]"
+
+
+def test_identity_numbers_stay_valid():
+    """The gender (500 added to the day), the layout and a valid day stay, the number changes, none meet."""
+    s = pii.Surrogates(b"key", FORMS, PLACES, NAMES)
+    for raw in ("855012345V", "850012345X", "026146226 v", "2020-145-12559", "202371918805", "199986600001", "205012312345"):
+        new = swapped(s, raw)
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in raw] and new != raw and not set(new) - set(raw) - set("0123456789")
+        old_day, day = (int(pii._digits(x)[2:5] if len(pii._digits(x)) == 9 else pii._digits(x)[4:7]) for x in (raw, new))
+        if 1 <= old_day % 500 <= 366:
+            assert (day > 500) == (old_day > 500) and 1 <= day % 500 <= 366, (raw, new)
+        else:
+            assert not 1 <= day % 500 <= 366
+    assert swapped(s, "202371918805")[:2] == "20"
+    for head, numbers in ((2, [f"85{day:03d}{n:02d}" for day in range(1000) for n in range(0, 100, 7)]),):
+        made = [pii.permute_identity(x, head, b"k") for x in numbers]
+        assert len(set(made)) == len(numbers) and not any(a == b for a, b in zip(made, numbers))
+
+
+def test_numbers_always_move():
+    for n in (1, 2, 3, 4):
+        assert all(pii.permute_digits(f"{i:0{n}d}", b"k", "t") != f"{i:0{n}d}" for i in range(10**n))
 
 
 def test_permutation_is_one_to_one():
@@ -71,10 +97,12 @@ def test_frames(spark):
     lexicon = spark.createDataFrame([("Rumali", "රුමාලි", "ருமாலி", "given"), ("Lumupala", "ලුමුපාල", None, "surname")], "name_en string, name_si string, name_ta string, name_type string")
     places = spark.createDataFrame([("l", "Miluela", None, None, "D")], "location_id string, name_en string, name_si string, name_ta string, district string")
     long = "word " * 40_000 + "0731234567"
-    texts = spark.createDataFrame([("a", "description", "Rumali 0731234567 0737654321", 1), ("b", "phones", None, 1), ("c", "phones", "", 1), ("d", "description", long, 1)], "cand_id string, fld string, text string, pii_type int")
-    got = {tuple(r) for r in pii.count_mentions(texts, lexicon, places).collect()}
-    assert got == {("a", "description", "person_name", 1), ("a", "description", "phone", 1), ("a", "description", "phone", 2), ("d", "description", "phone", 1)}
-    assert pii.count_mentions(texts.limit(0), lexicon.limit(0), places.limit(0)).count() == 0
+    schema = "cand_id string, description string, phones array<string>, fld int"
+    texts = spark.createDataFrame([("a", "Rumali 0731234567 0737654321", ["0737654321 / 0739999999", None, "", "0731234567"], 1), ("b", None, None, 1), ("c", "", [], 1), ("d", long, None, 1)], schema)
+    got = {tuple(r) for r in pii.mention_records(texts, lexicon, places, "k").select("cand_id", "fld", "pii_type", "mention_no", "entity_no").collect()}
+    described = {("a", "description", "person_name", 1, 1), ("a", "description", "phone", 1, 1), ("a", "description", "phone", 2, 2), ("d", "description", "phone", 1, 1)}
+    assert got == described | {("a", "phones", "phone", 1, 2), ("a", "phones", "phone", 2, 3), ("a", "phones", "phone", 3, 1)}
+    assert pii.mention_records(texts.limit(0), lexicon.limit(0), places.limit(0), "k").count() == 0
     records = spark.createDataFrame([("a", "Call 0731234567", ["0731234567", None]), ("b", None, None)], "cand_id string, description string, phones array<string>")
     rows = {r.cand_id: r for r in pii.redact(records, lexicon, places, "k").collect()}
     assert rows["a"].placeholder_text == "Call [PHONE_1]" and rows["a"].surrogate_text[5:] == rows["a"].surrogate_phones[0] and rows["a"].placeholder_phones[1] is None
