@@ -220,19 +220,24 @@ def _hash(key: bytes, *parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode(), digest_size=8, key=hashlib.sha256(key).digest()).digest(), "big")
 
 
+@lru_cache(4096)
+def _short_key(key: bytes, what: str) -> bytes:
+    return hashlib.blake2b(what.encode(), digest_size=32, key=hashlib.sha256(key).digest()).digest()
+
+
 def _scramble(x: int, size: int, key: bytes, what: str, back: bool = False) -> int:
-    """A keyed permutation of 0..size-1 and, with ``back``, its inverse: a Feistel network over a slightly larger rectangle,
-    repeated until the value is inside (cycle walking)."""
+    """A keyed permutation of 0..size-1 and, with ``back``, its inverse: a Feistel network of four rounds over a slightly
+    larger rectangle, repeated until the value is inside (cycle walking)."""
     left = math.isqrt(size - 1) + 1
     right = -(-size // left)
+    short, blake = _short_key(key, what), hashlib.blake2b
     while True:
         a, b = divmod(x, right)
-        for turn in range(5, -1, -1) if back else range(6):
-            if turn % 2:
-                step = _hash(key, what, str(turn), str(b)) % left
+        for turn in (3, 2, 1, 0) if back else (0, 1, 2, 3):
+            step = int.from_bytes(blake(b"%d %d" % (turn, b if turn & 1 else a), digest_size=8, key=short).digest(), "big")
+            if turn & 1:
                 a = (a - step if back else a + step) % left
             else:
-                step = _hash(key, what, str(turn), str(a)) % right
                 b = (b - step if back else b + step) % right
         x = a * right + b
         if x < size:
@@ -308,7 +313,7 @@ def permute_letters(word: str, key: bytes, what: str, letters: frozenset[str] |
     a leading zero stays and no other digit becomes one.
     """
     out, moved, moves = [], False, _moves(letters)
-    seen = hashlib.blake2b(f"{what}\x1f".encode(), digest_size=8, key=hashlib.sha256(key).digest())
+    seen = hashlib.blake2b(f"{what}\x1f".encode(), digest_size=8, key=_short_key(key, "letters"))
     for i, c in enumerate(word):
         new = c
         if c in moves:
@@ -331,8 +336,13 @@ KEPT = frozenset(f"{STREETS_EN}|{STREETS_SI}|{STREETS_TA}|No|Flat|Apt|Unit|අ
 
 def _into(layout: str, digits: str) -> str:
     """Digits put into the places of another number: separators and full-width forms stay, a misread O becomes a digit."""
-    it = iter(digits)
-    return "".join(chr(ord(next(it, "0")) + (0xFEE0 if ord(c) > 0xFF00 else 0)) if fold(c).isdigit() or fold(c) in "Oo" else c for c in layout)
+    it, out = iter(digits), []
+    for c, plain in zip(layout, fold(layout)):
+        if plain.isdigit() or plain in "Oo":
+            new = next(it, "0")
+            c = new if c == plain else chr(ord(new) + 0xFEE0)
+        out.append(c)
+    return "".join(out)
 
 
 class Surrogates:
