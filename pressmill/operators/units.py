@@ -7,9 +7,10 @@ its numbers replaced by ``#``. The steps are
 1. split every distinct spelling into tokens,
 2. map each distinct token to a unit concept: candidates from a character n-gram inverted index over the
    known aliases, verified by a weighted edit distance,
-3. fold the concepts of a spelling into one multiplier (the alias dictionary), and
+3. fold the concepts of a spelling into what each of its numbers counts for (the alias dictionary), and
 4. join the dictionary back to all rows.
 
+Sums in words and of mixed scales ("one hundred twenty five lakhs", "Rs. 1 lakh 50 thousand") are read part by part.
 Only distinct spellings and tokens pass through steps 1-3, so Python never sees the rows.
 Provider units (a desk that stores cents, a tablet that stores thousands) are learned from the rows that
 hold both the raw text and the amount, and apply where only the amount is present.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmill.session import durable
+
 # Unit concepts and the spellings they are known by. A concept is kind:value, where the value
 # of a rate is a unit_code of the rates table.
 ALIASES: dict[str, tuple[str, ...]] = {
@@ -106,8 +109,8 @@ def spelling(text: Column) -> Column:
 
 
 def tokens(spelled: Column) -> Column:
-    """Unit tokens of a spelling in order; ``p.a.`` stays one token, a closing dot is dropped."""
-    found = F.regexp_extract_all(spelled, F.lit(r"([\p{L}\p{M}‍]+(?:\.[\p{L}\p{M}]+)*\$?|[$£])"), F.lit(1))
+    """Unit tokens of a spelling in order, ``#`` for numbers; ``p.a.`` stays one token, a closing dot is dropped."""
+    found = F.regexp_extract_all(spelled, F.lit(r"([\p{L}\p{M}‍]+(?:\.[\p{L}\p{M}]+)*\$?|[$£#])"), F.lit(1))
     return F.transform(found, lambda t: F.regexp_replace(t, r"\.$", ""))
 
 
@@ -122,38 +125,87 @@ def alias_dictionary(words: DataFrame, min_dice: float = 0.4, tolerance: float =
 
     Exact aliases win; a fuzzy match needs a token of four or more characters, bigram overlap (Dice) of
     ``min_dice`` and a distance of at most ``tolerance`` of the longer length. Ties: nearest, then alias.
-    Tokens without a match are absent. The alias side is a fixed list, so broadcasting it is bounded.
+    Tokens without a match are absent. The alias side is a fixed list; the planner broadcasts it by its size.
     """
     spark = words.sparkSession
     aliases = spark.createDataFrame(alias_rows(), "alias string, concept string")
-    exact = words.join(F.broadcast(aliases), words["token"] == aliases["alias"]).select("token", "concept", F.lit(0.0).alias("far"), "alias")
+    exact = words.join(aliases, words["token"] == aliases["alias"]).select("token", "concept", F.lit(0.0).alias("far"), "alias")
     index = aliases.where(F.length("alias") >= 4).withColumn("grams", grams(F.col("alias"))).withColumn("gram", F.explode("grams")).select("alias", "concept", F.size("grams").alias("n_alias"), "gram")
     probe = words.where(F.length("token") >= 4).withColumn("grams", grams(F.col("token"))).withColumn("gram", F.explode("grams")).select("token", F.size("grams").alias("n_token"), "gram")
-    shared = probe.join(F.broadcast(index), "gram").groupBy("token", "alias", "concept", "n_token", "n_alias").agg(F.count(F.lit(1)).alias("n"))
+    shared = probe.join(index, "gram").groupBy("token", "alias", "concept", "n_token", "n_alias").agg(F.count(F.lit(1)).alias("n"))
     near = shared.where(2 * F.col("n") >= min_dice * (F.col("n_token") + F.col("n_alias"))).withColumn("far", weighted_distance_udf("token", "alias"))
     near = near.where(F.col("far") <= tolerance * F.greatest(F.length("token"), F.length("alias"))).select("token", "concept", "far", "alias")
     return exact.unionByName(near).groupBy("token").agg(F.min_by("concept", F.struct("far", "alias")).alias("concept"))
 
 
+def fold_concepts(concepts: list[tuple[str, int]]) -> tuple[list[int], int | None, int, int]:
+    """(coefficient of each number, sum in words or None, times, over) of the concepts of a spelling in order.
+
+    A sum is written as parts of falling scale (``1 lakh 50 thousand``, ``two crores five lakhs``). The first number opens
+    it; a later one belongs to it if a scale came before and it has a smaller one of its own, or none and no measure
+    behind it. Without numbers in digits the words are read the same way.
+
+    >>> fold_concepts([("number", 0), ("scale", 100000), ("number", 0), ("scale", 1000)])[0]
+    [100000, 1000]
+    >>> fold_concepts([("unit", 1), ("times", 100), ("ten", 20), ("unit", 5), ("scale", 100000)])[1]
+    12500000
+    """
+    rate = max((v for k, v in concepts if k == "rate"), default=1)
+    over = max((v for k, v in concepts if k == "over"), default=1) * max((v for k, v in concepts if k == "area"), default=1)
+    marks = [(k, v) for k, v in concepts if k != "none"]
+    at = [i for i, (k, _) in enumerate(marks) if k == "number"]
+    if at:
+        coefficients: list[int] = []
+        last = 0
+        for n, i in enumerate(at):
+            stop = at[n + 1] if n + 1 < len(at) else len(marks)
+            behind = marks[i + 1 : stop]
+            scale = next((v for k, v in behind if k == "scale"), 0)
+            if n == 0:
+                # A scale may stand before the number when none follows it (``ලක්ෂ 241``).
+                own = scale or next((v for k, v in marks[:i] if k == "scale"), 1)
+                last = scale if scale else 0
+            elif last > 1 and scale and scale < last:
+                own = last = scale
+            elif last > 1 and not scale and not any(k in ("over", "area", "rate") for k, _ in behind):
+                own, last = 1, 0
+            else:
+                own, last = 0, 0
+            coefficients.append(own)
+        return coefficients, None, rate, over
+    total = part = 0
+    said = False
+    for kind, value in marks:
+        if kind in ("unit", "ten"):
+            part, said = part + value, True
+        elif kind == "times":
+            part, said = max(part, 1) * value, True
+        elif kind == "scale" and (part or said):
+            total, part = total + max(part, 1) * value, 0
+    return [], (total + part if said else None), rate, over
+
+
+@F.pandas_udf(T.StructType([T.StructField("coefficients", T.ArrayType(T.LongType())), *[T.StructField(n, T.LongType()) for n in ("stated", "times", "over")]]))
+def _folded(concepts: pd.Series) -> pd.DataFrame:
+    done = [fold_concepts([(c["kind"], int(c["value"])) for c in each]) for each in concepts]
+    return pd.DataFrame(done, columns=["coefficients", "stated", "times", "over"]).astype({"stated": "Int64"})
+
+
 def spelling_dictionary(spelled: DataFrame, rates: DataFrame) -> DataFrame:
-    """``spelled(spelling)`` to ``(spelling, stated, times, over)``.
+    """``spelled(spelling)`` (distinct) to ``(spelling, coefficients, stated, times, over)``.
 
-    ``stated`` is the number given in words (null when the number is in digits), ``times`` and ``over`` the
-    multiplier and divisor to common units. ``rates(unit_code, factor)`` gives the currency and area rates.
+    ``coefficients`` is what each number of the spelling counts for, ``stated`` the sum given in words (null when there are
+    numbers in digits or no number words), ``times`` and ``over`` the multiplier and divisor to common units.
+    ``rates(unit_code, factor)`` gives the currency and area rates.
     """
     each = spelled.select("spelling", F.posexplode(tokens(F.col("spelling"))).alias("at", "token"))
-    concepts = each.join(alias_dictionary(each.select("token").distinct()), "token").withColumn("kind", F.split_part("concept", F.lit(":"), F.lit(1))).withColumn("value", F.split_part("concept", F.lit(":"), F.lit(2)))
-    rated = concepts.join(F.broadcast(rates.select(F.lower("unit_code").alias("value"), F.col("factor").cast("long"))), "value", "left")
-    of = lambda kind, what: F.max(F.when(F.col("kind") == kind, what))
-    whole = F.col("value").try_cast("long") if hasattr(Column, "try_cast") else F.col("value").cast("long")
-    return rated.groupBy("spelling").agg(
-        F.sum(F.when(F.col("kind").isin("unit", "ten"), whole)).alias("ones"),
-        F.coalesce(of("times", whole), F.lit(1)).alias("hundreds"),
-        F.coalesce(of("scale", whole), F.lit(1)).alias("scale"),
-        F.coalesce(of("rate", F.col("factor")), F.lit(1)).alias("rate"),
-        F.coalesce(of("over", whole), F.lit(1)).alias("period"),
-        F.coalesce(of("area", F.col("factor")), F.lit(1)).alias("area"),
-    ).select("spelling", (F.col("ones") * F.col("hundreds")).alias("stated"), (F.col("scale") * F.col("rate")).alias("times"), (F.col("period") * F.col("area")).alias("over"))
+    named = alias_dictionary(each.where("token <> '#'").select("token").distinct())
+    concepts = each.join(named, "token", "left").withColumn("concept", F.when(F.col("token") == "#", F.lit("number:0")).otherwise(F.col("concept"))).where("concept is not null")
+    parted = concepts.withColumn("kind", F.split_part("concept", F.lit(":"), F.lit(1))).withColumn("value", F.split_part("concept", F.lit(":"), F.lit(2)))
+    rated = parted.join(rates.select(F.lower("unit_code").alias("value"), F.col("factor").cast("long")).distinct(), "value", "left")
+    value = F.when(F.col("kind").isin("rate", "area"), F.coalesce("factor", F.lit(1))).otherwise(F.coalesce(F.expr("try_cast(value AS bigint)"), F.lit(0)))
+    folded = rated.groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct("at", "kind", value.alias("value")))).alias("concepts"))
+    return folded.select("spelling", _folded("concepts").alias("f")).select("spelling", "f.*")
 
 
 def to_common_units(prices: DataFrame, rates: DataFrame, min_share: float = 0.5) -> DataFrame:
@@ -167,12 +219,16 @@ def to_common_units(prices: DataFrame, rates: DataFrame, min_share: float = 0.5)
     """
     amount, exact = F.col("amount").cast("decimal(24,0)"), "decimal(20,6)"
     rows = prices.withColumn("_u_text", printed(F.col("raw"))).withColumn("_u_spelling", spelling(F.col("_u_text")))
-    rows = rows.withColumn("_u_number", F.expr(f"try_cast(replace(nullif(regexp_extract(_u_text, '{NUMBER.replace(chr(92), chr(92) * 2)}', 0), ''), ',', '') as {exact})"))
-    book = spelling_dictionary(rows.select(F.col("_u_spelling").alias("spelling")).where("spelling is not null").distinct(), rates)
-    book = book.select(F.col("spelling").alias("_u_spelling"), F.col("stated").alias("_u_stated"), F.col("times").alias("_u_times"), F.col("over").alias("_u_over"))
+    rows = rows.withColumn("_u_numbers", F.expr(f"regexp_extract_all(_u_text, '{NUMBER.replace(chr(92), chr(92) * 2)}', 0)"))
+    spelled = durable(rows.select(F.col("_u_spelling").alias("spelling")).where("spelling is not null").distinct())
+    book = durable(spelling_dictionary(spelled, rates)).select(F.col("spelling").alias("_u_spelling"), *[F.col(c).alias(f"_u_{c}") for c in ("coefficients", "stated", "times", "over")])
     rows = rows.join(book, "_u_spelling", "left")
-    number = F.coalesce(F.col("_u_number"), F.col("_u_stated").cast(exact))
-    value = number * F.coalesce("_u_times", F.lit(1)).cast("decimal(15,0)") / F.coalesce("_u_over", F.lit(1)).cast("decimal(6,0)")
+    number = F.expr(f"""CASE
+        WHEN size(_u_numbers) = 0 THEN CAST(_u_stated AS {exact})
+        WHEN size(_u_numbers) = 1 OR size(filter(_u_coefficients, x -> x > 0)) <= 1 THEN try_multiply(try_cast(replace(_u_numbers[0], ',', '') AS {exact}), CAST(coalesce(_u_coefficients[0], 1) AS decimal(12, 0)))
+        ELSE aggregate(zip_with(_u_numbers, _u_coefficients, (n, c) -> if(c > 0, try_multiply(try_cast(replace(n, ',', '') AS {exact}), CAST(c AS decimal(12, 0))), 0)),
+          CAST(0 AS decimal(38, 6)), (s, x) -> CAST(s + x AS decimal(38, 6))) END""")
+    value = number.cast("decimal(32,6)") * F.coalesce("_u_times", F.lit(1)).cast("decimal(6,0)") / F.coalesce("_u_over", F.lit(1)).cast("decimal(6,0)")
     rows = rows.withColumn("_u_raw", F.round(value, 0).cast("decimal(24,0)"))
 
     both = rows.where((F.col("_u_raw") > 0) & (amount > 0)).select("provider", F.format_string("%.3e", amount.cast("double") / F.col("_u_raw").cast("double")).alias("ratio"))
@@ -183,7 +239,7 @@ def to_common_units(prices: DataFrame, rates: DataFrame, min_share: float = 0.5)
     by_provider = F.round(amount.cast("double") / F.coalesce("_u_ratio", F.lit(1.0)), 0).cast("decimal(24,0)")
     basis = F.when(F.col("_u_raw").isNotNull(), "raw").when(amount.isNull(), F.lit(None)).when(F.coalesce("_u_ratio", F.lit(1.0)) == 1.0, "amount").otherwise("provider")
     known = F.coalesce("_u_raw", F.when(F.col("_u_ratio").isNull() | (F.col("_u_ratio") == 1.0), amount).otherwise(by_provider))
-    return rows.withColumn("amount_common", known.cast("bigint")).withColumn("basis", basis).drop("_u_text", "_u_spelling", "_u_number", "_u_stated", "_u_times", "_u_over", "_u_raw", "_u_provider", "_u_ratio")
+    return rows.withColumn("amount_common", known.cast("bigint")).withColumn("basis", basis).drop("_u_text", "_u_spelling", "_u_numbers", "_u_coefficients", "_u_stated", "_u_times", "_u_over", "_u_raw", "_u_provider", "_u_ratio")
 
 
 def wrong_amounts(prices: DataFrame, rates: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ CASES = [
     ("Rs 1.7 crores", 17000000), ("US$ 80", 24960), ("GBP 32,070", 12699720), ("£ 10", 3960), ("Rs. 420,000 p.a.", 35000), ("10.2k monthly", 10200),
     ("Rs. 63,200,000 / rood", 1580000), ("345.6 million per acre", 2160000), ("පර්චසය රු. 1,120,000", 1120000), ("thirty two lakhs only", 3200000),
     ("Rs. 12,OOO", 12000), ("Rs. 1,18O,OOO", 1180000), ("Rs. 4100000/-", 4100000), ("Rs. 12 thousnad", 12000), ("7 lakkhs", 700000), ("Ｒｓ． ５００", 500),
+    ("one hundred twenty five lakhs", 12500000), ("two lakhs fifty thousand", 250000), ("Rs. 1 lakh 50 thousand", 150000), ("2 crores 5 lakhs 30,000", 20530000),
+    ("Rs. 5 lakhs 2 perches", 250000 * 2), ("hundred thousand only", 100000), ("Rs. 5,000 or 6,000", 5000), ("three million two hundred thousand and forty", 3200040),
+    ("US$ 1 thousand 50", 327600), ("two hundred", 200),
 ]
 
 
