@@ -3,7 +3,8 @@
 Constraints are declared as data (:class:`Check`); :func:`compile_state` turns a whole suite into one
 ``groupBy(partition).agg(...)``. The result is a *state* per partition (load): counts, sums, extremes and
 HLL sketches, all of which merge by addition, so a new load costs one scan of that load only
-(:func:`merge_states`). History tests compare the metrics of a load with the median of all loads.
+(:func:`merge_states`). Issues of single records and drift come from one scan as well, as a state in long form
+(:func:`scan_entries`). History tests hold the metrics of loads against control limits (:func:`control_limits`).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.session import durable
+
 
 @dataclass(frozen=True)
 class Check:
@@ -21,7 +24,8 @@ class Check:
 
     kind ``code``: the value is null or one of ``allowed``; ``codes``: a list without null, repeated or
     foreign elements (null and empty lists are fine); ``range``: null or within ``low``..``high``, NaN is bad;
-    ``not_null``; ``pattern``: null or the whole value matches the regular expression ``allowed[0]``.
+    ``not_null``; ``any``: no constraint, the column is profiled; ``pattern``: null or the whole value matches the regular
+    expression ``allowed[0]``.
     """
 
     column: str
@@ -43,7 +47,7 @@ class Check:
             return F.coalesce(~F.isnan(c.cast("double")) & c.between(self.low, self.high), F.lit(False))
         if self.kind == "pattern":
             return F.coalesce(c.rlike(f"^(?:{self.allowed[0]})$"), F.lit(False))
-        if self.kind == "not_null":
+        if self.kind in ("not_null", "any"):
             return c.isNotNull()
         raise ValueError(f"unknown kind of check: {self.kind}")
 
@@ -106,7 +110,7 @@ def report(states: DataFrame, checks: Sequence[Check], keep: Sequence[str] = ())
     for k in checks:
         n = k.column
         valid = F.col(f"{n}__valid")
-        mean = F.when(F.lit(k.kind == "range") & (valid > 0), F.col(f"{n}__sum") / valid)
+        mean = F.when(F.lit(k.kind == "range") & (valid > 0), F.col(f"{n}__sum") / valid) if k.kind == "range" else F.lit(None).cast("double")
         spread = F.when(valid > 1, F.sqrt(F.greatest((F.col(f"{n}__sum2") - valid * mean * mean) / (valid - 1), F.lit(0.0))))
         rows.append(
             F.struct(
@@ -124,56 +128,75 @@ def report(states: DataFrame, checks: Sequence[Check], keep: Sequence[str] = ())
     return states.select(*keep, F.inline(F.array(*rows)))
 
 
-def code_counts(df: DataFrame, checks: Sequence[Check], partition: str) -> DataFrame:
-    """(partition, column_name, code, n): rows of each load that carry a code, from one scan of the table.
+def scan_entries(df: DataFrame, checks: Sequence[Check], partition: str, key: str) -> DataFrame:
+    """All that the checks say of a table from one scan and one map-side aggregate: a mergeable state in long form.
 
-    A row counts once for a code however often its list repeats it. Counts add up over loads and files.
+    Entries (partition, column_name, entry, item): 'row' with the counts and sums of a column, 'code' for every code a load
+    carries (a row counts once for a code however often its list repeats it), 'bad' for every record (``item`` is its
+    ``key``) that breaks a constraint. Columns: n, nulls, bad, valid, total. States of loads or files add up.
     """
+    kind = "struct<column_name:string,entry:string,item:string,nulls:int,bad:int,valid:int,value:double>"
 
-    def named(k: Check) -> Column:
-        codes = F.array_distinct(F.col(k.column)) if k.kind == "codes" else F.array(F.col(k.column))
-        return F.transform(codes, lambda x: F.struct(F.lit(k.column).alias("column_name"), x.alias("code")))
-
-    parts = [named(k) for k in checks if k.kind in ("code", "codes")]
-    if not parts:
-        raise ValueError("no code column among the checks")
-    both = F.concat(*[F.coalesce(p, F.array().cast("array<struct<column_name:string,code:string>>")) for p in parts])
-    flat = df.select(F.col(partition).alias("partition"), F.inline(both)).where("code is not null")
-    return flat.groupBy("partition", "column_name", "code").agg(F.count(F.lit(1)).alias("n"))
-
+    def entry(name: str, what: str, item: Column, *rest: Column) -> Column:
+        return F.struct(F.lit(name), F.lit(what), item.cast("string"), *(rest or [F.lit(0), F.lit(0), F.lit(0), F.lit(None).cast("double")])).cast(kind)
 
-def drifted(df: DataFrame, checks: Sequence[Check], partition: str, limit: float = 0.25) -> DataFrame:
-    """(column_name, partition): loads in which a metric of the column is ``limit`` or more from the usual.
+    def carried(name: str, codes: Column) -> Column:
+        return F.transform(codes, lambda x: entry(name, "code", x))
 
-    Metrics are the null rate, the mean of the valid values (range checks) and the share of rows carrying a
-    code; the usual is the median over the loads (null partitions are no load). A code can only drift if its
-    share reaches ``limit`` in some load, so only those codes are carried over the loads, as zero where absent.
-    """
-    loads = compile_state(df, checks, partition).where("partition is not null")
-    plain = []
+    each = []
     for k in checks:
-        plain.append(F.struct(F.lit(k.column).alias("column_name"), F.lit("null_rate").alias("metric"), (F.col(f"{k.column}__nulls") / F.col("rows")).alias("value")))
-        if k.kind == "range":
-            mean = F.when(F.col(f"{k.column}__valid") > 0, F.col(f"{k.column}__sum") / F.col(f"{k.column}__valid"))
-            plain.append(F.struct(F.lit(k.column).alias("column_name"), F.lit("mean").alias("metric"), mean.alias("value")))
-    metrics = loads.select("partition", F.inline(F.array(*plain)))
-    coded = [k for k in checks if k.kind in ("code", "codes")]
-    if coded:
-        sizes = loads.select("partition", "rows", F.explode(F.array(*[F.lit(k.column) for k in coded])).alias("column_name"))
-        counts = code_counts(df, coded, partition).where("partition is not null")
-        watch = counts.join(sizes, ["partition", "column_name"]).where(F.col("n") >= limit * F.col("rows")).select("column_name", "code").distinct()
-        shares = sizes.join(watch, "column_name").join(counts, ["partition", "column_name", "code"], "left")
-        metrics = metrics.unionByName(shares.select("partition", "column_name", F.concat(F.lit("share "), "code").alias("metric"), (F.coalesce("n", F.lit(0)) / F.col("rows")).alias("value")))
-    usual = metrics.groupBy("column_name", "metric").agg(F.percentile("value", 0.5).alias("usual"))
-    far = metrics.join(usual, ["column_name", "metric"]).where(F.abs(F.col("value") - F.col("usual")) >= limit - 1e-12)
-    return far.select("column_name", "partition").distinct()
-
-
-def control_limits(history: DataFrame, value: str, by: Sequence[str], order: str, sigmas: float = 3.0, least: int = 5) -> DataFrame:
-    """Adds center, spread and ``out_of_control`` of each metric row against the rows before it (robust limits).
-
-    The window of a metric holds one row per load, never table rows. Fewer than ``least`` earlier rows: no test.
+        c, ok, bad = F.col(k.column), k.valid(), k.bad()
+        value = F.when(ok, c.cast("double")) if k.kind == "range" else F.lit(None).cast("double")
+        each.append(F.array(entry(k.column, "row", F.lit(None), c.isNull().cast("int"), bad.cast("int"), ok.cast("int"), value)))
+        each.append(F.when(bad, F.array(entry(k.column, "bad", F.col(key)))).otherwise(F.array().cast(f"array<{kind}>")))
+        if k.kind in ("code", "codes"):
+            codes = F.filter(F.array_distinct(c), lambda x: x.isNotNull()) if k.kind == "codes" else F.array_compact(F.array(c))
+            each.append(F.coalesce(carried(k.column, codes), F.array().cast(f"array<{kind}>")))
+    flat = df.select(F.col(partition).alias("partition"), F.inline(F.concat(*each)))
+    return flat.groupBy("partition", "column_name", "entry", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("nulls").alias("nulls"), F.sum("bad").alias("bad"), F.sum("valid").alias("valid"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"),
+    )
+
+
+def merge_entries(entries: DataFrame) -> DataFrame:
+    """Adds up long states of loads, files, or an old profile and new rows."""
+    return entries.groupBy("partition", "column_name", "entry", "item").agg(*[F.sum(c).alias(c) for c in ("n", "nulls", "bad", "valid", "total")])
+
+
+def entry_metrics(entries: DataFrame, checks: Sequence[Check], least_share: float = 0.0) -> DataFrame:
+    """(partition, column_name, metric, value) of long states: null rates, means of valid numbers, and the shares of the codes
+    that reach ``least_share`` in some load, as zero in loads without them. Null partitions are no load."""
+    loads = entries.where("partition is not null")
+    rows = loads.where("entry = 'row'")
+    ranged = [k.column for k in checks if k.kind == "range"]
+    mean = F.when(F.col("column_name").isin(*ranged) & (F.col("valid") > 0), F.col("total") / F.col("valid")) if ranged else F.lit(None).cast("double")
+    plain = rows.select("partition", "column_name", F.inline(F.array(
+        F.struct(F.lit("null_rate").alias("metric"), (F.col("nulls") / F.col("n")).alias("value")), F.struct(F.lit("mean").alias("metric"), mean.alias("value")),
+    ))).where("value is not null")
+    sizes = rows.select("partition", "column_name", F.col("n").alias("rows"))
+    codes = loads.where("entry = 'code'").select("partition", "column_name", F.col("item").alias("code"), "n")
+    watch = codes.join(sizes, ["partition", "column_name"]).where(F.col("n") >= least_share * F.col("rows")).select("column_name", "code").distinct()
+    shares = sizes.join(watch, "column_name").join(codes, ["partition", "column_name", "code"], "left")
+    return plain.unionByName(shares.select("partition", "column_name", F.concat(F.lit("share "), "code").alias("metric"), (F.coalesce("n", F.lit(0)) / F.col("rows")).alias("value")))
+
+
+def drifted(entries: DataFrame, checks: Sequence[Check], limit: float = 0.25) -> DataFrame:
+    """(column_name, partition): loads in which a metric of the column is outside its control limits, ``limit`` around the
+    median of all loads. A code can only be so if its share reaches ``limit`` in some load."""
+    tested = control_limits(entry_metrics(merge_entries(entries), checks, limit), "value", ["column_name", "metric"], "partition", width=limit)
+    return tested.where("out_of_control").select("column_name", "partition").distinct()
+
+
+def control_limits(history: DataFrame, value: str, by: Sequence[str], order: str, sigmas: float = 3.0, least: int = 5, width: float | None = None) -> DataFrame:
+    """Adds center, spread and ``out_of_control`` to each row of a metric's history (one row per load, never table rows).
+
+    The limits are ``sigmas`` standard deviations around the mean of the loads before it, with fewer than ``least`` of which
+    there is no test; with ``width`` they are that far around the median of all loads, and the limit itself is outside.
     """
+    if width is not None:
+        usual = history.groupBy(*by).agg(F.percentile(value, 0.5).alias("center"))
+        far = F.abs(F.col(value) - F.col("center")) >= width - 1e-12
+        return history.join(usual, list(by)).withColumn("spread", F.lit(float(width))).withColumn("out_of_control", F.coalesce(far, F.lit(False)))
     from pyspark.sql import Window
 
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -207,14 +230,12 @@ def anomalies(states: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return tested.where("out_of_control").select("column_name", "metric", "partition", "value", "center", "spread")
 
 
-def bad_values(df: DataFrame, checks: Sequence[Check], table: str, key: str) -> DataFrame:
-    """(tbl, column_name, rec_key, issue='bad_value'), one row per record and broken column."""
-    flags = F.array_compact(F.array(*[F.when(k.bad(), F.lit(k.column)) for k in checks]))
-    broken = df.select(F.lit(table).alias("tbl"), F.explode(flags).alias("column_name"), F.col(key).alias("rec_key"))
-    return broken.distinct().withColumn("issue", F.lit("bad_value"))
-
-
 def quality_issues(df: DataFrame, checks: Sequence[Check], table: str, key: str, partition: str, limit: float = 0.25) -> DataFrame:
-    """Bad values of records and drifting loads of a table in one relation (tbl, column_name, rec_key, issue)."""
-    drift = drifted(df, checks, partition, limit).select(F.lit(table).alias("tbl"), "column_name", F.col("partition").cast("string").alias("rec_key"), F.lit("drift").alias("issue"))
-    return bad_values(df, checks, table, key).unionByName(drift)
+    """(tbl, column_name, rec_key, issue): 'bad_value' once per record and broken column, 'drift' per load out of control.
+
+    The table is scanned once; both come from its state, which is written (``durable``) since it is read several times.
+    """
+    entries = durable(scan_entries(df, checks, partition, key))
+    bad = entries.where("entry = 'bad'").select(F.lit(table).alias("tbl"), "column_name", F.col("item").alias("rec_key"), F.lit("bad_value").alias("issue")).distinct()
+    drift = drifted(entries, checks, limit).select(F.lit(table).alias("tbl"), "column_name", F.col("partition").cast("string").alias("rec_key"), F.lit("drift").alias("issue"))
+    return bad.unionByName(drift)

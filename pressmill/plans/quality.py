@@ -42,11 +42,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(profile.quality_issues(candidates, CANDIDATE_CHECKS, "candidates", "id", "load_id"))
 
 
+#: Identifiers of the store: a prefix and 26 letters and digits.
+IDENTIFIER = {"ingestion_items": "[a-z]{2,4}_[0-9A-Z]{26}", "candidates": "[a-z]{2,4}_[0-9A-Z]{26}"}
+
+
+def every_column(df: DataFrame, checks: list[profile.Check], patterns: dict[str, str]) -> list[profile.Check]:
+    """The declared checks, and a pattern or no constraint for each of the other columns but the load itself."""
+    known = {k.column: k for k in checks}
+    other = lambda c: profile.Check(c, "pattern", (patterns[c],)) if c in patterns else profile.Check(c, "any")
+    return [known.get(c) or other(c) for c in df.columns if c != "load_id"]
+
+
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile per table, load and column, built from the mergeable load states."""
+    """Profile of every column of the two tables per load, built from the mergeable load states."""
     parts = []
     for name, checks in (("ingestion_items", item_checks(spark, sf_dir)), ("candidates", CANDIDATE_CHECKS)):
-        states = profile.compile_state(table(spark, sf_dir, name), checks, "load_id")
+        rows = table(spark, sf_dir, name)
+        checks = every_column(rows, checks, {"id": IDENTIFIER[name]})
+        states = profile.compile_state(rows, checks, "load_id")
         parts.append(profile.report(states, checks, [F.lit(name).alias("tbl"), F.col("partition").cast("string").alias("load_id")]))
     return parts[0].unionByName(parts[1])
 

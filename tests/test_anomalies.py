@@ -9,7 +9,9 @@ def test_anomalies_of_merged_states(spark):
     checks = [p.Check("code", "code", ("A", "B"))]
     rows = [(load, None if i < (20 if load == 9 else 2 + load % 2) else "B" if load == 8 and i < 30 else "A") for load in range(10) for i in range(100)]
     data = spark.createDataFrame([*rows, (None, None)], "load int, code string")
-    assert p.drifted(data.where("load <> 8"), checks, "load").count() == 0
+    entries = [p.scan_entries(data.where(f"load <> 8 AND hash(code, load) % 2 {op} 0").withColumn("id", p.F.lit("r")), checks, "load", "id") for op in ("=", "<>")]
+    assert p.drifted(entries[0].unionByName(entries[1]), checks).count() == 0
+    assert {tuple(r) for r in p.drifted(entries[0].unionByName(entries[1]), checks, 0.15).collect()} == {("code", 9)}
     halves = [p.compile_state(data.where(f"hash(code, load) % 2 {op} 0"), checks, "load") for op in ("=", "<>")]
     found = {(r.metric, r.partition): r for r in p.anomalies(halves[0].unionByName(halves[1]), checks).collect()}
     assert ("null_rate", 9) in found and ("share B", 8) in found and ("bad_rate", 9) not in found

@@ -40,3 +40,11 @@ def test_control_limits(spark):
     history = spark.createDataFrame([("m", i, 0.1 + 0.001 * (i % 3)) for i in range(10)] + [("m", 10, 0.9)], "metric string, load int, value double")
     out = {r.load: r.out_of_control for r in p.control_limits(history, "value", ["metric"], "load").collect()}
     assert out[10] and not any(out[i] for i in range(10))
+
+
+def test_pattern_and_unconstrained_columns(spark):
+    checks = [p.Check("id", "pattern", (r"\d-\d+",)), p.Check("extra", "any")]
+    whole = {r.column_name: r for r in p.report(p.merge_states(p.compile_state(rows(spark), checks, "load"), checks), checks).collect()}
+    assert round(whole["id"].bad_rate * 124) == 4 and whole["extra"].bad_rate == 0 and whole["extra"].n_distinct == 1 and whole["extra"]["mean"] is None
+    bad = {(r.item, r.n) for r in p.scan_entries(rows(spark), checks, "load", "id").where("entry = 'bad'").collect()}
+    assert bad == {("n1", 1), ("n2", 1), ("n3", 1)}
