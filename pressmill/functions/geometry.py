@@ -108,3 +108,8 @@ def python_mean(values: pd.Series) -> pd.Series:
 def backoff(attempt: Column, base: float = 2.0, cap: float = 60.0) -> Column:
     """G-7: base * 2^(attempt-1), at most ``cap``."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(cap))
+
+
+def call_wait(attempt: Column, retry_after_s: Column, left_s: Column, base: float = 1.0, cap: float = 20.0) -> Column:
+    """G-7 for calls: the provider's own wait wins over the back-off; either is clipped to the time left."""
+    return F.greatest(F.least(F.coalesce(retry_after_s, backoff(attempt, base, cap)), left_s), F.lit(0.0))

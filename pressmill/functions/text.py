@@ -21,6 +21,8 @@ KEYWORDS = {
     "Electronics": ("phone", "iphone", "laptop", "tv", "electronics", "දුරකථන"),
     "Jobs": ("job", "vacancy", "executive", "driver", "රැකියා", "ඇබෑර්තු"),
 }
+# The header line of a block in a rendered page.
+HEADER = r"^\[(\d+)\](?:\s*\([^)]*\))?(?:\s*conf=[\d.]+)?\s*$"
 # Device names no file may bear.
 RESERVED = ("con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in range(1, 10)))
 
@@ -102,6 +104,12 @@ def first_price(text: Column) -> Column:
     return F.coalesce(F.replace(found, F.lit("Rs "), F.lit("Rs. ")), F.lit("Price pending"))
 
 
+def price_amount(price: Column) -> Column:
+    """G-8: the digits of a price as one number, null when it has none; digits of Indic scripts count."""
+    indic = "".join(chr(z + d) for z in (0x0BE6, 0x0DE6) for d in range(10))
+    return F.regexp_replace(F.translate(price, indic, "0123456789" * 2), r"[^0-9]", "").try_cast("bigint")
+
+
 def first_title(lines: Column, longest: int = 120) -> Column:
     """the first line of more than three characters without a price."""
     fit = F.filter(lines, lambda s: ~s.rlike(PRICE) & (F.length(s) > 3))
@@ -159,13 +167,13 @@ def block_header(block: Column, confidence: Column) -> Column:
 
 def rendered_block_ids(page: Column) -> Column:
     """F16: the ids of the block headers of a rendered page, in order."""
-    heads = F.filter(F.split(page, "\n"), lambda s: s.rlike(r"^\[(\d+)\](?:\s*\([^)]*\))?(?:\s*conf=[\d.]+)?\s*$"))
+    heads = F.filter(F.split(page, "\n"), lambda s: s.rlike(HEADER))
     return F.transform(heads, lambda s: F.regexp_extract(s, r"^\[(\d+)\]", 1).cast("int"))
 
 
 def rendered_text(page: Column) -> Column:
     """F16: the text of a rendered page without its headers."""
-    return F.array_join(F.filter(F.split(page, "\n"), lambda s: ~s.rlike(r"^\[(\d+)\](?:\s*\([^)]*\))?(?:\s*conf=[\d.]+)?\s*$")), "\n")
+    return F.array_join(F.filter(F.split(page, "\n"), lambda s: ~s.rlike(HEADER)), "\n")
 
 
 def source_ref(ref: Column) -> Column:

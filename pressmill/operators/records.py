@@ -15,14 +15,13 @@ from pressmill.session import durable
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last state of every key: rows delivered again collapse to the one with the greatest ``order``.
 
-    ``max_by`` aggregates map-side, so a key delivered a million times never meets in one sort. Null order values
-    are the smallest; exact ties are broken by the whole row.
+    Each task keeps one row of a key before the shuffle (the planner's window group limit), so a key delivered a million
+    times never meets in one sort. Null order values are the smallest; exact ties are broken by the whole row.
     """
-    names = rows.columns
-    whole = F.struct(*[F.col(c) for c in names])
-    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in names if not dict(rows.dtypes)[c].startswith("map")]))
-    picked = rows.groupBy(*key).agg(F.max_by(whole, rank).alias("_latest"))
-    return picked.select("_latest.*")
+    kinds = dict(rows.dtypes)
+    whole = F.xxhash64(*[F.col(c) for c in rows.columns if not kinds[c].startswith("map")])
+    w = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order], whole.desc())
+    return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
 def first_per(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -46,7 +46,8 @@ def structural_errors(answer: str | None) -> list[tuple[str, str]]:
     """Every structural error of a JSON answer as (path, message); an empty list means it is well formed.
 
     Unknown fields, numbers that are not finite, confidences outside 0..1, negative or fractional amounts, other
-    currencies and languages, wrong types and overlong texts are errors. Null and unparsable answers are one error.
+    currencies and languages, wrong types and overlong texts are errors. Numbers may be written as strings, and whole
+    numbers as 5.0. Null and unparsable answers are one error.
     """
     found = Errors()
     if answer is None:
@@ -70,7 +71,7 @@ def structural_errors(answer: str | None) -> list[tuple[str, str]]:
             continue
         found.only(ad, AD_FIELDS, path)
         ids = ad.get("source_block_ids", [])
-        if not isinstance(ids, list) or any(isinstance(x, bool) or not isinstance(x, int) for x in ids):
+        if not isinstance(ids, list) or any(whole_number(x) is None for x in ids):
             found.add(f"{path}.source_block_ids", "not a list of integers")
         if ad.get("language", "unknown") not in LANGUAGES:
             found.add(f"{path}.language", "unknown value")
@@ -96,10 +97,33 @@ def structural_errors(answer: str | None) -> list[tuple[str, str]]:
             for k, w in enumerate(warnings):
                 found.only(w, {"code", "field", "message"}, f"{path}.warnings[{k}]")
                 found.text(w, "code", f"{path}.warnings[{k}]", 64, required=True)
+                found.text(w, "field", f"{path}.warnings[{k}]", 64)
                 found.text(w, "message", f"{path}.warnings[{k}]", 500, required=True)
     return list(found)
 
 
+def whole_number(value: object) -> int | None:
+    """An integer as JSON may hold it: 5, 5.0, "5", true.
+
+    >>> whole_number(5.0), whole_number(" 5 "), whole_number(True), whole_number(5.5), whole_number("x")
+    (5, 5, 1, None, None)
+    """
+    if isinstance(value, (bool, int)):
+        return int(value)
+    if isinstance(value, str) and re.fullmatch(r"\s*[+-]?\d+(?:\.0+)?\s*", value):
+        return int(value.strip().split(".")[0])
+    return int(value) if isinstance(value, float) and math.isfinite(value) and value == int(value) else None
+
+
+def finite_number(value: object) -> float | None:
+    """A finite number as JSON may hold it, a numeric string included."""
+    try:
+        number = float(value) if isinstance(value, (bool, int, float, str)) else math.nan
+    except ValueError:
+        return None
+    return number if math.isfinite(number) else None
+
+
 def _price(price: object, path: str, found: Errors) -> None:
     if price is None:
         return
@@ -109,7 +133,7 @@ def _price(price: object, path: str, found: Errors) -> None:
     found.only(price, {"raw", "amount", "currency"}, path)
     found.text(price, "raw", path, 200)
     amount = price.get("amount")
-    if amount is not None and (isinstance(amount, bool) or not isinstance(amount, int) or amount < 0):
+    if amount is not None and ((number := whole_number(amount)) is None or number < 0):
         found.add(f"{path}.amount", "not a whole number of 0 or more")
     if price.get("currency") not in (None, "LKR"):
         found.add(f"{path}.currency", "unknown value")
@@ -124,7 +148,7 @@ def _confidence(conf: object, path: str, found: Errors) -> None:
         found.add(f"{path}.overall", "missing")
     for name in sorted(CONFIDENCE_FIELDS & set(conf)):
         v = conf[name]
-        if v is not None and (isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or not 0 <= v <= 1):
+        if v is not None and ((number := finite_number(v)) is None or not 0 <= number <= 1):
             found.add(f"{path}.{name}", "not within 0 and 1")
 
 
@@ -148,7 +172,7 @@ def semantic_candidates(answers: DataFrame, categories: DataFrame, max_candidate
     """Well-formed answers to candidates: cap, evidence, category, phones, sanitising, numbering.
 
     ``answers(page_id, answer, known_ids)``; ``categories(key, slug)`` is the fixed lookup. One row per surviving
-    candidate: (page_id, candidate_index, source_block_ids, title, description, location, category, phones,
+    candidate: (page_id, candidate_index, source_block_ids, language, title, description, location, price, category, phones,
     confidence, warning_codes). An advertisement that cites no existing block is dropped; survivors are numbered
     from 0. Answers that do not parse give no row.
     """
@@ -156,7 +180,7 @@ def semantic_candidates(answers: DataFrame, categories: DataFrame, max_candidate
     ads = parsed.select("page_id", "known_ids", F.posexplode("a.advertisements").alias("pos", "ad")).where(F.col("pos") < max_candidates)
     kept = evidence(F.col("ad.source_block_ids"), F.col("known_ids"))
     rows = ads.withColumn("kept", kept).where(F.size("kept") > 0).withColumn("key", tx.category_key(F.coalesce("ad.category", F.lit("other"))))
-    rows = rows.join(F.broadcast(categories.select("key", "slug")), "key", "left").withColumn("p", tx.normalize_phones(F.coalesce("ad.contacts.phones", F.array().cast("array<string>"))))
+    rows = rows.join(categories.select("key", "slug"), "key", "left").withColumn("p", tx.normalize_phones(F.coalesce("ad.contacts.phones", F.array().cast("array<string>"))))
     codes = F.concat(
         F.coalesce(F.transform("ad.warnings", lambda w: w["code"]), F.array().cast("array<string>")),
         F.array_compact(F.array(
@@ -167,7 +191,7 @@ def semantic_candidates(answers: DataFrame, categories: DataFrame, max_candidate
     index = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
     return rows.select(
         "page_id", index.alias("candidate_index"), F.col("kept").alias("source_block_ids"), tx.clean(F.col("ad.title")).alias("title"), tx.clean(F.col("ad.description")).alias("description"),
-        tx.clean(F.col("ad.location")).alias("location"), F.coalesce("slug", F.lit("other")).alias("category"), F.col("p.phones").alias("phones"),
+        F.col("ad.language").alias("language"), tx.clean(F.col("ad.location")).alias("location"), tx.clean(F.col("ad.price.raw")).alias("price"), F.coalesce("slug", F.lit("other")).alias("category"), F.col("p.phones").alias("phones"),
         F.col("ad.confidence.overall").alias("confidence"), F.array_distinct(codes).alias("warning_codes"),
     )
 
@@ -175,28 +199,37 @@ def semantic_candidates(answers: DataFrame, categories: DataFrame, max_candidate
 def rule_based_answers(pages: DataFrame) -> DataFrame:
     """Adds ``answer`` to pages(text, known_ids, ..): what the rule-based reader says, as the JSON an engine would give.
 
-    Null for a page without lines. The lines and the joined text are columns of their own, so that the fields
+    A page without text gives an empty envelope. The amount is the digits of the price, and the currency is named only
+    with an amount. The lines and the joined text are columns of their own, so that the fields
     read from them do not compute them again.
     """
     lined = pages.withColumn("_lines", tx.joined_lines(F.col("text"))).withColumn("_joined", F.array_join("_lines", " "))
     read = lined.withColumn("_price", tx.first_price(F.col("_joined"))).withColumn("_category", F.lower(tx.keyword_category(F.col("_joined")))).withColumn("_place", tx.first_location(F.col("_joined")))
     ad = F.struct(
         F.col("known_ids").alias("source_block_ids"), tx.script_language(F.col("text")).alias("language"), tx.first_title(F.col("_lines")).alias("title"), F.substring("_joined", 1, 4000).alias("description"),
-        F.col("_category").alias("category"), F.struct(F.col("_price").alias("raw"), F.lit(None).cast("bigint").alias("amount"), F.lit("LKR").alias("currency")).alias("price"),
+        F.col("_category").alias("category"), F.struct(F.col("_price").alias("raw"), tx.price_amount(F.col("_price")).alias("amount"), F.when(tx.price_amount(F.col("_price")).isNotNull(), "LKR").alias("currency")).alias("price"),
         F.col("_place").alias("location"), F.struct(tx.scan_phones(F.col("_joined")).alias("phones")).alias("contacts"), F.struct(F.lit(0.5).alias("overall")).alias("confidence"),
         F.array(F.struct(F.lit("HEURISTIC_EXTRACTION").alias("code"), F.lit(None).cast("string").alias("field"), F.lit("read by rules").alias("message"))).alias("warnings"),
     )
-    answer = F.when(F.size("_lines") > 0, F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.array(ad).alias("advertisements"))))
+    empty = F.lit('{"schema_version":"1.0","advertisements":[]}')
+    answer = F.when(F.coalesce(tx.strip(F.col("text")), F.lit("")) != "", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.array(ad).alias("advertisements")))).otherwise(empty)
     return read.withColumn("answer", answer).drop("_lines", "_joined", "_price", "_category", "_place")
 
 
-def retry_outcome(attempts: list[tuple[str, int]], max_attempts: int = 3, max_repairs: int = 1, tokens: int = 4096, cap: int = 32_000) -> tuple[str, int, int]:
-    """(outcome, calls used, last token limit) of recorded call results under two independent budgets.
+def retry_outcome(attempts: list[tuple[str, int]], max_attempts: int = 3, max_repairs: int = 1, tokens: int = 4096, cap: int = 32_000, deadline_s: float = math.inf, seconds: float = 0.0) -> tuple[str, int, int]:
+    """(outcome, calls used, last token limit) of recorded call results under two independent budgets and a deadline.
 
-    Results are 'ok', 'invalid' (repairable), 'truncated' (raises the limit by half), 'retryable' or 'fatal'.
+    Results are 'ok', 'invalid' (repairable), 'truncated' (raises the limit by half), 'retryable' or 'fatal'. Each call
+    takes ``seconds`` and each retry its back-off; a call that could only begin after the deadline is not made.
     """
     retries = repairs = calls = 0
+    passed = 0.0
     for result, _ in attempts:
+        if calls:
+            passed += min(2.0 ** (retries - 1), 20.0) if retries else 0.0
+        if passed >= deadline_s:
+            return "failed", calls, tokens
+        passed += seconds
         calls += 1
         if result == "ok":
             return "validated", calls, tokens
@@ -245,13 +278,23 @@ def wire_answer(body: Column, wire: str) -> Column:
 
 
 def http_class(status: Column, body: Column) -> Column:
-    """The error code of an HTTP status, null for success."""
+    """The error code of an HTTP status, null for success; a success without a JSON body is a server error."""
     return (
-        F.when(status.between(200, 299), F.when(body.isNull() | (F.trim(body) == ""), "LLM_SERVER_ERROR")).when(status == 408, "LLM_TIMEOUT").when(status == 429, "LLM_RATE_LIMITED")
-        .when(status >= 500, "LLM_SERVER_ERROR").when(status.isNull(), "LLM_TRANSPORT_ERROR").otherwise("LLM_BAD_REQUEST")
+        F.when(status.isNull(), "LLM_TRANSPORT_ERROR").when(status < 400, F.when(F.try_parse_json(body).isNull(), "LLM_SERVER_ERROR")).when(status.isin(401, 403), "LLM_AUTH_FAILED")
+        .when(status == 404, "LLM_MODEL_UNAVAILABLE").when(status == 408, "LLM_TIMEOUT").when(status == 429, "LLM_RATE_LIMITED").when(status >= 500, "LLM_SERVER_ERROR").otherwise("LLM_BAD_REQUEST")
     )
 
 
+def retry_after(header: Column, code: Column) -> Column:
+    """The seconds a provider asks to wait, for the codes that are worth waiting for; dates are not read."""
+    return F.when(code.isin("LLM_RATE_LIMITED", "LLM_SERVER_ERROR"), F.when(header.try_cast("double").isNotNull(), F.greatest(header.try_cast("double"), F.lit(0.0))))
+
+
+def body_excerpt(body: Column, longest: int = 500) -> Column:
+    """A short excerpt of an error body: the error's message where it has one, never the whole body."""
+    return F.left(F.coalesce(F.get_json_object(body, "$.error.message"), F.get_json_object(body, "$.error"), body), F.lit(longest))
+
+
 # ---- JSON schema dialects (R7, driver side) ----------------------------------------------------------------
 
 

@@ -100,10 +100,10 @@ def wire_counts(spark, sf_dir):
 @R.add(
     "view9_batch_snapshot",
     f"""WITH {ITEMS} SELECT batch_id, count(*) AS n_items, sha256(string_agg(concat(item_index, ':', id, ':', coalesce(status, '')), ',' ORDER BY item_index, id)) AS digest
-FROM items WHERE batch_id IS NOT NULL GROUP BY batch_id HAVING count(*) <= 1000""",
+FROM items WHERE batch_id IS NOT NULL GROUP BY batch_id""",
 )
 def batch_snapshot(spark, sf_dir):
-    """The ordered content of every batch as one digest, however long the batch (the SQL stops at 1,000 items)."""
+    """The ordered content of every batch as one digest, however long the batch."""
     rows = items_now(spark, sf_dir, "batch_id", "item_index", "status").where("batch_id is not null")
     line = F.concat(F.coalesce(F.col("item_index").cast("string"), F.lit("")), F.lit(":"), "id", F.lit(":"), F.coalesce("status", F.lit("")))
     return records.ordered_digests(rows, "batch_id", [F.col("item_index"), F.col("id")], line, ",").withColumnRenamed("n_rows", "n_items")
@@ -146,7 +146,7 @@ def expired_leases(spark, sf_dir):
     rows = items_now(spark, sf_dir, "status", "updated_at", "attempt_count").where(F.col("status").isin(*RUNNING)).withColumn("one", F.lit(1))
     now = table(spark, sf_dir, "ingestion_items").agg(F.max(F.unix_micros("updated_at")).alias("now")).withColumn("one", F.lit(1))
     idle = F.col("now") - F.unix_micros("updated_at")
-    late = rows.join(F.broadcast(now), "one").where(idle > 300 * 1_000_000)
+    late = rows.join(now, "one").where(idle > 300 * 1_000_000)
     return late.select("id", "status", F.expr("(now - unix_micros(updated_at)) div 1000000").alias("idle_s"), (F.col("attempt_count") >= 3).alias("give_up"))
 
 
@@ -174,29 +174,21 @@ def recent_batches(spark, sf_dir):
     return table(spark, sf_dir, "ingestion_batches").select("id", "kind", "total_items").distinct().orderBy(F.desc("id")).offset(25).limit(25)
 
 
-@R.add("l3_items_in_order", f"WITH {ITEMS} SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY item_index ASC NULLS LAST, id) AS place, id FROM items WHERE batch_id IN (SELECT id FROM ingestion_batches WHERE kind = 'operator_upload')")
+@R.add("l3_items_in_order", f"WITH {ITEMS} SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY item_index ASC NULLS LAST, id) AS place, id FROM items WHERE batch_id IS NOT NULL")
 def items_in_order(spark, sf_dir):
-    uploads = table(spark, sf_dir, "ingestion_batches").where("kind = 'operator_upload'").select(F.col("id").alias("batch_id")).distinct()
-    rows = items_now(spark, sf_dir, "batch_id", "item_index").join(uploads, "batch_id", "left_semi")
-    return rows.select("batch_id", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.asc_nulls_last("item_index"), "id")).cast("bigint").alias("place"), "id")
-
-
-@R.add("l3_all_items_in_order", None)
-def all_items_in_order(spark, sf_dir):
-    """L3 over every batch, import batches included (l3_items_in_order keeps to the uploads of its SQL)."""
+    """L3: the place of every item in its batch, import batches included, numbered in range pieces."""
     rows = items_now(spark, sf_dir, "batch_id", "item_index").where("batch_id is not null").select("batch_id", "item_index", "id")
     return records.numbered(rows, "batch_id", ["item_index", "id"]).select("batch_id", "place", "id")
 
 
 @R.add(
     "a15_fingerprints",
-    f"""WITH {ITEMS}, k AS (SELECT i.batch_id, a.checksum_sha256 AS c FROM items i JOIN media_assets a ON a.id = i.source_asset_id),
-small AS (SELECT batch_id FROM k GROUP BY batch_id HAVING count(*) <= 1000)
+    f"""WITH {ITEMS}, k AS (SELECT i.batch_id, a.checksum_sha256 AS c FROM items i JOIN media_assets a ON a.id = i.source_asset_id)
 SELECT b.id AS batch_id, sha256(concat_ws('|', b.created_by, count(*)::varchar, string_agg(k.c, '|' ORDER BY k.c))) AS fingerprint
-FROM (SELECT DISTINCT id, created_by FROM ingestion_batches) b JOIN k ON k.batch_id = b.id JOIN small s ON s.batch_id = b.id GROUP BY b.id, b.created_by""",
+FROM (SELECT DISTINCT id, created_by FROM ingestion_batches) b JOIN k ON k.batch_id = b.id GROUP BY b.id, b.created_by""",
 )
 def fingerprints(spark, sf_dir):
-    """The request fingerprint of every batch, however long (the SQL stops at 1,000 items)."""
+    """The request fingerprint of every batch, however long."""
     assets = table(spark, sf_dir, "media_assets").select(F.col("id").alias("source_asset_id"), F.col("checksum_sha256").alias("c"))
     sums = items_now(spark, sf_dir, "batch_id", "source_asset_id").join(assets, "source_asset_id").select("batch_id", "c")
     owners = table(spark, sf_dir, "ingestion_batches").select(F.col("id").alias("batch_id"), "created_by").distinct()
@@ -260,13 +252,6 @@ def original_keys(spark, sf_dir):
     return table(spark, sf_dir, "media_assets").select("id", keys.original_key(F.col("checksum_sha256"), F.col("content_type")).alias("key"))
 
 
-@R.add("j6_orphan_assets", "SELECT id, storage_key FROM media_assets WHERE id NOT IN (SELECT source_asset_id FROM ingestion_items WHERE source_asset_id IS NOT NULL)")
-def orphan_assets(spark, sf_dir):
-    """Stored originals that no item knows."""
-    used = table(spark, sf_dir, "ingestion_items").select(F.col("source_asset_id").alias("id")).where("id is not null").distinct()
-    return records.orphans(table(spark, sf_dir, "media_assets"), used, "id").select("id", "storage_key")
-
-
 @R.add(
     "j3_item_assets",
     f"WITH {ITEMS} SELECT i.id, a.storage_key, CASE WHEN i.source_asset_id IS NULL THEN 'NO_ASSET' WHEN a.id IS NULL THEN 'ASSET_NOT_FOUND' WHEN a.bytes_state <> 'present' THEN 'BYTES_GONE' END AS error FROM items i LEFT JOIN media_assets a ON a.id = i.source_asset_id",
@@ -335,12 +320,18 @@ def idempotency(spark, sf_dir):
     return rows.select("id", outcome.alias("outcome"))
 
 
-@R.add("c1_references", "\nUNION ALL\n".join(f"SELECT '{t}.{c}' AS edge, {c} AS key FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {p})" for t, c, p in (("ingestion_items", "batch_id", "ingestion_batches"), ("ingestion_items", "source_asset_id", "media_assets"), ("candidates", "item_id", "ingestion_items"), ("ocr_pages", "item_id", "ingestion_items"))))
+EDGES = (
+    ("ingestion_items", "batch_id", "ingestion_batches"), ("ingestion_items", "source_asset_id", "media_assets"), ("candidates", "item_id", "ingestion_items"), ("ocr_pages", "item_id", "ingestion_items"),
+    ("extracted_prices", "candidate_id", "candidates"), ("documents", "item_id", "ocr_pages"),
+)
+
+
+@R.add("c1_references", "\nUNION ALL\n".join(f"SELECT '{t}.{c}' AS edge, {c} AS key FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {'item_id' if t == 'documents' else 'id'} FROM {p})" for t, c, p in (("ingestion_items", "batch_id", "ingestion_batches"), ("ingestion_items", "source_asset_id", "media_assets"), ("candidates", "item_id", "ingestion_items"), ("ocr_pages", "item_id", "ingestion_items"), ("extracted_prices", "candidate_id", "candidates"), ("documents", "item_id", "ocr_pages"))))
 def references(spark, sf_dir):
-    """Referential checks: one left anti join per edge."""
+    """Referential checks: one left anti join per edge; documents of items without a captured page are the last one."""
     out = None
-    for child, column, parent in (("ingestion_items", "batch_id", "ingestion_batches"), ("ingestion_items", "source_asset_id", "media_assets"), ("candidates", "item_id", "ingestion_items"), ("ocr_pages", "item_id", "ingestion_items")):
-        found = records.dangling(table(spark, sf_dir, child), column, table(spark, sf_dir, parent), "id", f"{child}.{column}")
+    for child, column, parent in EDGES:
+        found = records.dangling(table(spark, sf_dir, child), column, table(spark, sf_dir, parent), "item_id" if child == "documents" else "id", f"{child}.{column}")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -351,7 +342,16 @@ def uniqueness(spark, sf_dir):
     return items.unionByName(records.violations(table(spark, sf_dir, "media_assets"), ["checksum_sha256"], "asset checksum"))
 
 
-@R.add("f8_filenames", None)
+_RESERVED = ", ".join(f"'{r}'" for r in tx.RESERVED)
+
+
+@R.add(
+    "f8_filenames",
+    rf"""WITH n AS (SELECT DISTINCT id, original_filename AS f FROM ingestion_items),
+s AS (SELECT id, f, regexp_replace(regexp_replace(string_split(replace(nfc_normalize(f), chr(92), '/'), '/')[-1], '[\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Zl}}\p{{Zp}}"\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]', '', 'g'), '^\s+|\s+$', '', 'g') AS shown FROM n),
+b AS (SELECT id, f, coalesce(nullif(regexp_replace(shown, '^\.+', ''), ''), 'upload') AS bare FROM s)
+SELECT id, CASE WHEN f IS NOT NULL THEN left(CASE WHEN lower(regexp_replace(bare, '\.[^.]*$', '')) IN ({_RESERVED}) THEN concat('file-', bare) ELSE bare END, 255) END AS filename FROM b""",
+)
 def filenames(spark, sf_dir):
     """F8: upload names made safe."""
     return table(spark, sf_dir, "ingestion_items").select("id", tx.safe_filename(F.col("original_filename")).alias("filename")).distinct()

@@ -167,20 +167,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.rule_based_answers(arrow_rows(p)).select("page_id", "known_ids", "answer")
 
 
-@R.add("x5_structure", "SELECT id AS page_id, 0 AS n_errors FROM ocr_pages WHERE text IS NOT NULL AND trim(text) <> ''")
-def structure(spark, sf_dir):
-    """Structural errors of every answer; the rule-based reader makes none."""
-    rows = answers(spark, sf_dir).where("answer is not null")
-    return rows.select("page_id", F.size(validation.structural_errors_udf("answer")).alias("n_errors"))
-
-
 @R.add("x7_candidates", None)
 def candidates(spark, sf_dir):
     """Pages to answers to validated candidates. The answers are a recorded stage of their own, as an
     engine's are; without that cut the optimizer would repeat the reading in every filter derived from them."""
     forms = table(spark, sf_dir, "ref_categories").select("slug", F.explode(F.concat(F.array("slug", "label"), "aliases")).alias("f"))
     book = forms.groupBy(tx.category_key(F.col("f")).alias("key")).agg(F.min("slug").alias("slug"))
-    return validation.semantic_candidates(durable(answers(spark, sf_dir)), book)
+    return validation.semantic_candidates(durable(answers(spark, sf_dir)), book).drop("language", "price")
 
 
 @R.add("j8_evidence", f"WITH {BLOCKS}, k AS (SELECT page_id, list(id ORDER BY id) AS ids FROM b GROUP BY page_id) SELECT page_id, array_to_string(list_filter([1, 3, 99], lambda x: list_contains(ids, x)), ',') AS kept FROM k")

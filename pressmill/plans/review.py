@@ -23,12 +23,12 @@ def candidates_now(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return records.latest(table(spark, sf_dir, "candidates").select(*wanted), ["id"], ["version", "ingested_at", "load_id"])
 
 
-def filtered(rows: DataFrame, states: list[str] | None = None, batch: str | None = None, status: str | None = None, category: str | None = None, warning: str | None = None, low: float | None = None, high: float | None = None, text: str | None = None) -> DataFrame:
+def filtered(rows: DataFrame, states: list[str] | None = None, batch: str | None = None, item: str | None = None, status: str | None = None, category: str | None = None, warning: str | None = None, low: float | None = None, high: float | None = None, text: str | None = None) -> DataFrame:
     """Every filter is optional and all must hold; a null never matches a range; ``text`` is an ILIKE pattern
     on title, description and location (its % and _ are wildcards)."""
     if states:
         rows = rows.where(F.col("candidate_state").isin(*states))
-    for column, value in (("batch_id", batch), ("status", status), ("category", category)):
+    for column, value in (("batch_id", batch), ("item_id", item), ("status", status), ("category", category)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     if warning is not None:
@@ -136,14 +136,6 @@ def candidate_counts(spark, sf_dir):
     return rows.groupBy("item_id", "generation").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status").isin("active", "rejected", "sold")).alias("has_decided"))
 
 
-@R.add("d8_older_generations", f"WITH {CANDIDATES}, g AS (SELECT item_id, max(generation) AS newest FROM cands GROUP BY item_id) SELECT c.id, c.generation, g.newest FROM cands c JOIN g USING (item_id) WHERE c.generation < g.newest")
-def older_generations(spark, sf_dir):
-    """D8 without its rule: candidates of a generation that a newer one of their page follows (aggregate and join, no sort of a hot page)."""
-    rows = candidates_now(spark, sf_dir, "item_id", "generation")
-    newest = rows.groupBy("item_id").agg(F.max("generation").alias("newest"))
-    return rows.join(newest, "item_id").where("generation < newest").select("id", "generation", "newest")
-
-
 @R.add("j9_has_provenance", "SELECT DISTINCT i.id FROM ingestion_items i WHERE EXISTS (SELECT 1 FROM candidates c WHERE c.item_id = i.id AND c.provenance_id IS NOT NULL)")
 def has_provenance(spark, sf_dir):
     with_it = table(spark, sf_dir, "candidates").where("provenance_id is not null").select(F.col("item_id").alias("id"))
@@ -173,7 +165,7 @@ def category_lookup(spark, sf_dir):
     forms = table(spark, sf_dir, "ref_categories").select("slug", F.explode(F.concat(F.array("slug", "label"), "aliases")).alias("f"))
     book = forms.groupBy(category_key(F.col("f")).alias("key")).agg(F.min("slug").alias("slug"))
     rows = candidates_now(spark, sf_dir, "category").withColumn("key", category_key(F.col("category")))
-    return rows.join(F.broadcast(book), "key", "left").select("id", F.coalesce("slug", F.lit("other")).alias("category"), F.col("slug").isNull().alias("unmapped"))
+    return rows.join(book, "key", "left").select("id", F.coalesce("slug", F.lit("other")).alias("category"), F.col("slug").isNull().alias("unmapped"))
 
 
 @R.add("l5_catalog", "SELECT code, code_type FROM code_catalog UNION ALL SELECT slug, 'category' FROM ref_categories ORDER BY 1")
@@ -184,17 +176,11 @@ def catalog(spark, sf_dir):
 
 @R.add(
     "g5_confidence_labels",
-    f"""WITH {CANDIDATES} SELECT id, CASE WHEN confidence_overall >= 0.85 THEN 'high' WHEN confidence_overall >= 0.60 THEN 'medium' ELSE 'low' END AS label,
- CASE lower(confidence_label) WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.4 ELSE 0.75 END::double AS stated FROM cands WHERE confidence_overall IS NULL OR NOT isnan(confidence_overall)""",
+    f"""WITH {CANDIDATES} SELECT id, CASE WHEN isnan(confidence_overall) THEN 'low' WHEN confidence_overall >= 0.85 THEN 'high' WHEN confidence_overall >= 0.60 THEN 'medium' ELSE 'low' END AS label,
+ CASE lower(confidence_label) WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.4 ELSE 0.75 END::double AS stated FROM cands""",
 )
 def confidence_labels(spark, sf_dir):
-    rows = candidates_now(spark, sf_dir, "confidence_overall", "confidence_label").where("confidence_overall is null or not isnan(confidence_overall)")
-    return rows.select("id", geometry.confidence_label(F.col("confidence_overall")).alias("label"), geometry.label_confidence(F.col("confidence_label")).alias("stated"))
-
-
-@R.add("g5_all_confidence_labels", None)
-def all_confidence_labels(spark, sf_dir):
-    """G-5 over every candidate: NaN is low (g5_confidence_labels leaves NaN out, as its SQL does)."""
+    """G-5 over every candidate: NaN and null are low."""
     rows = candidates_now(spark, sf_dir, "confidence_overall", "confidence_label")
     return rows.select("id", geometry.confidence_label(F.col("confidence_overall")).alias("label"), geometry.label_confidence(F.col("confidence_label")).alias("stated"))
 
@@ -233,11 +219,12 @@ def origins(spark, sf_dir):
 
 @R.add(
     "x14_legacy_blocks",
-    """SELECT DISTINCT id, CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END AS n_blocks, CASE lower(confidence) WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.4 ELSE 0.75 END::double AS confidence,
- len(string_split(text, chr(10)))::int AS n_lines FROM ocr_outputs WHERE trim(text) <> ''""",
+    """SELECT DISTINCT id, CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END AS n_blocks, CASE WHEN trim(text) <> '' THEN CASE lower(confidence) WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.4 ELSE 0.75 END::double END AS confidence,
+ CASE WHEN trim(text) <> '' THEN len(string_split(text, chr(10)))::int END AS n_lines FROM ocr_outputs""",
 )
 def legacy_blocks(spark, sf_dir):
-    rows = engines.legacy_blocks(table(spark, sf_dir, "ocr_outputs")).where(F.size("blocks") > 0)
+    """Every legacy output as a block, none for an empty one."""
+    rows = engines.legacy_blocks(table(spark, sf_dir, "ocr_outputs"))
     return rows.select("id", F.size("blocks").alias("n_blocks"), F.get("blocks", F.lit(0))["confidence"].alias("confidence"), F.get("blocks", F.lit(0))["line_count"].alias("n_lines")).distinct()
 
 

@@ -25,14 +25,20 @@ def escaped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.escape_delimiters(F.concat(F.lit(tx.OPEN_TAG), "text", F.lit(tx.CLOSE_TAG))).alias("escaped"))
 
 
-@R.add("f3_cleaned", f"WITH {CANDIDATES} SELECT id, nullif(trim(title, ' ' || chr(10) || chr(9) || chr(160) || chr(8195) || chr(8201) || chr(8239) || chr(12288)), '') IS NULL AS is_empty FROM cands")
+@R.add("f3_cleaned", f"WITH {CANDIDATES} SELECT id, nullif(regexp_replace(regexp_replace(nfc_normalize(title), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F{tx.BIDI}]', '', 'g'), '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g'), '') AS title FROM cands")
 def cleaned(spark, sf_dir):
-    return candidates_now(spark, sf_dir, "title").select("id", tx.clean(F.col("title")).isNull().alias("is_empty"))
+    """titles sanitised and stripped; what is then empty is null."""
+    return candidates_now(spark, sf_dir, "title").select("id", tx.clean(F.col("title")).alias("title"))
 
 
 _NATIONAL = """CASE WHEN starts_with(d, '94') AND length(d) = 11 THEN '0' || d[3:] WHEN length(d) = 9 AND NOT starts_with(d, '0') THEN '0' || d ELSE d END"""
 
 
+_DIGITS = r"array_to_string(regexp_extract_all(p, '\p{Nd}+'), '')"
+_FORM = rf"""CASE WHEN regexp_full_match(CASE WHEN starts_with({_DIGITS}, '94') AND length({_DIGITS}) = 11 THEN '0' || ({_DIGITS})[3:] WHEN length({_DIGITS}) = 9 AND NOT starts_with({_DIGITS}, '0') THEN '0' || {_DIGITS} ELSE {_DIGITS} END, '0\p{{Nd}}{{8,9}}')
+ THEN CASE WHEN starts_with({_DIGITS}, '94') AND length({_DIGITS}) = 11 THEN '0' || ({_DIGITS})[3:] WHEN length({_DIGITS}) = 9 AND NOT starts_with({_DIGITS}, '0') THEN '0' || {_DIGITS} ELSE {_DIGITS} END END"""
+
+
 @R.add(
     "f4_phones",
     rf"""WITH {CANDIDATES}, p AS (SELECT id, unnest(phones) AS raw, generate_subscripts(phones, 1) AS n FROM cands),
@@ -45,15 +51,24 @@ def phones(spark, sf_dir):
     return rows.select("id", (F.col("n") + 1).alias("n"), tx.normalize_phone(F.col("raw")).alias("phone"))
 
 
-@R.add("f5_phone_lists", None)
+_READ = rf"list_transform(phones, lambda p: CASE WHEN p IS NULL THEN NULL ELSE coalesce({_FORM}, nullif(trim(p), '')) END)"
+
+
+@R.add(
+    "f5_phone_lists",
+    f"""WITH {CANDIDATES}, r AS (SELECT id, phones, list_filter({_READ}, lambda x: x IS NOT NULL) AS l FROM cands WHERE phones IS NOT NULL)
+SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS phones, len(list_filter(phones, lambda p: p IS NOT NULL AND {_FORM} IS NULL)) > 0 AS unparseable FROM r""",
+)
 def phone_lists(spark, sf_dir):
-    return candidates_now(spark, sf_dir, "phones").where("phones is not null").select("id", tx.normalize_phones(F.col("phones")).alias("p")).select("id", "p.phones", "p.unparseable")
+    """the readable numbers of a list in national form, others as text, distinct in order."""
+    rows = candidates_now(spark, sf_dir, "phones").where("phones is not null").select("id", tx.normalize_phones(F.col("phones")).alias("p"))
+    return rows.select("id", F.array_join("p.phones", "|").alias("phones"), "p.unparseable")
 
 
-@R.add("f13_phone_scan", r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'), ',') AS phones FROM documents WHERE len(list_distinct(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))) = len(regexp_extract_all(text, '((?:\+?94|0)\d{8,9})'))""")
+@R.add("f13_phone_scan", r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '((?:\+?94|0)\d{8,9})') AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS phones FROM l""")
 def phone_scan(spark, sf_dir):
-    """the distinct numbers of every document in the order of their first mention (the SQL, which has no ordered
-    distinct, leaves out documents that repeat a number and null texts; the latter give null)."""
+    """the distinct numbers of every document in the order of their first mention; null texts give null."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.scan_phones(F.col("text")), ",").alias("phones"))
 
 
@@ -62,13 +77,18 @@ def keyword_category(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.keyword_category(F.col("text")).alias("category"))
 
 
-@R.add("f9_prices", r"""SELECT price_id, coalesce(replace(nullif(regexp_extract(raw, '(?i)(?:rs\.?|රු\.?)\s*[0-9,]+', 0), ''), 'Rs ', 'Rs. '), 'Price pending') AS price FROM (SELECT DISTINCT price_id, raw FROM extracted_prices WHERE raw IS NOT NULL)""")
+@R.add("f9_prices", r"""SELECT price_id, coalesce(replace(nullif(regexp_extract(raw, '(?i)(?:rs\.?|රු\.?)\s*[0-9,]+', 0), ''), 'Rs ', 'Rs. '), 'Price pending') AS price FROM (SELECT DISTINCT price_id, raw FROM extracted_prices)""")
 def prices(spark, sf_dir):
-    """the first price in a raw text."""
-    return table(spark, sf_dir, "extracted_prices").where("raw is not null").select("price_id", "raw").distinct().select("price_id", tx.first_price(F.col("raw")).alias("price"))
+    """the first price in a raw text; a missing text has a pending one."""
+    return table(spark, sf_dir, "extracted_prices").select("price_id", "raw").distinct().select("price_id", tx.first_price(F.col("raw")).alias("price"))
 
 
-@R.add("f10_titles", None)
+@R.add(
+    "f10_titles",
+    rf"""WITH l AS (SELECT id, text, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0B\x0C\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda s: regexp_replace(s, '^[ :\-]+|[ :\-]+$', '', 'g')), lambda s: s <> '') AS ls FROM ocr_pages), j AS (SELECT *, array_to_string(ls, ' ') AS t FROM l)
+SELECT id, left(coalesce(list_filter(ls, lambda s: NOT regexp_matches(s, '(?i)(?:rs\.?|රු\.?)\s*[0-9,]+') AND length(s) > 3)[1], 'Newspaper advertisement'), 120) AS title,
+ coalesce(nullif(trim(regexp_extract(t, '(?i)\b(?:{'|'.join(tx.CITIES)})\s*\d{{0,2}}\b', 0)), ''), {', '.join(f"CASE WHEN contains(lower(t), '{c.lower()}') THEN '{c}' END" for c in tx.CITIES)}, 'Location pending') AS location FROM j""",
+)
 def titles(spark, sf_dir):
     """the rule-based title and place of every page."""
     lines = tx.joined_lines(F.col("text"))
@@ -114,17 +134,11 @@ def request_hashes(spark, sf_dir):
     return table(spark, sf_dir, "ocr_pages").select("id", keys.request_hash(F.col("engine"), F.col("engine_version"), F.col("preprocess_version"), F.sha2("text", 256)).alias("request_hash"))
 
 
-@R.add("r1_distinct_phones", f"WITH {CANDIDATES} SELECT id, len(list_distinct(phones))::int AS n_distinct, len(phones)::int AS n FROM cands WHERE phones IS NOT NULL AND len(list_filter(phones, lambda x: x IS NULL)) = 0")
+@R.add("r1_distinct_phones", f"WITH {CANDIDATES} SELECT id, array_to_string(list_transform(list_filter(phones, lambda x, i: x IS NOT NULL AND list_position(phones, x) = i OR x IS NULL AND len(list_filter(phones[1:i], lambda y: y IS NULL)) = 1), lambda x: coalesce(x, '-')), '|') AS phones, len(phones)::int AS n FROM cands WHERE phones IS NOT NULL")
 def distinct_phones(spark, sf_dir):
-    rows = candidates_now(spark, sf_dir, "phones").where(F.col("phones").isNotNull() & ~F.exists("phones", lambda x: x.isNull()))
-    return rows.select("id", F.size(F.array_distinct("phones")).alias("n_distinct"), F.size("phones").alias("n"))
-
-
-@R.add("r1_all_distinct_phones", None)
-def all_distinct_phones(spark, sf_dir):
-    """R1 over every list: null entries are one value (r1_distinct_phones leaves such lists out, as its SQL does)."""
+    """R1 over every list, in order; null entries are one value (shown as a dash)."""
     rows = candidates_now(spark, sf_dir, "phones").where("phones is not null")
-    return rows.select("id", F.size(F.array_distinct("phones")).alias("n_distinct"), F.size("phones").alias("n"))
+    return rows.select("id", F.array_join(F.array_distinct("phones"), "|", "-").alias("phones"), F.size("phones").alias("n"))
 
 
 @R.add(

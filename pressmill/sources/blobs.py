@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import keys
 
-#: Files longer than this are not read (the upload cap).
-MAX_BYTES = 10 * 1024 * 1024
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
 
 
 def test_labels_of_all(spark, folder):
-    got = {r.id: (r.label, r.stated) for r in entry.queries()["g5_all_confidence_labels"](spark, folder).collect()}
+    got = {r.id: (r.label, r.stated) for r in entry.queries()["g5_confidence_labels"](spark, folder).collect()}
     assert got == {"nan": ("low", 0.9), "null": ("low", 0.75), "high": ("high", 0.4), "mid": ("medium", 0.75), "low": ("low", 0.9)}
 
 
@@ -28,5 +28,5 @@ def test_repeated_numbers(spark, folder):
 
 
 def test_null_entries(spark, folder):
-    got = {r.id: (r.n_distinct, r.n) for r in entry.queries()["r1_all_distinct_phones"](spark, folder).collect()}
-    assert got == {"nan": (2, 4), "high": (0, 0), "mid": (1, 1), "low": (2, 2)}
+    got = {r.id: (r.phones, r.n) for r in entry.queries()["r1_distinct_phones"](spark, folder).collect()}
+    assert got == {"nan": ("1|-", 4), "high": ("", 0), "mid": ("-", 1), "low": ("1|2", 2)}

@@ -52,7 +52,7 @@ def test_regions():
 def test_structure_errors():
     ad = '{"confidence": {"overall": 0.5}}'
     assert validation.structural_errors('{"schema_version": "1.0", "advertisements": [' + ad + "]}") == []
-    bad = ['{"confidence": {"overall": NaN}}', '{"confidence": {"overall": 1.1}}', '{"confidence": {"overall": 0.5}, "x": 1}', '{"confidence": {"overall": 0.5}, "price": {"amount": -1}}', '{"confidence": {"overall": 0.5}, "price": {"currency": "USD"}}', '{"confidence": {"overall": 0.5}, "language": "fr"}', "{}", '{"confidence": {"overall": 0.5}, "source_block_ids": ["1"]}', '{"confidence": {"overall": true}}', '{"confidence": {"overall": 0.5}, "title": "' + "x" * 301 + '"}']
+    bad = ['{"confidence": {"overall": NaN}}', '{"confidence": {"overall": 1.1}}', '{"confidence": {"overall": 0.5}, "x": 1}', '{"confidence": {"overall": 0.5}, "price": {"amount": -1}}', '{"confidence": {"overall": 0.5}, "price": {"currency": "USD"}}', '{"confidence": {"overall": 0.5}, "language": "fr"}', "{}", '{"confidence": {"overall": 0.5}, "source_block_ids": ["one"]}', '{"confidence": {"overall": "high"}}', '{"confidence": {"overall": 0.5}, "title": "' + "x" * 301 + '"}']
     for b in bad:
         assert len(validation.structural_errors('{"schema_version": "1.0", "advertisements": [' + b + "]}")) == 1, b
     assert validation.structural_errors(None) and validation.structural_errors("{") and validation.structural_errors("[]")

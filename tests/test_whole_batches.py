@@ -43,5 +43,5 @@ def test_fingerprint_of_every_batch(spark, big):
 
 def test_places_in_every_batch(spark, big):
     folder, batches, _ = big
-    rows = entry.queries()["l3_all_items_in_order"](spark, folder).collect()
+    rows = entry.queries()["l3_items_in_order"](spark, folder).collect()
     assert sorted((r.batch_id, r.place, r.id) for r in rows) == sorted((b, k, x[2]) for b, v in batches.items() for k, x in enumerate(v, 1))
