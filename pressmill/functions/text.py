@@ -105,9 +105,9 @@ def first_price(text: Column) -> Column:
 
 
 def price_amount(price: Column) -> Column:
-    """G-8: the digits of a price as one number, null when it has none; digits of Indic scripts count."""
-    indic = "".join(chr(z + d) for z in (0x0BE6, 0x0DE6) for d in range(10))
-    return F.regexp_replace(F.translate(price, indic, "0123456789" * 2), r"[^0-9]", "").try_cast("bigint")
+    """G-8: the digits of a price as one number, null when it has none; full-width and Indic digits count."""
+    other = "".join(chr(z + d) for z in (0x0BE6, 0x0DE6, 0xFF10) for d in range(10))
+    return F.regexp_replace(F.translate(price, other, "0123456789" * 3), r"[^0-9]", "").try_cast("bigint")
 
 
 def first_title(lines: Column, longest: int = 120) -> Column:

@@ -228,7 +228,7 @@ def superseded_versions(spark, sf_dir):
 
 
 _LINES = r"list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]'), lambda s: regexp_replace(s, '^[ :\-]+|[ :\-]+$', '', 'g')), lambda s: s <> '')"
-_PRICE = r"(?i)(?:rs\.?|රු\.?)\s*[0-9,]+"
+_PRICE = r"(?i)(?:rs\.?|රු\.?)[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]*[\p{Nd},]+"
 _CITY = "|".join(tx.CITIES)
 
 
@@ -237,7 +237,7 @@ _CITY = "|".join(tx.CITIES)
     rf"""WITH l AS (SELECT id, text, {_LINES} AS ls FROM ocr_pages), j AS (SELECT *, array_to_string(ls, ' ') AS t FROM l),
 p AS (SELECT *, coalesce(replace(nullif(regexp_extract(t, '{_PRICE}', 0), ''), 'Rs ', 'Rs. '), 'Price pending') AS raw FROM j)
 SELECT id AS page_id, left(coalesce(list_filter(ls, lambda s: NOT regexp_matches(s, '{_PRICE}') AND length(s) > 3)[1], 'Newspaper advertisement'), 120) AS title, raw AS price,
- try_cast(nullif(regexp_replace(raw, '[^0-9]', '', 'g'), '') AS bigint) AS amount, CASE WHEN regexp_matches(raw, '[0-9]') THEN 'LKR' END AS currency,
+ try_cast(nullif(regexp_replace(translate(raw, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), '') AS bigint) AS amount, CASE WHEN regexp_matches(raw, '\p{{Nd}}') THEN 'LKR' END AS currency,
  coalesce(nullif(trim(regexp_extract(t, '(?i)\b(?:{_CITY})\s*\d{{0,2}}\b', 0)), ''), {', '.join(f"CASE WHEN contains(lower(t), '{c.lower()}') THEN '{c}' END" for c in tx.CITIES)}, 'Location pending') AS location,
  lower(CASE {' '.join(f"WHEN regexp_matches(lower(t), '{'|'.join(w)}') THEN '{k}'" for k, w in tx.KEYWORDS.items())} ELSE 'Other' END) AS category
 FROM p WHERE trim(text) <> ''""",
