@@ -7,7 +7,7 @@ and spliced into the unchanged rest.
 
 What changes: canonical and look-preserving compatibility forms are composed (full width, ligatures, presentation
 forms), unusual spaces become a space, invisible characters go, letters of another alphabet that look like Latin
-ones become Latin inside a Latin word, and vowel sequences that imitate another Indic letter become that letter.
+ones become Latin unless their word or text is really written in that alphabet, and vowel sequences that imitate another Indic letter become that letter.
 What stays: superscripts, fractions and circled forms (they do not look like their plain form), typographic
 quotes and dashes, and the joiner that Sinhala spelling needs after a virama.
 """
@@ -38,8 +38,8 @@ SEQUENCES = {"අා": "ආ", "අැ": "ඇ", "අෑ": "ඈ", "උෟ": "ඌ",
 HYPHENS = "‐‑"
 #: Compatibility forms that look like their plain form. Others (super, sub, fraction, circle, square) stay.
 SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
-#: Blocks scanned for unstable characters: everything up to Yijing, compatibility blocks, mathematical letters.
-BLOCKS = ((0x80, 0x4DC0), (0xA000, 0xAC00), (0xF900, 0x10000), (0x1D400, 0x1D800), (0xE0000, 0xE0200))
+#: Code points scanned for unstable characters: all but unified ideographs, Hangul syllables and private use, which have none.
+BLOCKS = ((0x80, 0x4DC0), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
 VIRAMA, JOINER = "්", "‍"
 
 
@@ -97,8 +97,48 @@ def _pattern(escape: str) -> str:
     """Unstable characters, joiners outside Sinhala clusters, marks that may compose, imitating sequences."""
     common = [chr(c) for low, high in ((0x0D80, 0x0E00), (0x0B80, 0x0C00)) for c in range(low, high) if unicodedata.category(chr(c)) != "Cn" and single(chr(c)) != chr(c)]
     stray = f"(?<!{VIRAMA}){JOINER}(?!{VIRAMA})|{JOINER}(?![඀-෿])"
-    marks = "[ෙො][්ාෟ]|[ெே][ாௗ]|ஔ"
-    return f"(?![{COMMON}])(?:[{_class(escape)}]|{stray}|[\u0300-\u036f])|" + "|".join([marks, *SEQUENCES, *common])
+    return f"(?![{COMMON}])(?:[{_class(escape)}]|{stray}|[\u0300-\u036f])|" + "|".join([*_pairs(escape), *SEQUENCES, *common])
+
+
+def _ranges(codes: list[int], escape: str) -> str:
+    runs: list[list[int]] = []
+    for code in sorted(codes):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join((escape % a) + (f"-{escape % b}" if b > a else "") for a, b in runs) + "]"
+
+
+@lru_cache(1)
+def _composing() -> tuple[dict[int, list[int]], list[int]]:
+    """(second code point of a composition to its firsts, marks with a combining class), as the quick check of NFC has them:
+    a second may compose with its first, and two marks in a row may be out of order or hide a first from a second."""
+    firsts: dict[int, list[int]] = {}
+    marks = []
+    for low, high in BLOCKS:
+        for code in range(low, high):
+            c = chr(code)
+            if unicodedata.combining(c):
+                marks.append(code)
+            how = unicodedata.decomposition(c)
+            if how and not how.startswith("<") and " " in how and unicodedata.normalize("NFC", c) == c:
+                a, b = (int(x, 16) for x in how.split(" "))
+                if not 0x300 <= b <= 0x36F:
+                    firsts.setdefault(b, []).append(a)
+    return firsts, marks
+
+
+def _pairs(escape: str) -> list[str]:
+    """Pairs that may compose (beside the marks of Latin, Greek and Cyrillic letters, all of which are looked at), conjoining
+    Hangul letters, and two marks in a row."""
+    firsts, marks = _composing()
+    grouped: dict[tuple[int, ...], list[int]] = {}
+    for second, before in firsts.items():
+        grouped.setdefault(tuple(sorted(before)), []).append(second)
+    every = _ranges(marks, escape)
+    hangul = [_ranges([0x1100, *range(0x1101, 0x1113)], escape) + _ranges(list(range(0x1161, 0x1176)), escape), _ranges(list(range(0xAC00, 0xD7A4)), escape) + _ranges(list(range(0x11A8, 0x11C3)), escape)]
+    return [*[_ranges(list(a), escape) + _ranges(b, escape) for a, b in grouped.items()], *hangul, every + every]
 
 
 @lru_cache(1)
@@ -112,7 +152,8 @@ def quick_check() -> re.Pattern:
 
 
 def is_mark(c: str) -> bool:
-    return unicodedata.category(c)[0] == "M" or c == JOINER
+    """Marks, joiners, and the Hangul vowels and finals that join the letter before them."""
+    return unicodedata.category(c)[0] == "M" or c == JOINER or "\u1160" <= c <= "\u11ff"
 
 
 def plain_segment(segment: str) -> str:
@@ -131,16 +172,34 @@ def plain_segment(segment: str) -> str:
     return unicodedata.normalize("NFC", out)
 
 
-def latin_word(word: str) -> str:
+HOME = ("LATIN", "SINHALA", "TAMIL")
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The alphabet of a letter by its name, '' for other characters."""
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
+
+
+def foreign_alphabets(text: str) -> frozenset[str]:
+    """Alphabets the text is really written in: they have a letter there without a Latin twin."""
+    return frozenset(alphabet(c) for c in set(text) if c.isalpha() and c not in LOOKALIKES) - {"", *HOME}
+
+
+def latin_word(word: str, written: frozenset[str] = frozenset()) -> str:
     """Look-alikes as Latin letters, if every letter of another alphabet in the word has a Latin twin.
 
-    A word with a letter that has none (a truly Cyrillic word, say) stays as it is.
+    A word with a letter that has none (a truly Cyrillic word, say) stays as it is. So does a word of look-alikes alone
+    in a text that is ``written`` in their alphabet; in any other text it is a Latin word in disguise.
 
-    >>> latin_word(chr(0x0430) + "bc"), latin_word("дом")
-    ('abc', 'дом')
+    >>> latin_word(chr(0x0430) + "bc"), latin_word("дом"), latin_word("сор", frozenset({"CYRILLIC"})), latin_word("сор") == "cop"
+    ('abc', 'дом', 'сор', True)
     """
-    foreign = [c for c in word if c.isalpha() and c not in LOOKALIKES and not unicodedata.name(c, "").startswith(("LATIN", "SINHALA", "TAMIL"))]
-    return word if foreign else unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in word))
+    if any(c.isalpha() and c not in LOOKALIKES and alphabet(c) not in HOME for c in word):
+        return word
+    if written and not any(alphabet(c) == "LATIN" and c not in LOOKALIKES for c in word) and any(alphabet(c) in written for c in word):
+        return word
+    return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in word))
 
 
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯ][^\W_]*)*")
@@ -169,7 +228,8 @@ def plain_form(text: str | None) -> str | None:
         done = high
     spliced = "".join(out) + text[done:]
     if any(c in LOOKALIKES for c in spliced):
-        latin = _WORDS.sub(lambda w: latin_word(w[0]), spliced)
+        written = foreign_alphabets(spliced)
+        latin = _WORDS.sub(lambda w: latin_word(w[0], written), spliced)
         return latin if latin == spliced else plain_form(latin)  # a mark may now compose with its new base
     return spliced
 

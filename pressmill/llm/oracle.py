@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pressmill.llm import lookalike
-
-_CLASS = "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in lookalike.unstable_class())
-_SEQUENCES = "|".join(lookalike.SEQUENCES)
+# What print and keyboards write in place of plain characters, by block: spaces and invisible characters, hyphens and dots,
+# letters of look-alike alphabets, presentation and width forms, mathematical letters.
+_ODD = (
+    r"[\x{a0}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{1680}\x{17b4}\x{17b5}\x{180e}\x{2000}-\x{200c}\x{200e}-\x{2011}\x{2024}-\x{2026}\x{202a}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{3164}\x{fe00}-\x{fe0f}\x{feff}"
+    r"\x{131}\x{251}\x{261}\x{1c0}\x{fb00}-\x{fb4f}\x{ff01}-\x{ffe6}\x{1d400}-\x{1d7ff}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Lisu}]"
+)
+# Indic vowel sequences that imitate one letter.
+_IMITATIONS = "අා|අැ|අෑ|උෟ|ඍෘ|එ්|එෙ|ඔෟ|ෙෙ|அூ"
 
 
 def _unplain(column: str) -> str:
     joined = f"regexp_replace({column}, '\\x{{dca}}\\x{{200d}}([\\x{{d80}}-\\x{{dff}}])|\\x{{200d}}\\x{{dca}}', '\\1', 'g')"
-    return f"(nfc_normalize({column}) <> {column} OR regexp_matches({column}, '[{_CLASS}]') OR regexp_matches({column}, '{_SEQUENCES}') OR contains({joined}, chr(8205)))"
+    return f"(nfc_normalize({column}) <> {column} OR regexp_matches({column}, '{_ODD}') OR regexp_matches({column}, '{_IMITATIONS}') OR contains({joined}, chr(8205)))"
 
 
 P7 = f"""
