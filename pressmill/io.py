@@ -11,14 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(df: DataFrame) -> DataFrame:
+def arrow_rows(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Spread rows over all cores before a costly row-wise stage when its scan has too few splits for them.
 
     Such a stage runs one task a split, and a Parquet file of a few megabytes is one split whatever its rows
     cost. A scan with at least a split for every core is left alone: large inputs are never shuffled for this.
+    ``scan`` is the table ``df`` comes from, where ``df`` itself holds joins or aggregates and would be planned for the count.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    return df if (df if scan is None else scan).rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def md5_key(*columns: str) -> Column:
