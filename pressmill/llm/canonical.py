@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.session import durable
+
 UNMATCHED = "unmatched"
 
 # Words around a value that do not belong to it.
@@ -158,6 +160,21 @@ class Trie:
                     return most, rank, int(not near), min(near or found)
         return None
 
+
+    def everything(self, value: str) -> list[tuple[int, str]]:
+        """[(distance, entry)] of all entries within the distance its length allows of some reading of a value; the entry
+        of :meth:`nearest` comes first, the others by distance and id."""
+        found: dict[str, int] = {}
+        for query, _ in readings(value):
+            most = allowed_distance(len(query))
+            if len(query) - most <= self.longest:
+                for entry, far in self.within(query, most).items():
+                    found[entry] = min(found.get(entry, far), far)
+        best = self.nearest(value)
+        rest = sorted((far, entry) for entry, far in found.items() if not best or entry != best[0])
+        return ([(best[1], best[0])] if best else []) + rest
+
+
 class Memo(OrderedDict):
     """A least-recently-used table of bounded size, so that a worker's memory does not grow with the data."""
 
@@ -207,18 +224,45 @@ def match_values(values: DataFrame, forms: DataFrame, max_entries: int = 200_000
     return _match_sharded(values, forms, math.ceil(n / max_entries))
 
 
+def all_matches(values: DataFrame, forms: DataFrame, max_entries: int = 200_000) -> DataFrame:
+    """(fld, value, place, canonical, distance) of all entries within the distance of each distinct ``values(fld, value)``,
+    the best one in place 1; one row with the canonical 'unmatched' where there is none. Null and empty values have none.
+
+    The reference list must fit a worker (``max_entries`` forms, else an error; :func:`match_values` takes longer ones).
+    """
+    listed: dict[str, list] = {}
+    for n, r in enumerate(forms.select("fld", "entry", "form", "context").limit(max_entries + 1).collect()):
+        if n == max_entries:
+            raise ValueError(f"more than {max_entries} forms")
+        listed.setdefault(r.fld, []).append((r.entry, r.form, r.context))
+    shipped = values.sparkSession.sparkContext.broadcast(listed)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries = {f: Trie(rows) for f, rows in shipped.value.items()}
+        for batch in batches:
+            rows = []
+            for fld, value in zip(batch["fld"], batch["value"]):
+                if isinstance(value, str) and value.strip():
+                    hits = tries[fld].everything(value) if fld in tries else []
+                    rows += [(fld, value, k, entry, far) for k, (far, entry) in enumerate(hits, 1)] or [(fld, value, 1, UNMATCHED, None)]
+            yield pd.DataFrame(rows, columns=["fld", "value", "place", "canonical", "distance"]).astype({"distance": "Int32"})
+
+    return values.select("fld", "value").distinct().mapInPandas(look, "fld string, value string, place int, canonical string, distance int")
+
+
 def with_columns_ddl(df: DataFrame, more: str) -> str:
     """DDL of the frame's columns and ``more``."""
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [more])
 
 
-def _match_sharded(values: DataFrame, forms: DataFrame, shards: int, blocks: int = 64) -> DataFrame:
-    """The same over a reference list too long for one worker: distinct values in ``blocks`` meet each shard.
+def _match_sharded(values: DataFrame, forms: DataFrame, shards: int, block_values: int = 20_000) -> DataFrame:
+    """The same over a reference list too long for one worker: distinct values in blocks meet each shard.
 
-    A pair of block and shard is one task: a bounded shard and 1/``blocks`` of the distinct values. The best
+    A pair of block and shard is one task: a bounded shard and about ``block_values`` distinct values. The best
     of the shards' best is the best of the whole list, by the order of :meth:`Trie.ranked`.
     """
-    distinct = values.where("trim(value) <> ''").select("fld", "value").distinct()
+    distinct = durable(values.where("trim(value) <> ''").select("fld", "value").distinct())
+    blocks = max(1, math.ceil(distinct.count() / block_values))
     left = distinct.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = forms.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 

@@ -1,17 +1,18 @@
 """Sources mixed to target weights under a cap on repeats.
 
-The weights of a plan hang on a tree domain - language - source. A plan's total is handed down the tree; a source
-that cannot fill its part (its tokens times the cap on repeats) leaves a shortage, which its siblings take over
-first, then the siblings of its language, then those of its domain, each by weight and within what they can
-supply. A source then contributes whole seeded epochs of its documents and a prefix of one more, up to its
-budget. The prefix is found from sums per hash bucket, so no task ever sorts a whole source.
+The weights of a plan hang on a tree domain - language - source; a source stands under every domain and language it has
+documents of, with its weight spread by their tokens. A plan's total is handed down the tree; a leaf that cannot fill
+its part (its tokens times the cap on repeats) leaves a shortage, which its siblings take over first, then the siblings
+of its language, then those of its domain, each by weight and within what they can supply. A leaf then contributes whole
+seeded epochs of its documents and a prefix of one more, up to its budget. The prefix is found from sums per hash
+bucket, so no task ever sorts a whole source.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,61 +82,110 @@ def tree(rows: list[tuple[str, str, str, float, float]]) -> Node:
     return root
 
 
-def budgets(supply: DataFrame, targets: DataFrame, total: str | float = "exact") -> list[tuple[int, str, float, float, int]]:
-    """[(plan_id, source, target share, budget, source tokens)] of every plan.
+@dataclass(frozen=True)
+class Budget:
+    """What a plan takes of one cell (source, domain, language): ``budget`` of its ``tokens``; ``share`` is the source's target."""
 
-    ``supply(source, domain, language, tokens)`` has a row per source, ``targets`` is the fixed table of plans;
-    both are small and are settled on the driver. ``total`` is 'exact' (the largest total with exact shares),
-    'available' (one epoch of all sources of the plan; shortages are redistributed) or a number of tokens.
+    plan_id: int
+    source: str
+    domain: str
+    language: str
+    share: float
+    budget: float
+    tokens: int
+
+
+#: Most cells (sources by domain and language) and targets that are settled on the driver.
+MOST_CELLS = 1_000_000
+
+
+def budgets(supply: DataFrame, targets: DataFrame, total: str | float = "exact") -> list[Budget]:
+    """The budget of every cell of every plan.
+
+    ``supply(source, domain, language, tokens)`` has a row per cell, ``targets`` is the fixed table of plans; both are
+    aggregates of bounded size (``MOST_CELLS``) and are settled on the driver. A source's share is spread over its cells by
+    their tokens. ``total`` is 'exact' (the largest total with exact shares), 'available' (one epoch of all sources of the
+    plan; shortages are redistributed) or a number of tokens.
     """
-    have = {r.source: r for r in supply.collect()}
+    cells: dict[str, list] = {}
+    rows = supply.limit(MOST_CELLS + 1).collect()
+    goals = targets.groupBy("plan_id", "source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most")).limit(MOST_CELLS + 1).collect()
+    if max(len(rows), len(goals)) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells or targets")
+    for r in rows:
+        if r.source is not None:
+            cells.setdefault(r.source, []).append(r)
     plans: dict[int, list] = {}
-    for r in targets.groupBy("plan_id", "source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most")).collect():
+    for r in goals:
         plans.setdefault(r.plan_id, []).append(r)
     out = []
-    for plan, rows in sorted(plans.items()):
-        leaves = []
-        for r in rows:
-            s = have.get(r.source)
-            tokens = int(s.tokens or 0) if s else 0
-            leaves.append(((s.domain or "") if s else "", (s.language or "") if s else "", r.source, float(r.share or 0.0), float(tokens * max(int(r.most or 0), 0))))
+    for plan, wanted in sorted(plans.items()):
+        leaves, known = [], {}
+        for r in wanted:
+            mine = cells.get(r.source, [])
+            whole = sum(int(c.tokens or 0) for c in mine)
+            for c in mine if whole else []:
+                have = int(c.tokens or 0)
+                leaves.append((c.domain or "", c.language or "", r.source, float(r.share or 0.0) * have / whole, float(have * max(int(r.most or 0), 0))))
+                known[c.domain or "", c.language or "", r.source] = have
+            if not whole:
+                leaves.append(("", "", r.source, float(r.share or 0.0), 0.0))
+                known["", "", r.source] = 0
         root = tree(leaves)
-        one = sum(int(have[r.source].tokens or 0) for r in rows if r.source in have)
-        wanted = exact_total(root.leaves()) if total == "exact" else float(one) if total == "available" else float(total)
-        share_out(root, wanted)
-        found = {x.name: x.budget for x in root.leaves()}
-        out += [(plan, r.source, float(r.share or 0.0), found[r.source], int(have[r.source].tokens or 0) if r.source in have else 0) for r in rows]
+        one = float(sum(known.values()))
+        share_out(root, whole_total(root, total, one))
+        shares_of = {r.source: float(r.share or 0.0) for r in wanted}
+        for domain in root.children:
+            for language in domain.children:
+                out += [Budget(plan, x.name, domain.name, language.name, shares_of[x.name], x.budget, known[domain.name, language.name, x.name]) for x in language.children]
     return out
 
 
-def choose(sized: DataFrame, budget_rows: list[tuple[int, str, float, float, int]], seed: int = 13, buckets: int = 1024) -> DataFrame:
-    """(plan_id, source, doc_id, tokens, repeats) of the chosen documents of ``sized(doc_id, source, tokens)``.
+def whole_total(root: Node, total: str | float, one: float) -> float:
+    return exact_total(root.leaves()) if total == "exact" else one if total == "available" else float(total)
+
+
+def cell(domain: str = "domain", language: str = "language") -> list[Column]:
+    """The domain and language of a document as the tree names them: a missing one is ''."""
+    return [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((domain, "domain"), (language, "language"))]
+
+
+def choose(sized: DataFrame, budget_rows: list[Budget], seed: int = 13, bucket_docs: int = 1_000) -> DataFrame:
+    """(plan_id, source, doc_id, tokens, repeats) of the chosen documents of ``sized(doc_id, source, domain, language, tokens)``.
 
-    A document in the epochs' order comes in if at least half of it lies within the budget, so a source ends
-    within half a document of it. The plans and their per-source totals are small tables and are broadcast. Documents without tokens, sources without a budget and null sources are not
-    chosen. Repeated rows count as documents of their own.
+    Every cell gives whole epochs of its documents and a prefix of one more in seeded order; a document comes in if at
+    least half of it lies within the budget, so a cell ends within half a document of it. Where the prefix ends is found from
+    sums of hash buckets of about ``bucket_docs`` documents and the order within the one bucket it ends in; then one pass takes
+    what lies before it. Documents without tokens, cells without a budget and null sources are not chosen. Repeated
+    rows count as documents of their own; those of the last document go together.
     """
     spark = sized.sparkSession
-    plan = spark.createDataFrame([(p, s, float(b // t) if t else 0.0, float(b % t) if t else 0.0) for p, s, _, b, t in budget_rows], "plan_id int, source string, epochs double, rest double")
-    order = F.xxhash64("doc_id", F.lit(seed), F.col("epochs").cast("long"))
-    each = sized.where("tokens > 0").join(F.broadcast(plan), "source").withColumn("at", order).withColumn("bucket", F.floor((F.shiftrightunsigned(F.col("at"), 11) / F.lit(float(1 << 53))) * buckets).cast("int"))
-    sums = each.groupBy("plan_id", "source", "bucket").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy("plan_id", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("plan_id", "source", "bucket", "n", "start")
-    placed = each.join(starts, ["plan_id", "source", "bucket"])
-    inside = placed.where(F.col("start") + F.col("n") <= F.col("rest")).withColumn("extra", F.lit(1))
-    outside = placed.where((F.col("start") > F.col("rest")) & (F.col("epochs") >= 1)).withColumn("extra", F.lit(0))
-    within = Window.partitionBy("plan_id", "source", "bucket").orderBy(F.shiftrightunsigned(F.col("at"), 11), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where((F.col("start") + F.col("n") > F.col("rest")) & (F.col("start") <= F.col("rest")))
-    edge = edge.withColumn("cum", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).withColumn("extra", (F.col("cum") + F.col("tokens") / 2 <= F.col("rest")).cast("int")).drop("cum")
-    chosen = inside.unionByName(outside).unionByName(edge).withColumn("repeats", (F.col("epochs") + F.col("extra")).cast("int"))
-    return chosen.where("repeats > 0").select("plan_id", "source", "doc_id", "tokens", "repeats")
-
-
-def shares(chosen: DataFrame, budget_rows: list[tuple[int, str, float, float, int]]) -> DataFrame:
+    fields = "plan_id int, source string, domain string, language string, epochs double, rest double"
+    plan = spark.createDataFrame([(b.plan_id, b.source, b.domain, b.language, float(b.budget // b.tokens), float(b.budget % b.tokens)) for b in budget_rows if b.tokens], fields)
+    keys = ["source", "domain", "language"]
+    docs = sized.where("tokens > 0").select("doc_id", "source", *cell(), "tokens")
+    buckets = max(1, docs.count() // bucket_docs)
+    at = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.col("epochs").cast("long")), 11)
+    each = docs.join(plan, keys).withColumn("at", at).withColumn("bucket", F.floor(F.col("at") / F.lit(float(1 << 53)) * buckets).cast("int"))
+    sums = each.groupBy("plan_id", *keys, "bucket").agg(F.sum("tokens").alias("n"), F.max("rest").alias("rest"))
+    before = Window.partitionBy("plan_id", *keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # The bucket the prefix ends in, if it ends before the last one does.
+    edges = starts.where("start <= rest AND start + n > rest").select("plan_id", *keys, "bucket", "start")
+    within = Window.partitionBy("plan_id", *keys).orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = each.join(edges, ["plan_id", *keys, "bucket"]).withColumn("cum", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    last = inside.where(F.col("cum") + F.col("tokens") / 2 <= F.col("rest")).groupBy("plan_id", *keys).agg(F.max(F.struct("at", "doc_id")).alias("last"))
+    ends = edges.join(last, ["plan_id", *keys], "left").select("plan_id", *keys, F.col("bucket").alias("edge"), "last")
+    placed = each.join(ends, ["plan_id", *keys], "left")
+    early = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(F.struct("at", "doc_id") <= F.col("last"), F.lit(False)))
+    repeats = (F.col("epochs") + F.when((F.col("rest") > 0) & early, 1).otherwise(0)).cast("int")
+    return placed.withColumn("repeats", repeats).where("repeats > 0").select("plan_id", "source", "doc_id", "tokens", "repeats")
+
+
+def shares(chosen: DataFrame, budget_rows: list[Budget]) -> DataFrame:
     """(plan_id, source, target_share, actual_share, tokens, n_docs, max_repeats_used) of every source of every plan."""
     spark = chosen.sparkSession
-    targets = spark.createDataFrame([(p, s, w) for p, s, w, _, _ in budget_rows], "plan_id int, source string, target_share double")
+    targets = spark.createDataFrame(sorted({(b.plan_id, b.source, b.share) for b in budget_rows}), "plan_id int, source string, target_share double")
     each = chosen.groupBy("plan_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("max_repeats_used"))
     full = targets.join(each, ["plan_id", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     plan = Window.partitionBy("plan_id")
@@ -143,7 +193,5 @@ def shares(chosen: DataFrame, budget_rows: list[tuple[int, str, float, float, in
 
 
 def source_supply(sized: DataFrame) -> DataFrame:
-    """(source, domain, language, tokens) of ``sized(source, domain, language, tokens)``: a source's domain and
-    language are those of most of its tokens, ties by name."""
-    parts = sized.where("source is not null").groupBy("source", "domain", "language").agg(F.sum("tokens").alias("n"))
-    return parts.groupBy("source").agg(F.max_by("domain", F.struct("n", "domain")).alias("domain"), F.max_by("language", F.struct("n", "language")).alias("language"), F.sum("n").alias("tokens"))
+    """(source, domain, language, tokens) of ``sized(source, domain, language, tokens)``: a row per cell."""
+    return sized.where("source is not null").select("source", *cell(), "tokens").groupBy("source", "domain", "language").agg(F.sum("tokens").alias("tokens"))

@@ -98,19 +98,27 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
+#: Most pack sizes of one call.
+MOST_PACKS = 1_000
+
+
 def pack(sized: DataFrame, packs: DataFrame, shard_docs: int = 20_000) -> DataFrame:
     """Containers of every pack size for ``sized(doc_id bigint, tokens int)``.
 
     One row per document part: (pack_id, container_id, doc_id, part_no, tokens, used_tokens, unused_tokens).
     A document within the capacity has the single part 0; a larger one has parts of the full capacity and a
     rest. Documents without tokens (null and empty texts) take no space: container_id null, tokens 0. Repeated
-    rows are packed as often as they occur; capacities below 1 or null are left out. The pack sizes are a small
-    table and are broadcast.
+    rows are packed as often as they occur; capacities below 1 or null are left out. The pack sizes are few (at most
+    ``MOST_PACKS``) and each document is told all of them, so nothing is joined.
     """
     shards = max(1, math.ceil(sized.count() / shard_docs))
     keyed = sized.select("doc_id", F.col("tokens").cast("int").alias("tokens")).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int"))
-    wanted = packs.where("capacity_tokens >= 1").select("pack_id", "capacity_tokens")
-    each = keyed.join(F.broadcast(wanted))
+    wanted = packs.where("capacity_tokens >= 1").select("pack_id", "capacity_tokens").distinct().limit(MOST_PACKS + 1).collect()
+    if len(wanted) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} pack sizes")
+    kinds = "array<struct<pack_id:int,capacity_tokens:int>>"
+    sizes = F.array(*[F.struct(F.lit(r.pack_id).alias("pack_id"), F.lit(r.capacity_tokens).alias("capacity_tokens")) for r in wanted]).cast(kinds)
+    each = keyed.select("*", F.inline(sizes))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pack_id, shard, capacity = key

@@ -35,11 +35,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = categories.select(F.lit("category").alias("fld"), F.col("slug").alias("value")).unionByName(locations.select(F.lit("location").alias("fld"), F.col("name_en").alias("value"))).distinct()
     both = F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).alias("value")) for f in ("category", "location")])
     typed = table(spark, sf_dir, "candidates").select(F.col("id").alias("cand_id"), F.inline(both)).where("value <> ''")
-    odd = typed.join(F.broadcast(exact), ["fld", "value"], "left_anti").select("cand_id", "fld", "value")
-    done = canonical.match_values(arrow_rows(odd), forms)
+    odd = typed.join(exact, ["fld", "value"], "left_anti").select("cand_id", "fld", "value")
+    done = canonical.match_values(arrow_rows(odd, table(spark, sf_dir, "candidates")), forms)
     return done.select("cand_id", "fld", F.coalesce("canonical", F.lit(canonical.UNMATCHED)).alias("canonical")).distinct()
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct typed value with all entries within its distance, nearest first."""
+    forms = canonical.category_forms(table(spark, sf_dir, "ref_categories")).unionByName(canonical.location_forms(table(spark, sf_dir, "ref_locations")))
+    both = F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).alias("value")) for f in ("category", "location")])
+    typed = table(spark, sf_dir, "candidates").select(F.inline(both)).where("value <> ''").distinct()
+    return canonical.all_matches(typed, forms)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and page texts that are not in the plain form."""
     titles = table(spark, sf_dir, "candidates").select(F.lit("candidates").alias("tbl"), F.col("id").alias("rec_id"), F.col("title").alias("text"))
@@ -80,7 +88,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     docs = _sized(spark, sf_dir, ["doc_id", "source", "doc_kind", "lang"])
     kinds = docs.select("doc_id", "source", F.col("doc_kind").alias("domain"), F.col("lang").alias("language"), "tokens")
     rows = mixing.budgets(mixing.source_supply(kinds), table(spark, sf_dir, "mix_targets"), "available")
-    return mixing.choose(kinds.select("doc_id", "source", "tokens"), rows), rows
+    return mixing.choose(kinds, rows), rows
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +176,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_texts": p3_texts,
     "p5_found": p5_found,
+    "p5_matches": p5_matches,
     "p7_found": p7_found,
     "p7_forms": p7_forms,
     "p8_containers": p8_containers,

@@ -63,3 +63,19 @@ def test_memo_is_bounded():
     for k in "abcdab":
         memo.of(k, str.upper)
     assert len(memo) == 3 and memo.of("b", lambda k: "no") == "B"
+
+
+def test_all_entries_within_the_distance(spark):
+    """Every entry within the length-dependent distance is given, as brute force finds it, the chosen one first."""
+    names = ["Miluela", "Milueli", "Milaela", "Goyorata", "Goyoratha", "Hayewaawila"]
+    forms = spark.createDataFrame([("location", f"l{i}", n, "") for i, n in enumerate(names)], "fld string, entry string, form string, context string")
+    values = [("location", v) for v in ("Miluela", "miluel", "Goyorat", "zzzzzz", "", None)]
+    rows = c.all_matches(spark.createDataFrame(values, "fld string, value string"), forms).collect()
+    trie = c.Trie([(f"l{i}", n, "") for i, n in enumerate(names)])
+    for _, value in values[:3]:
+        got = [(r.distance, r.canonical) for r in sorted(rows, key=lambda r: r.place) if r.value == value]
+        query = c.readings(value)[0][0]
+        near = {e: d for e, d in trie.within(query, c.allowed_distance(len(query))).items()}
+        assert {e for _, e in got} == set(near) and got[0] == trie.nearest(value)[::-1] and len(got) > 1
+    assert [(r.place, r.canonical, r.distance) for r in rows if r.value == "zzzzzz"] == [(1, "unmatched", None)]
+    assert not [r for r in rows if not r.value]

@@ -11,7 +11,7 @@ def test_prefix_of_the_whole_order(spark, seed):
     """The chosen documents are the seeded order's prefix, whatever their sizes; only the one at the end is decided by half."""
     rnd = random.Random(8)
     rows = [(i, "s", 400 if i % 20 == 0 else rnd.randint(1, 5)) for i in range(300)]
-    sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokens int")
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokens int").withColumn("domain", F.lit("d")).withColumn("language", F.lit("en"))
     whole = sum(t for *_, t in rows)
     for budget in (whole * 0.1, whole * 1.1):
         epochs, rest = divmod(budget, whole)
@@ -21,5 +21,6 @@ def test_prefix_of_the_whole_order(spark, seed):
             if n := int(epochs) + (cum + size[r.doc_id] / 2 <= rest):
                 want[r.doc_id] = n
             cum += size[r.doc_id]
-        chosen = mixing.choose(sized, [(1, "s", 1.0, budget, whole)], seed=seed).collect()
-        assert {r.doc_id: r.repeats for r in chosen} == want and len(chosen) == len(want)
+        for bucket_docs in (1_000, 10):
+            chosen = mixing.choose(sized, [mixing.Budget(1, "s", "d", "en", 1.0, budget, whole)], seed=seed, bucket_docs=bucket_docs).collect()
+            assert {r.doc_id: r.repeats for r in chosen} == want and len(chosen) == len(want)

@@ -60,17 +60,20 @@ def test_budgets_redistribute_to_siblings_first():
 def test_mix(spark, total):
     rnd = random.Random(2)
     rows = [(i, "big", rnd.randint(1, 40)) for i in range(1500)] + [(2000 + i, "small", rnd.randint(1, 9)) for i in range(60)] + [(9000, "big", 0), (9001, None, 5), (9002, "other", 5)]
-    sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokens int")
+    rows = [(i, s, "news" if i % 3 else None, "en" if i % 2 else "si", t) for i, s, t in rows]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, domain string, language string, tokens int")
     targets = spark.createDataFrame([(1, "big", 0.6, 2), (1, "small", 0.4, 3), (2, "small", 0.5, 1), (2, "gone", 0.5, 2)], "plan_id int, source string, target_share double, max_repeats int")
-    supply = mixing.source_supply(sized.selectExpr("source", "'d' AS domain", "'en' AS language", "tokens"))
-    plan = mixing.budgets(supply, targets, total)
+    plan = mixing.budgets(mixing.source_supply(sized), targets, total)
+    assert len({(b.domain, b.language) for b in plan if b.source == "big"}) == 4
     chosen = mixing.choose(sized, plan).toPandas()
     assert not chosen.duplicated(["plan_id", "doc_id"]).any() and (chosen.repeats >= 1).all()
     assert (chosen[(chosen.plan_id == 1) & (chosen.source == "small")].repeats <= 3).all() and (chosen[chosen.source == "big"].repeats <= 2).all()
-    want = {(p, s): b for p, s, _, b, _ in plan}
-    used = (chosen.tokens * chosen.repeats).groupby([chosen.plan_id, chosen.source]).sum()
-    for key, budget in want.items():
-        assert abs(used.get(key, 0) - budget) <= 40, key
+    cells = {i: (s, d or "", k or "") for i, s, d, k, _ in rows}
+    used: dict = {}
+    for p, doc, n, k in zip(chosen.plan_id, chosen.doc_id, chosen.tokens, chosen.repeats):
+        used[p, *cells[doc]] = used.get((p, *cells[doc]), 0) + n * k
+    for b in plan:
+        assert abs(used.get((b.plan_id, b.source, b.domain, b.language), 0) - b.budget) <= 20, b
     report = {(r.plan_id, r.source): r for r in mixing.shares(mixing.choose(sized, plan), plan).collect()}
     if total == "exact":
         assert abs(report[1, "big"].actual_share - 0.6) < 0.02
