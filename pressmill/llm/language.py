@@ -1,8 +1,9 @@
 """Language of documents and of segments, by mixture inference over n-gram likelihoods.
 
-A text is a sequence of sentences. Each sentence has a likelihood under every language: sentences in a native
-script by their letters, sentences in Latin letters by the character trigrams of their words, so English and
-Sinhala or Tamil typed in Latin letters are told apart. Expectation-maximisation estimates the proportions of
+A text is a sequence of sentences. Each sentence has a likelihood under every language by the character trigrams of its
+words, whatever their script, so English and Sinhala or Tamil typed in Latin letters are told apart, and an English
+sentence stays English around a town's name in Sinhala letters. A word in another script may be a name, so it
+speaks against a language with a bounded weight. Expectation-maximisation estimates the proportions of
 the languages of a text, and the set of languages is the one with the best penalised likelihood; two or more
 make the text 'mixed'. Brand, place and mail names, codes and spelled-out numbers carry no language.
 
@@ -23,15 +24,15 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("si", "en", "ta")
 MIXED = "mixed"
-#: Log-likelihood lost by a letter of the wrong script.
-WRONG_LETTER = -3.0
+#: What a word in native letters can cost a language at most (nats a letter): it may be a name in any of them.
+BORROWED = 3.0
 #: Likelihood a further language must gain (nats), as the penalty of the language set.
 PENALTY = 6.0
 
 # Abbreviations whose dot ends no sentence.
 _SENTENCE = re.compile(r"(?<=[.!?])(?<!\bNo\.)(?<!\bno\.)(?<!\bMr\.)(?<!\bMrs\.)(?<!\bDr\.)(?<!\bSt\.)(?<!\bRd\.)(?<!\b[A-Z]\.)(?<!இல\.)\s+|\n+")
 _SI, _TA, _LATIN = re.compile("[අ-ෆ]"), re.compile("[அ-ஹ]"), re.compile("[A-Za-z]")
-_LATIN_WORD = re.compile(r"[A-Za-z]{2}")
+_NATIVE_WORD = re.compile("[\u0d80-\u0dff\u200d]+|[\u0b80-\u0bff]+")
 # Digits spelled out, as in telephone numbers.
 _DIGIT_WORD = "zero|one|two|three|four|five|six|seven|eight|nine"
 _NEUTRAL = re.compile(
@@ -87,44 +88,72 @@ def trigrams(word: str) -> Iterable[str]:
 
 
 class Model:
-    """Character-trigram models of the languages in Latin letters; additive smoothing."""
+    """Character-trigram models of the languages, given the script of a word (Latin or native); additive smoothing."""
 
     def __init__(self, counts: dict[str, Counter], common: set[str], alpha: float = 0.1, space: int = 18_000):
         self.common = common
         self.logs: dict[str, tuple[float, ...]] = {}
-        totals = [sum(counts[k].values()) + alpha * space for k in LANGUAGES]
-        self.unseen = tuple(math.log(alpha / t) for t in totals)
-        for gram in set().union(*counts.values()):
-            self.logs[gram] = tuple(math.log((counts[k][gram] + alpha) / t) for k, t in zip(LANGUAGES, totals))
+        grams = set().union(*counts.values())
+        native = {g for g in grams if _NATIVE_WORD.search(g)}
+        totals = [[sum(n for g, n in counts[k].items() if (g in native) == own) + alpha * space for k in LANGUAGES] for own in (False, True)]
+        # A language that has no words in a script must not gain by its unseen trigrams being cheaper.
+        totals[True] = [max(totals[True])] * len(LANGUAGES)
+        self.unseen = tuple(tuple(math.log(alpha / t) for t in each) for each in totals)
+        for gram in grams:
+            self.logs[gram] = tuple(math.log((counts[k][gram] + alpha) / t) for k, t in zip(LANGUAGES, totals[gram in native]))
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, tuple[float, ...]] = {}
+        self.names: dict[str, tuple[float, float, float, int]] = {}
 
     def word(self, word: str) -> tuple[float, ...]:
         """Log-likelihood of a word in each language; the memo is bounded by starting over."""
         known = self.memo.get(word)
         if known is None:
+            unseen = self.unseen[bool(_NATIVE_WORD.match(word))]
             a = b = c = 0.0
             for g in trigrams(word):
-                x, y, z = self.logs.get(g, self.unseen)
+                x, y, z = self.logs.get(g, unseen)
                 a, b, c = a + x, b + y, c + z
             if len(self.memo) > 300_000:
                 self.memo.clear()
             known = self.memo[word] = (a, b, c)
         return known
 
+    def native(self, word: str) -> tuple[float, float, float, int]:
+        """Log-likelihoods of a word in native letters relative to its best language, each down to its bound, and its letters."""
+        known = self.names.get(word)
+        if known is None:
+            n_si, n_ta = len(_SI.findall(word)), len(_TA.findall(word))
+            letters = n_si + n_ta
+            # A word none of whose trigrams was ever seen is told by its script alone.
+            each = self.word(word) if any(g in self.logs for g in trigrams(word)) else (-BORROWED * n_ta, -BORROWED * letters, -BORROWED * n_si)
+            best = max(each)
+            if len(self.names) > 300_000:
+                self.names.clear()
+            known = self.names[word] = (*[max(x - best, -BORROWED * letters) for x in each], letters)
+        return known
+
     def sentence(self, sentence: str) -> tuple[tuple[float, ...], int] | None:
         """(log-likelihoods, letters) of a sentence, or None if it carries no language."""
-        n_si, n_ta = len(_SI.findall(sentence)), len(_TA.findall(sentence))
-        if n_si + n_ta >= 2:
-            return (WRONG_LETTER * n_ta, WRONG_LETTER * (n_si + n_ta), WRONG_LETTER * n_si), n_si + n_ta
+        a = b = c = 0.0
+        total = 0
+        if not sentence.isascii():
+            for w in _NATIVE_WORD.findall(sentence):
+                x, y, z, n = self.native(w)
+                a, b, c, total = a + x, b + y, c + z, total + n
+            if total < 2:
+                a = b = c = 0.0
+                total = 0
         words = latin_words(sentence, self.common)
         letters = sum(map(len, words))
-        if len(words) < 2 or letters < 6:
-            return None
-        a = b = c = 0.0
-        for w in words:
-            x, y, z = self.word(w)
-            a, b, c = a + x, b + y, c + z
-        return (a, b, c), letters
+        if len(words) >= 2 and letters >= 6:
+            for w in words:
+                x, y, z = self.word(w)
+                a, b, c = a + x, b + y, c + z
+            total += letters
+        return ((a, b, c), total) if total else None
 
 
 def fit(rows: Iterable[tuple[str, str]], rounds: int = 6, trust: float = 0.8) -> Model:
@@ -136,11 +165,25 @@ def fit(rows: Iterable[tuple[str, str]], rounds: int = 6, trust: float = 0.8) ->
     rows = [(label, text) for label, text in rows if label in LANGUAGES and text]
     common = common_words(text for _, text in rows)
     texts: Counter = Counter()
+    spoken: dict[str, Counter] = {"si": Counter(), "ta": Counter()}
     for label, text in rows:
-        if _LATIN.search(text):
-            latin = [w for s in sentences(text) if not (_SI.search(s) or _TA.search(s)) and len(w := latin_words(s, common)) >= 2]
-            if latin:
-                texts[label, tuple(" ".join(w) for w in latin)] += 1
+        if not text.isascii():
+            for script, words in spoken.items():
+                words.update((label, w) for w in _NATIVE_WORD.findall(text) if ("\u0d80" <= w[-1] or w[0] >= "\u0d80") == (script == "si"))
+        latin = [w for s in sentences(text) if not (_SI.search(s) or _TA.search(s)) and len(w := latin_words(s, common)) >= 2]
+        if latin:
+            texts[label, tuple(" ".join(w) for w in latin)] += 1
+    # The words of a native script teach the language most of whose labelled texts are written in it; labels are too
+    # often wrong to let them teach the others.
+    native: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
+    for words in spoken.values():
+        if words:
+            home = Counter()
+            for (label, _), n in words.items():
+                home[label] += n
+            for (_, w), n in words.items():
+                for g in trigrams(w):
+                    native[max(sorted(home), key=home.__getitem__)][g] += n
     model, three = None, range(3)
     for turn in range(rounds):
         words: dict[str, list[float]] = {}
@@ -156,7 +199,7 @@ def fit(rows: Iterable[tuple[str, str]], rounds: int = 6, trust: float = 0.8) ->
                     at = words.setdefault(w, [0.0, 0.0, 0.0])
                     for i in three:
                         at[i] += n * odds[i] / sum(odds)
-        counts = {k: Counter() for k in LANGUAGES}
+        counts = {k: Counter(native[k]) for k in LANGUAGES}
         for w, weights in words.items():
             for g in trigrams(w):
                 for k, x in zip(LANGUAGES, weights):
@@ -219,13 +262,49 @@ def infer(model: Model, text: str | None) -> tuple[str | None, float, str | None
     return label, confidence, LANGUAGES[letters.most_common(1)[0][0]], {LANGUAGES[k]: round(v, 4) for k, v in pi.items()}
 
 
+def segments(model: Model, text: str | None, shares: dict[str, float]) -> list[tuple[int, int, str, float]]:
+    """[(start, end, language, confidence)] of the runs of sentences in one language of a mixed text.
+
+    A sentence goes to the language with the greatest posterior under the text's proportions; one that carries no language
+    goes with the sentence before it. The confidence of a run is the mean of its sentences'. The runs cover the text.
+    """
+    if not text or not shares:
+        return []
+    bounds, at = [], 0
+    for m in _SENTENCE.finditer(text):
+        if m.start() > at:
+            bounds.append((at, m.end()))
+            at = m.end()
+    if at < len(text):
+        bounds.append((at, len(text)))
+    langs = [i for i, k in enumerate(LANGUAGES) if shares.get(k)]
+    out: list[list] = []
+    for start, end in bounds:
+        scored = model.sentence(text[start:end].rstrip())
+        if scored:
+            logs = {i: scored[0][i] + math.log(shares[LANGUAGES[i]]) for i in langs}
+            best = max(logs, key=logs.__getitem__)
+            sure = 1.0 / sum(math.exp(max(x - logs[best], -60.0)) for x in logs.values())
+            if not out or out[-1][2] not in (None, LANGUAGES[best]):
+                out.append([start, end, LANGUAGES[best], [sure]])
+                continue
+            out[-1][2] = LANGUAGES[best]
+            out[-1][3].append(sure)
+        elif not out:
+            out.append([start, end, None, []])
+        out[-1][1] = end
+    if out:
+        out[0][0] = 0
+    return [(a, b, lang or max(shares, key=shares.__getitem__), sum(c) / len(c) if c else 0.0) for a, b, lang, c in out]
+
+
 def fit_on(labelled: DataFrame, max_rows: int = 2_000) -> Model:
     """Fits on at most ``max_rows`` rows of each label of ``labelled(label, text)``, drawn by the hash of the text.
 
     Rows whose hash is below the share that ``max_rows`` is of the label's rows are drawn, so the draw is the
     same on every cluster and the driver receives about three times ``max_rows`` short rows at any size.
     """
-    latin = labelled.where(F.col("label").isin(*LANGUAGES) & F.col("text").rlike("[A-Za-z]{2}") & (F.length("text") < 20_000))
+    latin = labelled.where(F.col("label").isin(*LANGUAGES) & F.col("text").rlike("[A-Za-z]{2}"))
     counts = {r.label: r.n for r in latin.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     below = F.lit(False)
     for label, n in counts.items():
@@ -237,25 +316,31 @@ def fit_on(labelled: DataFrame, max_rows: int = 2_000) -> Model:
     return fit(kept)
 
 
-def classify(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def classify(texts: DataFrame, model: Model, keep: list[str], parts: bool = False) -> DataFrame:
     """(keep.., lang, confidence, dominant, share) for every row of ``texts(keep.., text)``.
 
+    With ``parts`` also the segments of mixed texts, array<struct<seg_start, seg_end, lang, confidence>> (null for others).
     ``share`` maps languages to proportions. Null, empty and letterless texts get a null language and confidence 0.
     Rows stay as many as they were.
     """
     shipped = texts.sparkSession.sparkContext.broadcast((model.logs, model.unseen, model.common))
     fields = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keep) + ", lang string, confidence double, dominant string, share map<string,double>"
+    if parts:
+        schema += ", parts array<struct<seg_start:int,seg_end:int,lang:string,confidence:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = Model.__new__(Model)
         local.logs, local.unseen, local.common = shipped.value
-        local.memo = {}
+        local.forget()
         for batch in batches:
             got = [infer(local, t if isinstance(t, str) else None) for t in batch["text"]]
             out = batch[keep].copy()
             for i, name in enumerate(("lang", "confidence", "dominant", "share")):
                 out[name] = pd.Series([g[i] for g in got], index=out.index, dtype="float64" if name == "confidence" else "object")
+            if parts:
+                cut = [segments(local, t, g[3]) if g[0] == MIXED else None for t, g in zip(batch["text"], got)]
+                out["parts"] = pd.Series([None if c is None else [dict(zip(("seg_start", "seg_end", "lang", "confidence"), x)) for x in c] for c in cut], index=out.index, dtype="object")
             yield out
 
     return texts.select(*keep, "text").mapInPandas(run, schema)

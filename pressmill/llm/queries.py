@@ -141,9 +141,9 @@ def _judged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_id, seg_no, text) of the page blocks with at least 12 letters."""
+    """(rec_id, seg_no, text) of the page blocks."""
     blocks = table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("rec_id"), F.explode("blocks").alias("b"))
-    return blocks.select("rec_id", F.col("b.id").cast("int").alias("seg_no"), F.col("b.text").alias("text")).where(language.letters(F.col("text")) >= 12)
+    return blocks.select("rec_id", F.col("b.id").cast("int").alias("seg_no"), F.col("b.text").alias("text"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _language_model(spark, sf_dir)
     judged = language.classify(arrow_rows(_judged_texts(spark, sf_dir)), model, ["tbl", "rec_id", "label"])
     wrong = judged.where(F.col("lang").isNotNull() & ~F.col("label").eqNullSafe(F.col("lang"))).select("tbl", "rec_id", F.lit(0).alias("seg_no"), "lang")
-    blocks = language.classify(arrow_rows(_page_blocks(spark, sf_dir)), model, ["rec_id", "seg_no"]).where("dominant is not null").select("rec_id", "seg_no", F.col("dominant").alias("lang"))
+    lettered = _page_blocks(spark, sf_dir).where(language.letters(F.col("text")) >= 12)
+    blocks = language.classify(arrow_rows(lettered), model, ["rec_id", "seg_no"]).where("dominant is not null").select("rec_id", "seg_no", F.col("dominant").alias("lang"))
     # Copies of a page collapse first; the languages of a page are aggregated map-side and joined back, so a page
     # delivered any number of times is never sorted in one task.
     judged_blocks = durable(blocks.distinct())
@@ -161,11 +162,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language, confidence and proportions of every candidate, document and page block."""
+    """Language, confidence and proportions of every candidate, document and page block (part 0), and of every segment of
+    those that mix languages (parts from 1, with where they begin and end)."""
     model = _language_model(spark, sf_dir)
     records = _judged_texts(spark, sf_dir).select("tbl", "rec_id", F.lit(0).alias("seg_no"), "text")
     blocks = _page_blocks(spark, sf_dir).select(F.lit("ocr_pages").alias("tbl"), "rec_id", "seg_no", "text")
-    return language.classify(arrow_rows(records.unionByName(blocks)), model, ["tbl", "rec_id", "seg_no"])
+    judged = language.classify(arrow_rows(records.unionByName(blocks)), model, ["tbl", "rec_id", "seg_no"], parts=True)
+    whole = F.struct(F.lit(0).alias("part"), F.lit(None).cast("int").alias("seg_start"), F.lit(None).cast("int").alias("seg_end"), "lang", "confidence")
+    cut = F.transform(F.coalesce("parts", F.array().cast("array<struct<seg_start:int,seg_end:int,lang:string,confidence:double>>")), lambda p, i: F.struct((i + 1).alias("part"), p["seg_start"].alias("seg_start"), p["seg_end"].alias("seg_end"), p["lang"].alias("lang"), p["confidence"].alias("confidence")))
+    rows = judged.select("tbl", "rec_id", "seg_no", "dominant", "share", F.inline(F.concat(F.array(whole), cut)))
+    return rows.select("tbl", "rec_id", "seg_no", "part", "seg_start", "seg_end", "lang", "confidence", F.when(F.col("part") == 0, F.col("dominant")).alias("dominant"), F.when(F.col("part") == 0, F.col("share")).alias("share"))
 
 
 QUERIES = {

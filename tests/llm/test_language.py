@@ -66,3 +66,36 @@ def test_fit_on_frame(spark):
     assert lang.infer(model, SI[0] + ". " + SI[1])[0] == "si" and lang.infer(model, EN[0] + ". " + EN[1])[0] == "en"
     empty = lang.fit_on(df.limit(0))
     assert lang.infer(empty, NATIVE["ta"])[0] == "ta"
+
+
+def _fitted():
+    import random
+
+    from pressmill.llm import language
+
+    rnd = random.Random(1)
+    en = "the council has promised a written reply about new bus timetable and the price of rice in town this week".split()
+    si = "නිවසක් විකිණීමට ඇත ඉඩමක් මිල ගණන් සාකච්ඡා කළ හැකිය වාහනය".split()
+    ta = "வீடு விற்பனைக்கு உள்ளது காணி விலை பேசித் தீர்மானிக்கலாம் வாகனம்".split()
+    rows = [(k, " ".join(rnd.choices(w, k=8)) + ".") for k, w in (("en", en), ("si", si), ("ta", ta)) for _ in range(60)]
+    return language, language.fit([*rows, *[("en", t) for k, t in rows if k == "si"][:12]])
+
+
+def test_native_names_in_latin_sentences():
+    """A town in another script does not turn a sentence; a native sentence stays itself around brand names."""
+    language, model = _fitted()
+    assert language.infer(model, "the council has promised a new bus timetable for people in මිලුඇල this week.")[0] == "en"
+    assert language.infer(model, "the council has promised a new bus timetable in மிலுஎல.")[0] == "en"
+    assert language.infer(model, "Pasqo වාහනය විකිණීමට ඇත.")[0] == "si" and language.infer(model, "Pasqo வாகனம் விற்பனைக்கு உள்ளது.")[0] == "ta"
+
+
+def test_segments_of_mixed_texts(spark):
+    language, model = _fitted()
+    text = "the council has promised a written reply. 12. නිවසක් විකිණීමට ඇත ඉඩමක්. මිල ගණන් සාකච්ඡා කළ හැකිය.\nவீடு விற்பனைக்கு உள்ளது காணி விலை."
+    label, _, _, shares = language.infer(model, text)
+    parts = language.segments(model, text, shares)
+    assert label == "mixed" and [p[2] for p in parts] == ["en", "si", "ta"] and all(p[3] > 0.9 for p in parts)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    df = spark.createDataFrame([("a", text), ("b", "the council has promised a reply."), ("c", None), ("d", "")], "id string, text string")
+    got = {r.id: r.parts for r in language.classify(df, model, ["id"], parts=True).collect()}
+    assert [p.lang for p in got["a"]] == ["en", "si", "ta"] and got["b"] is None and got["c"] is None and got["d"] is None
