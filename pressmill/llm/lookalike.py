@@ -97,7 +97,8 @@ def _pattern(escape: str) -> str:
     """Unstable characters, joiners outside Sinhala clusters, marks that may compose, imitating sequences."""
     common = [chr(c) for low, high in ((0x0D80, 0x0E00), (0x0B80, 0x0C00)) for c in range(low, high) if unicodedata.category(chr(c)) != "Cn" and single(chr(c)) != chr(c)]
     stray = f"(?<!{VIRAMA}){JOINER}(?!{VIRAMA})|{JOINER}(?![඀-෿])"
-    return f"(?![{COMMON}])(?:[{_class(escape)}]|{stray}|[\u0300-\u036f])|" + "|".join([*_pairs(escape), *SEQUENCES, *common])
+    rare = "|".join([f"[{_class(escape)}]", stray, "[\u0300-\u036f]", *_pairs(escape, False)])
+    return f"(?![{COMMON}])(?:{rare})|" + "|".join([*_pairs(escape, True), *SEQUENCES, *common])
 
 
 def _ranges(codes: list[int], escape: str) -> str:
@@ -129,16 +130,23 @@ def _composing() -> tuple[dict[int, list[int]], list[int]]:
     return firsts, marks
 
 
-def _pairs(escape: str) -> list[str]:
+def _is_common(code: int) -> bool:
+    return 0x20 <= code < 0x7F or 0xD80 <= code <= 0xDFF or 0xB80 <= code <= 0xBFF
+
+
+def _pairs(escape: str, common: bool) -> list[str]:
     """Pairs that may compose (beside the marks of Latin, Greek and Cyrillic letters, all of which are looked at), conjoining
-    Hangul letters, and two marks in a row."""
+    Hangul letters, and two marks in a row; those that begin with a common character, or the others."""
     firsts, marks = _composing()
     grouped: dict[tuple[int, ...], list[int]] = {}
     for second, before in firsts.items():
-        grouped.setdefault(tuple(sorted(before)), []).append(second)
-    every = _ranges(marks, escape)
+        if own := tuple(sorted(b for b in before if _is_common(b) == common)):
+            grouped.setdefault(own, []).append(second)
+    every = _ranges([m for m in marks if _is_common(m) == common], escape) + _ranges(marks, escape)
+    if common:
+        return [*[_ranges(list(a), escape) + _ranges(b, escape) for a, b in grouped.items()], every]
     hangul = [_ranges([0x1100, *range(0x1101, 0x1113)], escape) + _ranges(list(range(0x1161, 0x1176)), escape), _ranges(list(range(0xAC00, 0xD7A4)), escape) + _ranges(list(range(0x11A8, 0x11C3)), escape)]
-    return [*[_ranges(list(a), escape) + _ranges(b, escape) for a, b in grouped.items()], *hangul, every + every]
+    return [*[_ranges(list(a), escape) + _ranges(b, escape) for a, b in grouped.items()], *hangul, every]
 
 
 @lru_cache(1)
