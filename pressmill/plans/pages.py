@@ -65,11 +65,15 @@ def padded(spark, sf_dir):
     return blocks(spark, sf_dir).where("box is not null").select("page_id", "id", F.array_join(g.padded(F.col("box"), F.col("page_width"), F.col("page_height"), 8).cast("array<string>"), ",").alias("box"))
 
 
-@R.add("g9_polygons", f"WITH {BLOCKS} SELECT page_id, id, array_to_string(box, ',') AS box FROM b WHERE box IS NOT NULL")
+@R.add("g9_polygons", f"WITH {BLOCKS} SELECT page_id, id, CASE WHEN confidence IS NOT NULL AND line_count > 1 THEN array_to_string([box[1] - 3, box[2], box[3] + 8, box[4] + 2], ',') END AS box FROM b WHERE box IS NOT NULL")
 def polygons(spark, sf_dir):
-    """G-9: boxes written as corner polygons and read back."""
+    """G-9: the bounding box of tilted corner polygons; a polygon without an area (here: of blocks of one line or without a
+    confidence, whose corners are put on one line) has none."""
     box = F.col("box")
-    corners = F.array(F.array(g.side(box, 0), g.side(box, 1)), F.array(g.right(box), g.side(box, 1)), F.array(g.right(box), g.bottom(box)), F.array(g.side(box, 0), g.bottom(box)))
+    flat = F.col("confidence").isNull() | (F.col("line_count") <= 1)
+    below = F.when(flat, g.side(box, 1)).otherwise(g.bottom(box))
+    tilt = F.when(flat, 0).otherwise(2)
+    corners = F.array(F.array(g.side(box, 0), g.side(box, 1)), F.array(g.right(box) + 5, g.side(box, 1) + tilt), F.array(g.right(box), below + tilt), F.array(g.side(box, 0) - 3, below))
     return blocks(spark, sf_dir).where("box is not null").select("page_id", "id", F.array_join(g.polygon_box(corners).cast("array<string>"), ",").alias("box"))
 
 
@@ -176,11 +180,13 @@ def candidates(spark, sf_dir):
     return validation.semantic_candidates(durable(answers(spark, sf_dir)), book).drop("language", "price")
 
 
-@R.add("j8_evidence", f"WITH {BLOCKS}, k AS (SELECT page_id, list(id ORDER BY id) AS ids FROM b GROUP BY page_id) SELECT page_id, array_to_string(list_filter([1, 3, 99], lambda x: list_contains(ids, x)), ',') AS kept FROM k")
+@R.add("j8_evidence", f"WITH {BLOCKS}, k AS (SELECT page_id, list(id ORDER BY id) AS ids, list(line_count ORDER BY id) AS cited FROM b GROUP BY page_id) SELECT page_id, array_to_string(list_filter(cited, lambda x, i: list_contains(ids, x) AND list_position(cited, x) = i), ',') AS kept, len(list_filter(cited, lambda x: NOT coalesce(list_contains(ids, x), false))) > 0 AS unknown FROM k")
 def evidence(spark, sf_dir):
-    """Cited blocks that exist, in citation order."""
-    cited = F.array(F.lit(1), F.lit(3), F.lit(99), F.lit(3))
-    return table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("page_id"), F.array_join(validation.evidence(cited, F.transform("blocks", lambda b: b["id"])).cast("array<string>"), ",").alias("kept"))
+    """Cited blocks that exist, in citation order (every page cites the line counts of its blocks), and whether one does not."""
+    ordered = F.array_sort(F.transform("blocks", lambda b: F.struct(b["id"].alias("id"), b["line_count"].alias("n"))))
+    rows = table(spark, sf_dir, "ocr_pages").where(F.size("blocks") > 0).select(F.col("id").alias("page_id"), F.transform("blocks", lambda b: b["id"]).alias("known"), F.transform(ordered, lambda x: x["n"]).alias("cited"))
+    kept = validation.evidence(F.col("cited"), F.col("known"))
+    return rows.select("page_id", F.array_join(kept.cast("array<string>"), ",").alias("kept"), (F.size(kept) < F.size(F.array_distinct("cited"))).alias("unknown"))
 
 
 @R.add("r6_block_documents", "SELECT id, len(blocks)::int AS n, list_aggregate(list_transform(blocks, lambda b: length(b.text)), 'sum')::bigint AS n_chars FROM ocr_pages")

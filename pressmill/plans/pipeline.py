@@ -356,3 +356,104 @@ def item_filter(spark, sf_dir):
     rows = review.queue(spark, sf_dir)
     one = review.candidates_now(spark, sf_dir, "candidate_state", "item_id").where("candidate_state = 'linked'").agg(F.min("item_id")).first()[0]
     return review.filtered(rows, item=one if one is not None else "").select("id", "item_id", "status")
+
+
+@R.add("view7_wire_status", f"WITH {review.CANDIDATES} SELECT CASE status WHEN 'pending_review' THEN 'pending' ELSE status END AS stored_status, status AS wire_status, count(*) AS n FROM cands GROUP BY ALL")
+def wire_status(spark, sf_dir):
+    """The outside's status names and the stored ones they stand for."""
+    counted = review.candidates_now(spark, sf_dir, "status").groupBy(F.col("status").alias("wire_status")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.when(F.col("wire_status") == "pending_review", "pending").otherwise(F.col("wire_status")).alias("stored_status"), "wire_status", "n")
+
+
+@R.add(
+    "d1_item_histories",
+    "WITH v AS (SELECT DISTINCT id, ingested_at, load_id, status FROM ingestion_items) SELECT id, string_agg(coalesce(status, ''), '>' ORDER BY ingested_at, load_id, status) AS path, count(*)::int AS n_events FROM v GROUP BY id",
+)
+def item_histories(spark, sf_dir):
+    """The deliveries of every item folded in order."""
+    from pressmill.operators import records
+
+    events = table(spark, sf_dir, "ingestion_items").select("id", "ingested_at", "load_id", "status").distinct()
+    step = lambda state, e: F.concat(state, F.when(state == "", "").otherwise(">"), F.coalesce(e["status"], F.lit("")))
+    return records.fold_events(events, "id", ["ingested_at", "load_id", "status"], F.lit(""), step).select("id", F.col("state").alias("path"), "n_events")
+
+
+@R.add("k5_candidate_sets", f"WITH {review.CANDIDATES} SELECT item_id, generation, sha256(concat_ws('|', item_id, generation::varchar, min(provenance_id))) AS set_key, count(*) AS n FROM cands WHERE item_id IS NOT NULL GROUP BY item_id, generation")
+def candidate_sets(spark, sf_dir):
+    """K5: the idempotency key of the candidates of an item and generation, with the first provenance as their run."""
+    from pressmill.functions import keys
+
+    rows = review.candidates_now(spark, sf_dir, "item_id", "generation", "provenance_id").where("item_id is not null")
+    grouped = rows.groupBy("item_id", "generation").agg(F.min("provenance_id").alias("run"), F.count(F.lit(1)).alias("n"))
+    return grouped.select("item_id", "generation", keys.request_hash(F.col("item_id"), F.col("generation").cast("string"), F.col("run")).alias("set_key"), "n")
+
+
+@R.add(
+    "k4_extraction_requests",
+    "WITH c AS (SELECT sha256(string_agg(slug, ',' ORDER BY slug)) AS v FROM ref_categories) SELECT id, sha256(concat_ws('|', 'rule_based', 'rules', 'extract/v1', '1.0', c.v, text)) AS request_hash FROM ocr_pages, c",
+)
+def extraction_requests(spark, sf_dir):
+    """K4: the hash of an extraction request: provider, model, prompt, schema and catalog versions, and the page."""
+    from pressmill.functions import keys
+
+    catalog = table(spark, sf_dir, "ref_categories").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("slug")), ","), 256).alias("catalog"), F.lit(1).alias("one"))
+    rows = table(spark, sf_dir, "ocr_pages").select("id", "text", F.lit(1).alias("one")).join(catalog, "one")
+    return rows.select("id", keys.request_hash(F.lit("rule_based"), F.lit("rules"), F.lit("extract/v1"), F.lit("1.0"), F.col("catalog"), F.col("text")).alias("request_hash"))
+
+
+@R.add(
+    "f17_block_headers",
+    """SELECT p.id AS page_id, u.b.id AS id, concat('[', u.b.id, ']', CASE WHEN u.b.box IS NOT NULL THEN printf(' (x=%d,y=%d,w=%d,h=%d)', u.b.box[1], u.b.box[2], u.b.box[3], u.b.box[4]) ELSE '' END, CASE WHEN u.b.confidence IS NOT NULL THEN printf(' conf=%.2f', u.b.confidence) ELSE '' END) AS header FROM ocr_pages p, unnest(p.blocks) AS u(b)""",
+)
+def block_headers(spark, sf_dir):
+    """the header line of every block."""
+    rows = blocks(spark, sf_dir).withColumn("shown", tx.two_decimals(F.col("confidence")))
+    return rows.select("page_id", "id", tx.block_header(F.struct("id", "box"), F.col("shown")).alias("header"))
+
+
+@R.add(
+    "x11_wire_answers",
+    """SELECT DISTINCT o.id, w.wire, trim(o.text) AS text, CASE WHEN o.height IS NULL THEN 'truncated' ELSE 'stop' END AS finish, o.processing_ms AS output_tokens
+FROM ocr_outputs o, (VALUES ('chat'), ('generate'), ('messages')) w(wire) WHERE trim(o.text) <> '' AND NOT contains(o.text, '```')""",
+)
+def wire_answers(spark, sf_dir):
+    """Texts sent as fenced answers in three wire formats and read back, with their end and their usage."""
+    cut = F.col("height").isNull()
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
+    rows = table(spark, sf_dir, "ocr_outputs").where("trim(text) <> '' AND NOT contains(text, '```')").select("id", "text", "height", "processing_ms").distinct()
+    bodies = {
+        "messages": F.to_json(F.struct(F.array(F.struct(fenced.alias("text"))).alias("content"), F.when(cut, "max_tokens").otherwise("end_turn").alias("stop_reason"), F.struct(F.col("processing_ms").alias("output_tokens")).alias("usage"))),
+        "generate": F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(fenced.alias("text"))).alias("parts")).alias("content"), F.when(cut, "MAX_TOKENS").otherwise("STOP").alias("finishReason"))).alias("candidates"), F.struct(F.col("processing_ms").alias("candidatesTokenCount")).alias("usageMetadata"))),
+        "chat": F.to_json(F.struct(F.array(F.struct(F.struct(fenced.alias("content")).alias("message"), F.when(cut, "length").otherwise("stop").alias("finish_reason"))).alias("choices"), F.struct(F.col("processing_ms").alias("completion_tokens")).alias("usage"))),
+    }
+    out = None
+    for wire, body in bodies.items():
+        part = rows.select("id", F.lit(wire).alias("wire"), validation.wire_answer(body, wire).alias("a")).select("id", "wire", F.trim("a.text").alias("text"), "a.finish", "a.output_tokens")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@R.add("x6_retry_outcomes", None)
+def retry_outcomes(spark, sf_dir):
+    """What the retry policy makes of the recorded calls of every candidate."""
+    kinds = F.when(F.col("status") == "validated", "ok").when(F.col("status") == "schema_invalid", "invalid").otherwise("retryable")
+    calls = call_attempts(spark, sf_dir).where("candidate_id is not null").select("candidate_id", "attempt", kinds.alias("result"))
+    return validation.retry_outcomes(calls, "candidate_id")
+
+
+@R.add(
+    "n3_document_order",
+    """WITH o AS (SELECT item_id AS doc, id, dense_rank() OVER (PARTITION BY item_id ORDER BY created_at, id) AS page, width, blocks FROM ocr_pages WHERE item_id IS NOT NULL),
+b AS (SELECT doc, page, width, u.b.id AS id, u.b.box AS box FROM o, unnest(o.blocks) AS u(b)),
+s AS (SELECT *, box[1] - lag(box[1]) OVER (PARTITION BY doc, page ORDER BY box IS NULL, box[1], id) AS step FROM b),
+k AS (SELECT *, sum(CASE WHEN box IS NOT NULL AND step > greatest(1, floor(width * 0.15)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY box IS NULL, box[1], id ROWS UNBOUNDED PRECEDING) AS band FROM s)
+SELECT doc, page::int AS page, id, row_number() OVER (PARTITION BY doc ORDER BY page, box IS NULL, band, box[2], box[1], id)::int AS position FROM k""",
+)
+def document_order(spark, sf_dir):
+    """Blocks numbered through all pages of an item, the pages in the order they were captured."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc").orderBy("created_at", "page_id")
+    captured = table(spark, sf_dir, "ocr_pages").where("item_id is not null").select(F.col("item_id").alias("doc"), F.col("id").alias("page_id"), "created_at", "width", "blocks")
+    rows = captured.withColumn("page", F.dense_rank().over(order).cast("int")).select("doc", "page", "width", F.explode("blocks").alias("b")).select("doc", "page", "width", F.col("b.id").alias("id"), F.col("b.box").alias("box"))
+    return pages.reading_order(rows, F.col("width"), ["doc", "page"], "id").select("doc", "page", "id", "position")

@@ -21,9 +21,29 @@ def read_store(spark: SparkSession, path: str, part: str) -> DataFrame:
     return store.select(F.explode(F.map_entries(f"s.{part}")).alias("e")).select(F.col("e.key").alias("store_id"), "e.value.*")
 
 
-def write_store(rows: DataFrame, path: str) -> None:
-    """Rows as JSON lines; the target is replaced as a whole."""
-    rows.write.mode("overwrite").json(path)
+#: Most records of a store: it is one document, which one task writes.
+MOST_STORED = 1_000_000
+
+
+def write_store(parts: dict[str, DataFrame], path: str) -> None:
+    """A JSON store as ``read_store`` reads it: one document of id-to-record maps (``assets``, ``extractions``,
+    ``advertisements``; each frame has ``store_id`` and the record's fields). The target is replaced as a whole; parts
+    that are not given are empty. A store of more than ``MOST_STORED`` records is an error: it is no document any more."""
+    spark = next(iter(parts.values())).sparkSession
+    store = spark.range(1).select(F.lit(0).alias("one"))
+    for name in ("assets", "extractions", "advertisements"):
+        if name not in parts:
+            store = store.withColumn(name, F.lit("{}"))
+            continue
+        rows = parts[name].where("store_id is not null")
+        if rows.limit(MOST_STORED + 1).count() > MOST_STORED:
+            raise ValueError(f"more than {MOST_STORED} {name}")
+        record = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "store_id"]))
+        entry = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("store_id").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(":"), record)
+        whole = rows.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias(name), F.lit(0).alias("one"))
+        store = store.join(whole, "one")
+    document = F.concat(*[x for n, name in enumerate(("assets", "extractions", "advertisements")) for x in (F.lit(f'{"{" if not n else ","}"{name}":'), F.col(name))], F.lit("}"))
+    store.select(document.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def import_rows(store: DataFrame, existing: DataFrame, key: str = "store_id") -> DataFrame:
@@ -76,6 +96,25 @@ def load_prompts(spark: SparkSession, folder: str, manifest: dict[str, str]) ->
     return {name: found[name] for name in manifest}
 
 
+#: An answer that breaks the structure in every way of repair.
+INVALID_ANSWER = '{"schema_version":"1.0","advertisements":[{"unexpected":true}]}'
+
+
+def fake_answers(pages: DataFrame, mode: str, recordings: list[dict] | None = None) -> DataFrame:
+    """pages(page_id, text, known_ids, prompt) answered by the fake engine: by rules, with nothing, never validly, or from
+    recordings. Other modes are an error."""
+    if mode == "rule_based":
+        from pressmill.operators.validation import rule_based_answers
+
+        return rule_based_answers(pages).select("page_id", "answer")
+    if mode == "fixture":
+        return recorded_answers(pages, recordings or [])
+    fixed = {"empty": '{"schema_version":"1.0","advertisements":[]}', "always_invalid": INVALID_ANSWER}
+    if mode not in fixed:
+        raise ValueError(f"{mode!r} is not a mode of the fake engine")
+    return pages.select("page_id", F.lit(fixed[mode]).alias("answer"))
+
+
 def recorded_answers(prompts: DataFrame, recordings: list[dict]) -> DataFrame:
     """prompts(page_id, prompt) answered by recordings [{name, match, response}]: the first by name whose match occurs.
 

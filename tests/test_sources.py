@@ -50,8 +50,30 @@ def test_json_store(spark, tmp_path):
     first = documents.import_rows(ads, spark.createDataFrame([], "store_id string"))
     assert tuple(documents.import_report(first).collect()[0]) == (1, 1, 0)
     assert tuple(documents.import_report(documents.import_rows(ads, first)).collect()[0]) == (1, 0, 1)
-    documents.write_store(ads, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    kept = documents.read_store(spark, str(path), "assets")
+    documents.write_store({"advertisements": ads, "assets": kept}, str(tmp_path / "out"))
+    for part, rows in (("assets", kept), ("advertisements", ads)):
+        back = documents.read_store(spark, str(tmp_path / "out"), part)
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert documents.read_store(spark, str(tmp_path / "out"), "extractions").count() == 0
+    odd = ads.withColumn("title", documents.F.lit('a "quoted" \\ line\nbreak'))
+    documents.write_store({"advertisements": odd}, str(tmp_path / "odd"))
+    assert documents.read_store(spark, str(tmp_path / "odd"), "advertisements").collect()[0].title == 'a "quoted" \\ line\nbreak'
+    documents.write_store({"assets": kept.limit(0)}, str(tmp_path / "none"))
+    assert documents.read_store(spark, str(tmp_path / "none"), "assets").count() == 0
+
+
+def test_fake_modes(spark):
+    import pytest
+
+    from pressmill.operators import validation
+
+    page = spark.createDataFrame([("p", "Land 5 perches", [1], "ask cat")], "page_id string, text string, known_ids array<int>, prompt string")
+    say = lambda mode: documents.fake_answers(page, mode, [{"name": "1", "match": "cat", "response": {"n": 1}}]).collect()[0].answer
+    assert validation.structural_errors(say("rule_based")) == [] and validation.structural_errors(say("empty")) == []
+    assert len(validation.structural_errors(say("always_invalid"))) == 2 and json.loads(say("fixture")) == {"n": 1}
+    with pytest.raises(ValueError):
+        say("other")
 
 
 def test_engine_table(spark):
