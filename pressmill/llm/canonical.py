@@ -247,7 +247,9 @@ def all_matches(values: DataFrame, forms: DataFrame, max_entries: int = 200_000)
                     rows += [(fld, value, k, entry, far) for k, (far, entry) in enumerate(hits, 1)] or [(fld, value, 1, UNMATCHED, None)]
             yield pd.DataFrame(rows, columns=["fld", "value", "place", "canonical", "distance"]).astype({"distance": "Int32"})
 
-    return values.select("fld", "value").distinct().mapInPandas(look, "fld string, value string, place int, canonical string, distance int")
+    # Distinct within an explicit number of parts: the planner would join parts of few bytes that are dear to walk.
+    parts = 2 * values.sparkSession.sparkContext.defaultParallelism
+    return values.select("fld", "value").repartition(parts, "fld", "value").distinct().mapInPandas(look, "fld string, value string, place int, canonical string, distance int")
 
 
 def with_columns_ddl(df: DataFrame, more: str) -> str:

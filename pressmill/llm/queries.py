@@ -44,7 +44,7 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct typed value with all entries within its distance, nearest first."""
     forms = canonical.category_forms(table(spark, sf_dir, "ref_categories")).unionByName(canonical.location_forms(table(spark, sf_dir, "ref_locations")))
     both = F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).alias("value")) for f in ("category", "location")])
-    typed = table(spark, sf_dir, "candidates").select(F.inline(both)).where("value <> ''").distinct()
+    typed = table(spark, sf_dir, "candidates").select(F.inline(both)).where("value <> ''")
     return canonical.all_matches(typed, forms)
 
 
