@@ -64,6 +64,7 @@ SLACK = 12.0
 #: Shapes of numbers stand for many numbers each, so a letter in one (model 200S) is told from a misread digit by this ratio.
 NUMBER_RATIO = 200
 #: Costs in nats beside the words' own: a break at a line end, a lost or an added space, a stray mark, a compound never seen unbroken.
+PRINTED_HYPHEN = 30.0
 BREAK_COST, SPACE_COST, STRAY_COST, COMPOUND_COST = 1.0, 4.0, 6.0, 10.0
 #: Rate of a confusion the texts say nothing about.
 DEFAULT_RATE, LEAST_RATE = 4e-3, 2e-4
@@ -433,6 +434,21 @@ def joints(lexicon: Lexicon, tokens: list[str], start: int, j: int) -> Iterator[
         yield Step(cost + BREAK_COST * (j - start) + STRAY_COST * len(stray), start, j + 1, [form], tuple(sorted(hit)))
 
 
+def among_native(tokens: list[str], home: list[int], k: int) -> bool:
+    """Whether a token stands among words in native letters: next to one on its line, numbers passed over, or, with no other
+    word on its line, between such words."""
+    sides: list[str | None] = []
+    for step in (-1, 1):
+        j = k + step
+        while 0 <= j < len(tokens) and home[j] == home[k] and not any(c.isalpha() for c in tokens[j]):
+            j += step
+        sides.append(tokens[j] if 0 <= j < len(tokens) and home[j] == home[k] else None)
+    if any(sides):
+        return any(s and _NATIVE.search(s) for s in sides)
+    ends = [next((tokens[j] for j in way if home[j] != home[k] and any(c.isalpha() for c in tokens[j])), None) for way in (range(k - 1, -1, -1), range(k + 1, len(tokens)))]
+    return any(ends) and all(e is None or _NATIVE.search(e) for e in ends)
+
+
 def best_path(tokens: list[str], broken: set[int], lexicon: Lexicon) -> list[Step]:
     """The steps of the cheapest reading of a de-lined stream; tokens without a step stand as they are.
 
@@ -454,7 +470,7 @@ def best_path(tokens: list[str], broken: set[int], lexicon: Lexicon) -> list[Ste
         best: list[tuple[float, Step | None]] = [(0.0, None)] + [(math.inf, None)] * (end - k)
         for j in range(k, end):
             for e in edges(lexicon, tokens, broken, j):
-                if e.start >= k and (cost := best[e.start - k][0] + e.cost + (8.0 if e.stop - 1 in broken else 0.0)) < best[j + 1 - k][0]:
+                if e.start >= k and (cost := best[e.start - k][0] + e.cost + (PRINTED_HYPHEN if e.stop - 1 in broken else 0.0)) < best[j + 1 - k][0]:
                     best[j + 1 - k] = (cost, e)
         at, steps = end, []
         while at > k:
@@ -511,8 +527,7 @@ def decode(text: str | None, lexicon: Lexicon, heads: Heads, repair: bool = Fals
         noises += [(home[k] + 1, "misread") for k in step.misread]
         noises += [(home[k] + 1, "hyphen_break") for k in range(step.start, step.stop - 1) if k in broken]
         for k in range(step.start, step.stop):
-            t = tokens[k]
-            if t.isascii() and (k and _NATIVE.search(tokens[k - 1]) or k + 1 < len(tokens) and _NATIVE.search(tokens[k + 1])) and odd_word(lexicon, t):
+            if tokens[k].isascii() and odd_word(lexicon, tokens[k]) and among_native(tokens, home, k):
                 noises.append((home[k] + 1, "misread"))
     noises = sorted(set(noises))
     if not repair:

@@ -23,6 +23,16 @@ def test_joint_reading():
     assert ocrtext.viterbi(["theharb0urview"], lexicon) == ["theharb0urview"] and ocrtext.viterbi(["theharbcurview"], lexicon)
 
 
+def test_words_of_another_script_in_place_of_native_ones():
+    lexicon = ocrtext.Lexicon({"වාහනය": 500, "විකිණීමට": 500, "SITUATIONS": 90, "Pasqo": 90, "situations": 3})
+    noises = lambda t: ocrtext.decode(t, lexicon, ocrtext.Heads([])).noises
+    for bad in ("වාහනය QDIn විකිණීමට", "QDIn 12 විකිණීමට", "වාහනය\nCOMOJ\nවිකිණීමට", "GDuo) වාහනය"):
+        assert [k for _, k in noises(bad)] == ["misread"], bad
+    for good in ("SITUATIONS VACANT\nවාහනය විකිණීමට", "Pasqo වාහනය", "VACANT SITUATIONS", "වාහනය\nVACANT\nPasqo", "TV වාහනය"):
+        assert noises(good) == [], good
+    assert noises("වාහ-\nQDIn විකිණීමට") == [(1, "hyphen_break"), (2, "misread")]
+
+
 def test_rare_words_come_from_the_whole_table(spark):
     """Words too rare to be shipped are joined from the table: the share changes where a word comes from, not the result."""
     rows = [("p", str(i), "the quiet harbour view\nwas served in Sikethota") for i in range(60)]
