@@ -10,7 +10,7 @@ bucket, so no task ever sorts a whole source.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,7 +84,8 @@ def tree(rows: list[tuple[str, str, str, float, float]]) -> Node:
 
 @dataclass(frozen=True)
 class Budget:
-    """What a plan takes of one cell (source, domain, language): ``budget`` of its ``tokens``; ``share`` is the source's target."""
+    """What a plan takes of one cell (source, domain, language): ``budget`` of its ``tokens``, each used ``most`` times at the
+    most; ``share`` is the source's target."""
 
     plan_id: int
     source: str
@@ -93,6 +94,7 @@ class Budget:
     share: float
     budget: float
     tokens: int
+    most: int = 1_000_000
 
 
 #: Most cells (sources by domain and language) and targets that are settled on the driver.
@@ -134,10 +136,10 @@ def budgets(supply: DataFrame, targets: DataFrame, total: str | float = "exact")
         root = tree(leaves)
         one = float(sum(known.values()))
         share_out(root, whole_total(root, total, one))
-        shares_of = {r.source: float(r.share or 0.0) for r in wanted}
+        goals_of = {r.source: (float(r.share or 0.0), max(int(r.most or 0), 0)) for r in wanted}
         for domain in root.children:
             for language in domain.children:
-                out += [Budget(plan, x.name, domain.name, language.name, shares_of[x.name], x.budget, known[domain.name, language.name, x.name]) for x in language.children]
+                out += [Budget(plan, x.name, domain.name, language.name, goals_of[x.name][0], x.budget, known[domain.name, language.name, x.name], goals_of[x.name][1]) for x in language.children]
     return out
 
 
@@ -182,6 +184,24 @@ def choose(sized: DataFrame, budget_rows: list[Budget], seed: int = 13, bucket_d
     return placed.withColumn("repeats", repeats).where("repeats > 0").select("plan_id", "source", "doc_id", "tokens", "repeats")
 
 
+def settled(sized: DataFrame, budget_rows: list[Budget], seed: int = 13) -> list[Budget]:
+    """The budgets with what rounding to whole documents left over or took too much in the cells of a source put on its
+    largest cell, so that the source as a whole ends within about half a document of that cell.
+
+    One choice is made to see it; the totals that come to the driver are one per plan and source.
+    """
+    used = choose(sized, budget_rows, seed).groupBy("plan_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).collect()
+    left = {(r.plan_id, r.source): -float(r.n) for r in used}
+    largest: dict[tuple[int, str], Budget] = {}
+    for b in budget_rows:
+        key = b.plan_id, b.source
+        left[key] = left.get(key, 0.0) + b.budget
+        if key not in largest or (b.tokens, b.domain, b.language) > (largest[key].tokens, largest[key].domain, largest[key].language):
+            largest[key] = b
+    moved = {b: replace(b, budget=min(max(b.budget + left[key], 0.0), float(b.tokens) * b.most)) for key, b in largest.items()}
+    return [moved.get(b, b) for b in budget_rows]
+
+
 def shares(chosen: DataFrame, budget_rows: list[Budget]) -> DataFrame:
     """(plan_id, source, target_share, actual_share, tokens, n_docs, max_repeats_used) of every source of every plan."""
     spark = chosen.sparkSession

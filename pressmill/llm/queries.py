@@ -87,7 +87,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     cannot supply of its share, its siblings take over."""
     docs = _sized(spark, sf_dir, ["doc_id", "source", "doc_kind", "lang"])
     kinds = docs.select("doc_id", "source", F.col("doc_kind").alias("domain"), F.col("lang").alias("language"), "tokens")
-    rows = mixing.budgets(mixing.source_supply(kinds), table(spark, sf_dir, "mix_targets"), "available")
+    rows = mixing.settled(kinds, mixing.budgets(mixing.source_supply(kinds), table(spark, sf_dir, "mix_targets"), "available"))
     return mixing.choose(kinds, rows), rows
 
 

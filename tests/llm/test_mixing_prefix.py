@@ -24,3 +24,18 @@ def test_prefix_of_the_whole_order(spark, seed):
         for bucket_docs in (1_000, 10):
             chosen = mixing.choose(sized, [mixing.Budget(1, "s", "d", "en", 1.0, budget, whole)], seed=seed, bucket_docs=bucket_docs).collect()
             assert {r.doc_id: r.repeats for r in chosen} == want and len(chosen) == len(want)
+
+
+def test_rounding_of_cells_is_settled(spark):
+    """Many small cells with long documents round far apart; the source as a whole does not."""
+    rnd = random.Random(3)
+    rows = [(i, "s", f"d{i % 30}", "en", rnd.choice((5, 10, 400))) for i in range(300)] + [(1000 + i, "s", "big", "en", 10) for i in range(500)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, domain string, language string, tokens int")
+    targets = spark.createDataFrame([(1, "s", 1.0, 2)], "plan_id int, source string, target_share double, max_repeats int")
+    total = sum(r[-1] for r in rows) * 0.37
+    plain = mixing.budgets(mixing.source_supply(sized), targets, total)
+    used = lambda plan: sum(r.tokens * r.repeats for r in mixing.choose(sized, plan).collect())
+    settled = mixing.settled(sized, plain)
+    assert abs(used(settled) - total) <= 5 <= abs(used(plain) - total)
+    assert max(r.repeats for r in mixing.choose(sized, settled).collect()) <= 2 and len(settled) == len(plain)
+    assert mixing.settled(sized.limit(0), []) == []
